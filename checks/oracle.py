@@ -89,3 +89,172 @@ ORACLE["mean_scores"] = _SUITE_ALL + f"""
 SELECT run_id, metric, round(avg(score), 4) AS score, count(*) AS n FROM (
   UNPIVOT (SELECT run_id, doc_id, {suite_scores()} FROM suite)
   ON rouge1, rouge2, rougeL INTO NAME metric VALUE score) GROUP BY ALL"""
+
+
+# ------------------------------------------------------------------ P
+from checks.sqlparts import EXTRACT, SUMMARIZE, poisson_case, prompt_sql, q  # noqa: E402
+from corpusforge.config import RUN_MODELS  # noqa: E402
+
+WS = r"[\t-\r\x{1c}-\x{1f}\x{85}\p{Z}]"
+
+PREPARED = """prepared AS (
+  SELECT doc_id, lang,
+         CASE WHEN split IN ('train', 'valid') THEN substring(input, 1, 2560) ELSE input END AS input,
+         CASE WHEN split IN ('train', 'valid') THEN substring(output, 1, 512) ELSE output END AS output,
+         CASE WHEN split = 'test' THEN NULL ELSE rationale END AS rationale,
+         NULL::VARCHAR AS rationale_prompt, split
+  FROM splitted)"""
+
+ORACLE["drop_column_strict"] = with_(REC) + "SELECT doc_id, lang, input, output, rationale_prompt FROM rec"
+
+ORACLE["drop_by_split"] = with_(*SPLIT) + """
+SELECT doc_id, split, CASE WHEN split = 'test' THEN NULL ELSE rationale END AS rationale,
+       NULL::VARCHAR AS rationale_prompt FROM splitted"""
+
+ORACLE["crop_fields"] = with_(*SPLIT) + """
+SELECT doc_id, split,
+       CASE WHEN split IN ('train', 'valid') THEN substring(input, 1, 2560) ELSE input END AS input,
+       CASE WHEN split IN ('train', 'valid') THEN substring(output, 1, 512) ELSE output END AS output
+FROM splitted"""
+
+ORACLE["field_or_empty"] = with_(*SPLIT) + """
+SELECT doc_id, split, (CASE WHEN split = 'test' THEN 0 ELSE length(rationale) END)::BIGINT AS n_chars FROM splitted"""
+
+ORACLE["rename_task_fields"] = with_(REC) + "SELECT doc_id, rationale_prompt AS input, rationale AS output FROM rec"
+
+ORACLE["summary_file_name"] = """
+SELECT doc_id, filepath, string_split(string_split(filepath, '/')[-1], '.')[-2] || '_sum.txt' AS out_name
+FROM (SELECT doc_id, 'multiclinsum_test_' || lang || '/' || source || '.' || doc_id::VARCHAR || '.txt' AS filepath
+      FROM documents)"""
+
+ORACLE["subtask_lang"] = """
+SELECT doc_id, subtask, string_split(subtask, '_')[-1] AS lang
+FROM (SELECT doc_id, 'multiclinsum_test_' || lang AS subtask FROM documents)"""
+
+ORACLE["domain_violations"] = with_(*BASE) + f""", p AS (
+  SELECT p.doc_id, p.run_id, 'test_' || d.lang AS subtask FROM pred p JOIN documents d USING (doc_id))
+SELECT doc_id, run_id, 'run_id' AS field, run_id::VARCHAR AS value FROM p
+  WHERE run_id IS NULL OR run_id NOT IN ({', '.join(str(k) for k in sorted(RUN_MODELS))})
+UNION ALL
+SELECT doc_id, run_id, 'subtask' AS field, subtask AS value FROM p
+  WHERE subtask IS NULL OR subtask NOT IN ('test_en', 'test_es', 'test_fr', 'test_pt')"""
+
+# ------------------------------------------------------------------ F
+SANITIZE = f"trim(regexp_replace(text, '{WS}+', ' ', 'g'))"
+
+ORACLE["sanitize_text"] = f"SELECT doc_id, {SANITIZE} AS clean FROM documents"
+
+ORACLE["sentence_lines"] = f"""
+SELECT doc_id, regexp_replace({SANITIZE}, '([.!?]) +', '\\1' || chr(10), 'g') AS lines FROM documents"""
+
+ORACLE["render_training_prompt"] = with_(REC) + f"""
+SELECT doc_id, {prompt_sql(SUMMARIZE, 'input', 'output')} AS prompt,
+       {prompt_sql(EXTRACT, 'input', 'rationale')} AS prompt_expl FROM rec"""
+
+_LOC = with_(REC, PROMPTS) + f""", loc AS (
+  SELECT r.doc_id, r.lang, r.input, coalesce(p.instruction, {SUMMARIZE}) AS instruction
+  FROM rec r LEFT JOIN prompts p USING (lang))
+"""
+
+ORACLE["render_inference_prompt"] = _LOC + "SELECT doc_id, lang, instruction || ': ' || input AS prompt FROM loc"
+
+ORACLE["localised_prompt"] = _LOC + "SELECT doc_id, lang, instruction FROM loc"
+
+ORACLE["prompt_prefix"] = with_(REC) + f""", pr AS (SELECT doc_id, {prompt_sql(SUMMARIZE, 'input', 'output')} AS prompt FROM rec)
+SELECT doc_id, CASE WHEN position('<|im_start|>assistant' IN prompt) > 0
+  THEN substring(prompt, 1, position('<|im_start|>assistant' IN prompt) - 1) END AS prefix FROM pr"""
+
+ORACLE["marker_in_text"] = "SELECT doc_id FROM documents WHERE position('<|im_start|>' IN text) > 0"
+
+ORACLE["build_chat_request"] = _LOC + f"""
+SELECT doc_id, to_json({{'model': {q(RUN_MODELS[1])}, 'messages': [{{'role': 'user', 'content': instruction || ': ' || input}}]}})::VARCHAR AS body
+FROM loc"""
+
+ORACLE["parse_chat_response"] = f"""
+WITH r AS (
+  SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN '{{}}'
+    ELSE to_json({{'choices': [{{'message': {{'content': ' ' || substring(d.text, 1, 300) || ' ' || chr(10)}}}}]}})::VARCHAR END AS reply
+  FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT doc_id, regexp_replace(json_extract_string(reply, '$.choices[0].message.content'),
+                              '^{WS}+|{WS}+$', '', 'g') AS content
+FROM r WHERE json_extract_string(reply, '$.choices[0].message.content') IS NOT NULL"""
+
+ORACLE["rouge_tokens"] = f"""
+SELECT doc_id, array_to_string(t, ' ') AS tokens, len(t)::BIGINT AS n_tokens
+FROM (SELECT doc_id, {tok('text')} AS t FROM documents)"""
+
+# ------------------------------------------------------------------ A1/A2/W3/O3
+
+
+def _len_stats(src: str, group: str, expr: str) -> str:
+    return f"""
+SELECT {group}, count(*) AS count, min(l) AS min, max(l) AS max, avg(l) AS mean,
+       (list_sort(list(l))[(count(*) - 1) // 2 + 1] + list_sort(list(l))[count(*) // 2 + 1]) / 2.0::DOUBLE AS median,
+       list_sort(list(l))[floor(count(*) * 0.9::DOUBLE)::BIGINT + 1] AS percentile_90,
+       list_sort(list(l))[floor(count(*) * 0.95::DOUBLE)::BIGINT + 1] AS percentile_95
+FROM (SELECT {group}, length({expr})::BIGINT AS l FROM {src} WHERE {expr} IS NOT NULL) GROUP BY ALL"""
+
+
+ORACLE["length_stats"] = with_(REC) + _len_stats("rec", "lang", "input")
+
+ORACLE["length_report"] = with_(*SPLIT, PREPARED) + """, lr AS (
+  SELECT CASE WHEN split = 'test' THEN 'test_' || lang ELSE split END AS dataset, "column", text
+  FROM (UNPIVOT (SELECT split, lang, input, output, rationale FROM prepared)
+        ON input, output, rationale INTO NAME "column" VALUE text))
+""" + _len_stats("lr", 'dataset, "column"', "text")
+
+ORACLE["rank_percentile"] = """
+SELECT lang, count(*) AS count,
+       list_sort(list(l))[floor(count(*) * 0.9::DOUBLE)::BIGINT + 1] AS percentile_90,
+       list_sort(list(l))[floor(count(*) * 0.95::DOUBLE)::BIGINT + 1] AS percentile_95
+FROM (SELECT lang, length(text)::BIGINT AS l FROM documents) GROUP BY lang"""
+
+ORACLE["longest_records"] = with_(*SPLIT, PREPARED) + """
+SELECT split, doc_id, n_chars, rank FROM (
+  SELECT split, doc_id, length(input)::BIGINT AS n_chars,
+         row_number() OVER (PARTITION BY split ORDER BY length(input) DESC, doc_id) AS rank
+  FROM prepared) WHERE rank <= 5"""
+
+# ------------------------------------------------------------------ A5-A9, W4/W5, T7
+ORACLE["rouge_avg_percent"] = _SUITE_ALL + f"""
+SELECT run_id, round(r1 * 100, 4) AS rouge1, round(r2 * 100, 4) AS rouge2, round(rl * 100, 4) AS rougeL,
+       round((r1 + r2 + rl) / 3.0::DOUBLE * 100, 4) AS rouge_avg
+FROM (SELECT run_id, avg(rouge1) AS r1, avg(rouge2) AS r2, avg(rougeL) AS rl
+      FROM (SELECT run_id, doc_id, {suite_scores()} FROM suite) GROUP BY run_id)"""
+
+_LOSS = """losses AS (
+  SELECT event_id AS step, value AS lp, value * 0.5 + 1 AS le FROM events)"""
+
+ORACLE["combined_loss"] = with_(_LOSS) + """
+SELECT step, round(lp * 0.8 + le * (1.0::DOUBLE - 0.8::DOUBLE), 6) AS loss, round(lp, 6) AS loss_pred,
+       round(le, 6) AS loss_expl FROM losses"""
+
+ORACLE["training_log_long"] = with_(_LOSS) + """
+SELECT step, name, round(value, 6) AS value FROM (
+  UNPIVOT (SELECT step, lp * 0.8 + le * (1.0::DOUBLE - 0.8::DOUBLE) AS "train/loss", lp AS "train/loss_pred",
+                  le AS "train/loss_expl" FROM losses)
+  ON "train/loss", "train/loss_pred", "train/loss_expl" INTO NAME name VALUE value)"""
+
+ORACLE["token_accuracy"] = """
+SELECT avg(hit) AS accuracy, sum(hit) FILTER (WHERE label <> -100) / count(*) FILTER (WHERE label <> -100) AS accuracy_ignore_index,
+       count(*) AS positions
+FROM (SELECT label, (list_position(embedding, list_max(embedding)) - 1 = label)::INTEGER AS hit FROM embeddings)"""
+
+_EVALS = """evals AS (
+  SELECT run, step, metric FROM (
+    SELECT event_type AS run, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS step,
+           value AS metric FROM events)
+  WHERE step >= 1 AND step % 250 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY metric DESC, step ASC) AS br,
+         max(step) OVER (PARTITION BY run) AS last_step, count(*) OVER (PARTITION BY run) AS n_evals
+  FROM evals)"""
+
+ORACLE["best_checkpoint"] = with_(_EVALS) + \
+    "SELECT run, step AS best_step, metric AS best_metric, n_evals FROM ranked WHERE br = 1"
+
+ORACLE["retained_checkpoints"] = with_(_EVALS) + """
+SELECT run, step, step = last_step AS is_last, br = 1 AS is_best FROM ranked WHERE br = 1 OR step = last_step"""
+
+ORACLE["logits_argmax"] = """
+SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::BIGINT AS pred_id, label FROM embeddings"""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode whitespace as Python's str.split() sees it: ASCII \s, the
+# Unicode whitespace as Python's str.split() sees it: U+0009..U+000D, the
 # separators U+001C..U+001F, U+0085 and every Z category (incl. U+00A0).
-_PY_WHITESPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+"
+_PY_WHITESPACE = r"[\t-\r\x{1c}-\x{1f}\x{85}\p{Z}]+"
 
 
 def _c(c) -> Column:

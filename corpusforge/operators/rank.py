@@ -8,9 +8,8 @@ spread the rows over many tasks:
   its first hex digits are a uniform, order-preserving bucket. Count rows per
   (group, bucket), turn that small table into running offsets, and rank inside
   (group, bucket) only.
-* ``ordered_rank`` (any order key): range-partition on (group, order), number
-  rows inside each partition, and add the count of the group's rows in earlier
-  partitions.
+* ``ordered_rank`` (numeric or time order key): the same scheme with buckets
+  cut at approximate quantiles of the first order column.
 """
 
 from __future__ import annotations
@@ -70,23 +69,35 @@ def hashed_rank(df: DataFrame, group_cols: list[str], key_col: str, seed: int,
 
 
 def ordered_rank(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                 rank_col: str = "rank", num_partitions: int | None = None) -> DataFrame:
+                 rank_col: str = "rank", buckets: int = 256,
+                 relative_error: float = 0.001) -> DataFrame:
     """1-based row_number() over (partition by group order by order_cols), distributed.
 
-    Ties in ``order_cols`` are broken by position after the range shuffle, so
-    callers should pass a unique order key.
+    The first order column (numeric, date or timestamp) is cut at approximate
+    quantiles into ``buckets`` ranges; the bounds are one small driver-side
+    list, so the bucket of a row is a deterministic function of its values.
+    Rows are then ranked inside (group, bucket) and shifted by the count of the
+    group's rows in lower buckets, as in ``hashed_rank``. Pass a unique order key.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*group_cols, *order_cols]
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_idx", F.monotonically_increasing_id()))
-    stats = ranged.groupBy(*group_cols, "_pid").agg(
-        F.count(F.lit(1)).alias("_cnt"), F.min("_idx").alias("_first"))
-    w = Window.partitionBy(*group_cols).orderBy("_pid") if group_cols else Window.orderBy("_pid")
-    stats = stats.withColumn("_before", F.sum("_cnt").over(w) - F.col("_cnt")).drop("_cnt")
-    stats = _bounded_broadcast(stats)
-    out = ranged.join(stats, on=[*group_cols, "_pid"], how="inner")
-    out = out.withColumn(rank_col, (F.col("_idx") - F.col("_first") + 1 + F.col("_before")).cast("long"))
-    return out.drop("_pid", "_idx", "_first", "_before")
+    first = order_cols[0]
+    dtype = df.schema[first].dataType.simpleString()
+    if dtype.startswith("timestamp"):
+        num = F.unix_micros(F.col(first).cast("timestamp")).cast("double")
+    elif dtype == "date":
+        num = F.unix_date(F.col(first)).cast("double")
+    else:
+        num = F.col(first).cast("double")
+    probe = df.select(num.alias("_q")).filter(F.col("_q").isNotNull())
+    probs = [i / buckets for i in range(1, buckets)]
+    bounds = sorted(set(probe.approxQuantile("_q", probs, relative_error))) if probs else []
+    arr = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
+    bucket = F.when(num.isNull(), F.lit(-1)).otherwise(F.size(F.filter(arr, lambda b: b <= num)))
+    x = df.withColumn("_b", bucket.cast("int"))
+    counts = x.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy(*group_cols).orderBy("_b") if group_cols else Window.orderBy("_b")
+    offs = counts.withColumn("_start", F.sum("_cnt").over(w) - F.col("_cnt")).drop("_cnt")
+    offs = _bounded_broadcast(offs)
+    joined = x.join(offs, on=[*group_cols, "_b"], how="inner")
+    wr = Window.partitionBy(*group_cols, "_b").orderBy(*order_cols)
+    out = joined.withColumn(rank_col, (F.col("_start") + F.row_number().over(wr)).cast("long"))
+    return out.drop("_b", "_start")

@@ -112,3 +112,213 @@ def q_metric_suite_long(spark, sf_dir):
 def q_mean_scores(spark, sf_dir):
     s = scores.metric_suite_long(fixtures.paired_all(spark, sf_dir))
     return report.mean_scores(s, ["run_id"])
+
+
+# ------------------------------------------------------------------ P
+from corpusforge.config import (CropConfig, PrepConfig, RUN_MODELS, SUBTASKS_OFFICIAL,  # noqa: E402
+                                SUBTASKS_UNOFFICIAL, SUMMARIZE_PROMPT, EXTRACT_PROMPT)
+from corpusforge.functions import prompts, text  # noqa: E402
+from corpusforge.operators import prep  # noqa: E402
+from corpusforge.plans.prepare import prepare  # noqa: E402
+
+
+def prepared(spark, sf_dir):
+    return prepare(fixtures.rec(spark, sf_dir), PrepConfig())
+
+
+@query("drop_column_strict")
+def q_drop_column_strict(spark, sf_dir):
+    return prep.drop_column_strict(fixtures.rec(spark, sf_dir), "rationale")
+
+
+@query("drop_by_split")
+def q_drop_by_split(spark, sf_dir):
+    s = prep.drop_by_split(splitted(spark, sf_dir), PrepConfig().drop_columns)
+    return s.select("doc_id", "split", "rationale", "rationale_prompt")
+
+
+@query("crop_fields")
+def q_crop_fields(spark, sf_dir):
+    return prep.crop_fields(splitted(spark, sf_dir), CropConfig()).select("doc_id", "split", "input", "output")
+
+
+@query("field_or_empty")
+def q_field_or_empty(spark, sf_dir):
+    """Length of 'rationale' in every split's read view (absent in test -> '' -> 0)."""
+    p = prepared(spark, sf_dir)
+    views = [prep.split_view(p, s, PrepConfig().drop_columns) for s in ("train", "valid", "test")]
+    parts = [v.select("doc_id", "split", F.length(prep.field_or_empty(v, "rationale")).cast("long").alias("n_chars"))
+             for v in views]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).filter(F.col("n_chars").isNotNull())
+
+
+@query("rename_task_fields")
+def q_rename_task_fields(spark, sf_dir):
+    r = fixtures.rec(spark, sf_dir)
+    return prep.rename_fields(r, {"doc_id": "doc_id", "rationale_prompt": "input", "rationale": "output"})
+
+
+@query("summary_file_name")
+def q_summary_file_name(spark, sf_dir):
+    d = fixtures.table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("multiclinsum_test_"), F.col("lang"), F.lit("/"), F.col("source"),
+                           F.lit("."), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filepath"))
+    return d.select("doc_id", "filepath", text.summary_file_name("filepath").alias("out_name"))
+
+
+@query("subtask_lang")
+def q_subtask_lang(spark, sf_dir):
+    d = fixtures.table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("multiclinsum_test_"), F.col("lang")).alias("subtask"))
+    return d.select("doc_id", "subtask", text.subtask_lang("subtask").alias("lang"))
+
+
+@query("domain_violations")
+def q_domain_violations(spark, sf_dir):
+    p = fixtures.pred(spark, sf_dir).join(
+        fixtures.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    p = p.select("doc_id", "run_id", F.concat(F.lit("test_"), F.col("lang")).alias("subtask"))
+    return prep.domain_violations(p, {"run_id": sorted(RUN_MODELS), "subtask": SUBTASKS_UNOFFICIAL},
+                                  keys=("doc_id", "run_id"))
+
+
+# ------------------------------------------------------------------ F
+@query("sanitize_text")
+def q_sanitize_text(spark, sf_dir):
+    d = fixtures.table(spark, sf_dir, "documents")
+    return d.select("doc_id", text.sanitize_text("text").alias("clean"))
+
+
+@query("sentence_lines")
+def q_sentence_lines(spark, sf_dir):
+    d = fixtures.table(spark, sf_dir, "documents")
+    return d.select("doc_id", text.sentence_lines(text.sanitize_text("text")).alias("lines"))
+
+
+@query("render_training_prompt")
+def q_render_training_prompt(spark, sf_dir):
+    r = fixtures.rec(spark, sf_dir)
+    return r.select("doc_id", prompts.training_prompt(SUMMARIZE_PROMPT, "input", "output").alias("prompt"),
+                    prompts.training_prompt(EXTRACT_PROMPT, "input", "rationale").alias("prompt_expl"))
+
+
+@query("render_inference_prompt")
+def q_render_inference_prompt(spark, sf_dir):
+    r = joins.localised_prompt(fixtures.rec(spark, sf_dir).select("doc_id", "lang", "input"),
+                               spark, on_missing="default")
+    return r.select("doc_id", "lang", prompts.render_template(r, "{instruction}: {input}").alias("prompt"))
+
+
+@query("localised_prompt")
+def q_localised_prompt(spark, sf_dir):
+    r = joins.localised_prompt(fixtures.rec(spark, sf_dir).select("doc_id", "lang"), spark, on_missing="default")
+    return r.select("doc_id", "lang", "instruction")
+
+
+@query("prompt_prefix")
+def q_prompt_prefix(spark, sf_dir):
+    r = fixtures.rec(spark, sf_dir).select(
+        "doc_id", prompts.training_prompt(SUMMARIZE_PROMPT, "input", "output").alias("prompt"))
+    return r.select("doc_id", prompts.prompt_prefix("prompt").alias("prefix"))
+
+
+@query("marker_in_text")
+def q_marker_in_text(spark, sf_dir):
+    d = fixtures.table(spark, sf_dir, "documents")
+    return d.filter(prompts.marker_in_text("text")).select("doc_id")
+
+
+@query("build_chat_request")
+def q_build_chat_request(spark, sf_dir):
+    r = joins.localised_prompt(fixtures.rec(spark, sf_dir).select("doc_id", "lang", "input"),
+                               spark, on_missing="default")
+    r = r.select("doc_id", prompts.render_template(r, "{instruction}: {input}").alias("prompt"))
+    return r.select("doc_id", prompts.chat_request(F.lit(RUN_MODELS[1]), "prompt").alias("body"))
+
+
+def _replies(spark, sf_dir):
+    """Stand-in replies: a chat completion per document; documents labelled toxic get '{}'."""
+    d = fixtures.table(spark, sf_dir, "documents").select("doc_id", "text")
+    lab = fixtures.table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    d = d.join(lab, "doc_id", "left")
+    ok = F.to_json(F.struct(F.array(F.struct(F.struct(
+        F.concat(F.lit(" "), F.substring("text", 1, 300), F.lit(" \n")).alias("content")).alias("message")))
+        .alias("choices")))
+    return d.select("doc_id", F.when(F.col("toxic") == 1, F.lit("{}")).otherwise(ok).alias("reply"))
+
+
+@query("parse_chat_response")
+def q_parse_chat_response(spark, sf_dir):
+    r = _replies(spark, sf_dir)
+    return r.select("doc_id", prompts.chat_reply_content("reply").alias("content")) \
+        .filter(F.col("content").isNotNull())
+
+
+@query("rouge_tokens")
+def q_rouge_tokens(spark, sf_dir):
+    d = fixtures.table(spark, sf_dir, "documents").select("doc_id", text.rouge_tokens("text").alias("t"))
+    return d.select("doc_id", F.array_join("t", " ").alias("tokens"), F.size("t").cast("long").alias("n_tokens"))
+
+
+# ------------------------------------------------------------------ A1/A2/W3/O3
+@query("length_stats")
+def q_length_stats(spark, sf_dir):
+    return report.length_stats(fixtures.rec(spark, sf_dir), ["lang"], "input")
+
+
+@query("length_report")
+def q_length_report(spark, sf_dir):
+    p = prepared(spark, sf_dir).withColumn(
+        "dataset", F.when(F.col("split") == "test", F.concat(F.lit("test_"), F.col("lang"))).otherwise(F.col("split")))
+    return report.length_report(p, ["dataset"], ["input", "output", "rationale"])
+
+
+@query("rank_percentile")
+def q_rank_percentile(spark, sf_dir):
+    d = fixtures.table(spark, sf_dir, "documents").select("lang", F.length("text").alias("n_chars"))
+    return report.rank_percentiles(d, ["lang"], "n_chars")
+
+
+@query("longest_records")
+def q_longest_records(spark, sf_dir):
+    return report.longest_records(prepared(spark, sf_dir), ["split"], "input", "doc_id", 5)
+
+
+# ------------------------------------------------------------------ A5-A9, W4/W5, T7
+@query("rouge_avg_percent")
+def q_rouge_avg_percent(spark, sf_dir):
+    wide = scores.metric_suite(fixtures.paired_all(spark, sf_dir))
+    means = wide.groupBy("run_id").agg(*[F.avg(m).alias(m) for m in ("rouge1", "rouge2", "rougeL")])
+    return report.rouge_avg_percent(means)
+
+
+@query("combined_loss")
+def q_combined_loss(spark, sf_dir):
+    c = report.combined_loss(fixtures.losslog(spark, sf_dir), alpha=0.8)
+    return c.select("step", *[F.round(x, 6).alias(x) for x in ("loss", "loss_pred", "loss_expl")])
+
+
+@query("token_accuracy")
+def q_token_accuracy(spark, sf_dir):
+    return report.token_accuracy(fixtures.logits(spark, sf_dir), [], "logits", "label")
+
+
+@query("training_log_long")
+def q_training_log_long(spark, sf_dir):
+    t = report.training_log_long(fixtures.losslog(spark, sf_dir), alpha=0.8)
+    return t.select("step", "name", F.round("value", 6).alias("value"))
+
+
+@query("best_checkpoint")
+def q_best_checkpoint(spark, sf_dir):
+    return report.best_checkpoint(fixtures.evalhist(spark, sf_dir), eval_steps=250, eval_delay=1)
+
+
+@query("retained_checkpoints")
+def q_retained_checkpoints(spark, sf_dir):
+    return report.retained_checkpoints(fixtures.evalhist(spark, sf_dir), eval_steps=250, eval_delay=1)
+
+
+@query("logits_argmax")
+def q_logits_argmax(spark, sf_dir):
+    return fixtures.logits(spark, sf_dir).select("vec_id", report.argmax("logits").alias("pred_id"), "label")
