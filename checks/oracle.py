@@ -258,3 +258,107 @@ SELECT run, step, step = last_step AS is_last, br = 1 AS is_best FROM ranked WHE
 
 ORACLE["logits_argmax"] = """
 SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::BIGINT AS pred_id, label FROM embeddings"""
+
+
+# ------------------------------------------------------------------ T
+def pieces(x: str) -> str:
+    return f"regexp_extract_all(lower({x}), '(<\\|im_start\\|>|<\\|im_end\\|>|[a-z0-9]+)', 1)"
+
+
+def prefix_sql(p: str) -> str:
+    return (f"CASE WHEN position('<|im_start|>assistant' IN {p}) > 0 "
+            f"THEN substring({p}, 1, position('<|im_start|>assistant' IN {p}) - 1) END")
+
+
+MAXIN, MAXOUT = 3078, 762
+
+
+def pad_sql(ids: str, n: int) -> str:
+    return f"list_concat(({ids})[1:{n}], list_transform(range(greatest({n} - len({ids}), 0)), lambda x: 0))"
+
+
+def mask_sql(ids: str, n: int) -> str:
+    return (f"list_concat(list_transform(range(least(len({ids}), {n})), lambda x: 1), "
+            f"list_transform(range(greatest({n} - len({ids}), 0)), lambda x: 0))")
+
+
+def ids_str(x: str) -> str:
+    return f"array_to_string({x}, ',')"
+
+
+def _enc_ctes(task_instr: str = SUMMARIZE, answer: str = "output", name: str = "pc") -> str:
+    return f"""{name}_pr AS (SELECT doc_id, lang, {prompt_sql(task_instr, 'input', answer)} AS prompt FROM rec),
+{name} AS (SELECT doc_id, lang, {pieces('prompt')} AS p, len({pieces(prefix_sql('prompt'))}) AS prefix_len FROM {name}_pr)"""
+
+
+VOCAB = """vocab AS (
+  SELECT token, (row_number() OVER (ORDER BY n DESC, token) + 3)::BIGINT AS id, n FROM (
+    SELECT token, count(*) AS n FROM (SELECT unnest(p) AS token FROM pc)
+    WHERE token NOT IN ('<|im_start|>', '<|im_end|>') GROUP BY token)
+  ORDER BY n DESC, token LIMIT 5000)"""
+
+
+def enc_cte(src: str, name: str) -> str:
+    return f"""{name} AS (
+  SELECT s.doc_id, coalesce(e.ids, []::INTEGER[]) AS ids FROM {src} s LEFT JOIN (
+    SELECT doc_id, list(coalesce(CASE WHEN tok = '<|im_start|>' THEN 2 WHEN tok = '<|im_end|>' THEN 3 END,
+                                 v.id, 1)::INTEGER ORDER BY pos) AS ids
+    FROM (SELECT doc_id, unnest(p) AS tok, generate_subscripts(p, 1) AS pos FROM {src}) t
+    LEFT JOIN vocab v ON v.token = t.tok GROUP BY doc_id) e USING (doc_id))"""
+
+
+_TOK = with_(REC, _enc_ctes(), VOCAB, enc_cte("pc", "enc")) + f""", padded AS (
+  SELECT e.doc_id, pc.lang, pc.prefix_len, len(e.ids) AS n, {pad_sql('e.ids', MAXIN)} AS input_ids,
+         {mask_sql('e.ids', MAXIN)} AS attention_mask
+  FROM enc e JOIN pc USING (doc_id)),
+labelled AS (
+  SELECT *, list_transform(input_ids, lambda x, i: CASE WHEN i <= least(prefix_len, {MAXIN}) THEN -100 ELSE x END) AS labels
+  FROM padded)
+"""
+
+ORACLE["build_vocabulary"] = with_(REC, _enc_ctes(), VOCAB) + "SELECT token, id, n FROM vocab"
+
+ORACLE["encode_tokens"] = _TOK + f"SELECT doc_id, len(ids)::BIGINT AS n_ids, {ids_str('ids')} AS ids FROM enc"
+
+ORACLE["pad_truncate"] = _TOK + \
+    f"SELECT doc_id, {ids_str('input_ids')} AS input_ids, {ids_str('attention_mask')} AS attention_mask FROM padded"
+
+ORACLE["mask_labels"] = _TOK + f"""
+SELECT doc_id, {ids_str('labels')} AS labels_prompt,
+       {ids_str('list_transform(input_ids, lambda x: -100)')} AS labels_as_written,
+       {ids_str('list_transform(input_ids, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)')} AS labels_full
+FROM labelled"""
+
+ORACLE["unmask_labels"] = _TOK + \
+    f"SELECT doc_id, {ids_str('list_transform(labels, lambda x: CASE WHEN x = -100 THEN 0 ELSE x END)')} AS ids FROM labelled"
+
+ORACLE["decode_tokens"] = _TOK + """, um AS (
+  SELECT doc_id, list_transform(labels, lambda x: CASE WHEN x = -100 THEN 0 ELSE x END) AS u FROM labelled)
+SELECT um.doc_id, coalesce(d.text, '') AS text FROM um LEFT JOIN (
+  SELECT doc_id, string_agg(v.token, ' ' ORDER BY pos) AS text FROM (
+    SELECT doc_id, unnest(u) AS id, generate_subscripts(u, 1) AS pos FROM um) t
+  JOIN vocab v ON v.id = t.id WHERE t.id >= 4 GROUP BY doc_id) d USING (doc_id)"""
+
+ORACLE["truncation_audit"] = with_(REC, _enc_ctes()) + f"""
+SELECT lang, count(*) AS records, sum(ans)::BIGINT AS answer_tokens, sum(kept)::BIGINT AS kept_tokens,
+       sum(ans - kept)::BIGINT AS lost_tokens, count(*) FILTER (WHERE kept < ans) AS truncated_records,
+       count(*) FILTER (WHERE kept = 0 AND ans > 0) AS answer_fully_lost
+FROM (SELECT lang, greatest(len(p) - prefix_len, 0) AS ans,
+             greatest(least(len(p), {MAXIN}) - prefix_len, 0) AS kept FROM pc) GROUP BY lang"""
+
+ORACLE["two_task_examples"] = with_(REC, _enc_ctes(), _enc_ctes(EXTRACT, "rationale", "px")) + f"""
+SELECT doc_id, 'pred' AS task, len(p)::BIGINT AS n_tokens, prefix_len::BIGINT AS prefix_len,
+       ({MAXIN} - least(prefix_len, {MAXIN}))::BIGINT AS n_label_tokens, least(len(p), {MAXIN})::BIGINT AS n_input_tokens
+FROM pc
+UNION ALL
+SELECT doc_id, 'expl', len(p)::BIGINT, prefix_len::BIGINT, ({MAXIN} - least(prefix_len, {MAXIN}))::BIGINT,
+       least(len(p), {MAXIN})::BIGINT FROM px"""
+
+ORACLE["select_mode_columns"] = _TOK + f"""
+SELECT doc_id, {ids_str('input_ids')} AS input_ids, {ids_str('attention_mask')} AS attention_mask,
+       {ids_str('labels')} AS labels FROM labelled"""
+
+ORACLE["mean_nonpad_len"] = with_(*BASE, ALL_PAIRS) + f"""
+SELECT run_id, avg(least(len({pieces('summary')}), {MAXOUT})) AS mean_generated_len,
+       avg(least(len({pieces('output')}), {MAXOUT})) AS mean_reference_len
+FROM all_pairs GROUP BY run_id"""

@@ -322,3 +322,97 @@ def q_retained_checkpoints(spark, sf_dir):
 @query("logits_argmax")
 def q_logits_argmax(spark, sf_dir):
     return fixtures.logits(spark, sf_dir).select("vec_id", report.argmax("logits").alias("pred_id"), "label")
+
+
+# ------------------------------------------------------------------ T
+from corpusforge.config import TrainConfig  # noqa: E402
+from corpusforge.operators import tokens  # noqa: E402
+from corpusforge.plans import encode as enc  # noqa: E402
+
+VOCAB_K = 5000
+MAX_IN = TrainConfig().max_input_length
+MAX_OUT = TrainConfig().max_output_length
+
+
+def _vocab(spark, sf_dir):
+    return enc.vocabulary(fixtures.rec(spark, sf_dir), VOCAB_K)
+
+
+def _encoded(spark, sf_dir, mask_mode="prompt"):
+    return enc.encode_task(fixtures.rec(spark, sf_dir), _vocab(spark, sf_dir), "pred", MAX_IN, mask_mode)
+
+
+@query("build_vocabulary")
+def q_build_vocabulary(spark, sf_dir):
+    return _vocab(spark, sf_dir)
+
+
+@query("encode_tokens")
+def q_encode_tokens(spark, sf_dir):
+    p = enc.prompts(fixtures.rec(spark, sf_dir), "pred")
+    e = tokens.encode(p, "pieces", _vocab(spark, sf_dir))
+    return e.select("doc_id", F.size("ids").cast("long").alias("n_ids"), tokens.ids_text("ids").alias("ids"))
+
+
+@query("pad_truncate")
+def q_pad_truncate(spark, sf_dir):
+    e = _encoded(spark, sf_dir)
+    return e.select("doc_id", tokens.ids_text("input_ids").alias("input_ids"),
+                    tokens.ids_text("attention_mask").alias("attention_mask"))
+
+
+@query("mask_labels")
+def q_mask_labels(spark, sf_dir):
+    e = _encoded(spark, sf_dir)
+    pl = F.least(F.col("prefix_len"), F.lit(MAX_IN))
+    return e.select("doc_id",
+                    tokens.ids_text(tokens.mask_labels("input_ids", pl, "prompt")).alias("labels_prompt"),
+                    tokens.ids_text(tokens.mask_labels("input_ids", pl, "as_written")).alias("labels_as_written"),
+                    tokens.ids_text(tokens.mask_labels("input_ids", pl, "full")).alias("labels_full"))
+
+
+@query("unmask_labels")
+def q_unmask_labels(spark, sf_dir):
+    e = _encoded(spark, sf_dir)
+    return e.select("doc_id", tokens.ids_text(tokens.unmask_labels("labels")).alias("ids"))
+
+
+@query("decode_tokens")
+def q_decode_tokens(spark, sf_dir):
+    e = _encoded(spark, sf_dir).select("doc_id", tokens.unmask_labels("labels").alias("u"))
+    return tokens.decode(e, "u", _vocab(spark, sf_dir), "text").select("doc_id", "text")
+
+
+@query("truncation_audit")
+def q_truncation_audit(spark, sf_dir):
+    r = fixtures.rec(spark, sf_dir)
+    p = enc.prompts(r, "pred", extra=("lang",)).select("lang", F.size("pieces").alias("n"), "prefix_len")
+    return tokens.truncation_audit(p, ["lang"], "n", "prefix_len", MAX_IN)
+
+
+@query("two_task_examples")
+def q_two_task_examples(spark, sf_dir):
+    w = enc.two_task_wide(fixtures.rec(spark, sf_dir), _vocab(spark, sf_dir), MAX_IN)
+    lg = enc.two_task_long(w)
+    return lg.select("doc_id", "task", F.col("n_tokens").cast("long").alias("n_tokens"),
+                     F.col("prefix_len").cast("long").alias("prefix_len"),
+                     F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("n_label_tokens"),
+                     report.nonpad_len("input_ids").cast("long").alias("n_input_tokens"))
+
+
+@query("select_mode_columns")
+def q_select_mode_columns(spark, sf_dir):
+    e = _encoded(spark, sf_dir)
+    s = prep.select_mode_columns(e, "standard")
+    return s.select("doc_id", *[tokens.ids_text(c).alias(c) for c in ("input_ids", "attention_mask", "labels")])
+
+
+@query("mean_nonpad_len")
+def q_mean_nonpad_len(spark, sf_dir):
+    v = _vocab(spark, sf_dir)
+    pr = fixtures.paired_all(spark, sf_dir).select(
+        "run_id", tokens.word_pieces("summary").alias("ps"), tokens.word_pieces("output").alias("po"))
+    pr = tokens.encode(tokens.encode(pr, "ps", v, "is"), "po", v, "io")
+    pr = pr.select("run_id", tokens.pad_truncate(F.col("is"), MAX_OUT)[0].alias("pred_ids"),
+                   tokens.pad_truncate(F.col("io"), MAX_OUT)[0].alias("label_ids"))
+    return report.mean_nonpad_len(pr, ["run_id"], "pred_ids", "label_ids")
