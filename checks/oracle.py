@@ -362,3 +362,45 @@ ORACLE["mean_nonpad_len"] = with_(*BASE, ALL_PAIRS) + f"""
 SELECT run_id, avg(least(len({pieces('summary')}), {MAXOUT})) AS mean_generated_len,
        avg(least(len({pieces('output')}), {MAXOUT})) AS mean_reference_len
 FROM all_pairs GROUP BY run_id"""
+
+
+# ------------------------------------------------------------------ S / J1 / I
+CASES = "SELECT doc_id, lang, 'case_' || doc_id::VARCHAR || '.txt' AS filename, text FROM documents"
+NORM = "regexp_replace(text, '\\r\\n?', chr(10), 'g')"
+
+ORACLE["scan_json_records"] = with_(REC) + "SELECT doc_id, input, output, rationale, rationale_prompt FROM rec"
+ORACLE["scan_manifest_lang"] = with_(REC) + "SELECT doc_id, lang FROM rec"
+ORACLE["scan_text_folder"] = f"SELECT filename, {NORM} AS input FROM ({CASES})"
+ORACLE["load_train_valid"] = with_(*SPLIT) + "SELECT doc_id, lang, split FROM splitted WHERE split IN ('train', 'valid')"
+ORACLE["sink_splits_roundtrip"] = with_(*SPLIT) + "SELECT split, lang, count(*) AS n FROM splitted GROUP BY ALL"
+ORACLE["scan_predictions"] = with_(*BASE) + """
+SELECT p.doc_id, p.summary FROM pred p JOIN documents d USING (doc_id) WHERE d.lang = 'en' AND p.run_id = 2"""
+ORACLE["sink_json_roundtrip"] = with_(REC) + "SELECT doc_id, lang, input, output, rationale FROM rec"
+ORACLE["sink_submission_roundtrip"] = with_(*BASE) + """
+SELECT p.run_id, d.lang, 'case_' || p.doc_id::VARCHAR || '_sum.txt' AS out_name, p.summary
+FROM pred p JOIN documents d USING (doc_id)"""
+
+DONE = "SELECT 'case_' || doc_id::VARCHAR || '_sum.txt' AS out_name FROM labels WHERE quality = 1"
+
+ORACLE["resume_anti_join"] = f"""
+SELECT doc_id, filename FROM ({CASES}) c
+WHERE 'case_' || doc_id::VARCHAR || '_sum.txt' NOT IN ({DONE})"""
+
+_ANN = f"substring({EXTRACT} || ': ' || input, 1, 256)"
+ORACLE["annotate_records"] = with_(REC) + f"""
+SELECT doc_id, {_ANN} AS rationale, {EXTRACT} || ': ' || input AS rationale_prompt FROM rec"""
+
+ORACLE["annotate_rejects"] = with_(REC) + f"""
+SELECT doc_id, 'ValueError: prompt too long' AS error, 3::BIGINT AS attempts FROM rec
+WHERE length({EXTRACT} || ': ' || input) > 20000"""
+
+ORACLE["annotate_chain"] = with_(REC) + f"""
+SELECT doc_id, r AS rationale, substring({SUMMARIZE} || ': ' || r, 1, 256) AS summary
+FROM (SELECT doc_id, {_ANN} AS r FROM rec)"""
+
+ORACLE["reannotate"] = with_(REC) + f"""
+SELECT doc_id, lang, input, output, {_ANN} AS rationale, {EXTRACT} || ': ' || input AS rationale_prompt FROM rec"""
+
+ORACLE["summarise_resume"] = f"""
+SELECT replace(filename, '.txt', '_sum.txt') AS out_name, substring({SUMMARIZE} || ': ' || {NORM}, 1, 256) AS summary
+FROM ({CASES}) c WHERE lang = 'en' AND 'case_' || doc_id::VARCHAR || '_sum.txt' NOT IN ({DONE})"""

@@ -416,3 +416,174 @@ def q_mean_nonpad_len(spark, sf_dir):
     pr = pr.select("run_id", tokens.pad_truncate(F.col("is"), MAX_OUT)[0].alias("pred_ids"),
                    tokens.pad_truncate(F.col("io"), MAX_OUT)[0].alias("label_ids"))
     return report.mean_nonpad_len(pr, ["run_id"], "pred_ids", "label_ids")
+
+
+# ------------------------------------------------------------------ S / J1 / I
+from corpusforge.operators import annotate as ann  # noqa: E402
+from corpusforge.session import shared_dir  # noqa: E402
+from corpusforge.sources import readers, sinks  # noqa: E402
+
+ANSWER_CHARS = 256
+MAX_PROMPT_CHARS = 20000
+
+
+def _posix(path: str) -> str:
+    if path.startswith("file:"):
+        return "/" + path[len("file:"):].lstrip("/")
+    if "://" in path:
+        raise NotImplementedError("text-file export needs a POSIX-mounted shared folder")
+    return path
+
+
+def _model():
+    return ann.PrefixModel(ANSWER_CHARS)
+
+
+def _flaky_model():
+    return ann.PrefixModel(ANSWER_CHARS, max_prompt_chars=MAX_PROMPT_CHARS)
+
+
+def _case_files(spark, sf_dir, lang=None):
+    d = fixtures.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    if lang:
+        d = d.filter(F.col("lang") == lang)
+    return d.select("doc_id", "lang", F.concat(F.lit("case_"), F.col("doc_id").cast("string"),
+                                               F.lit(".txt")).alias("filename"), "text")
+
+
+def _json_array_files(spark, sf_dir):
+    path = shared_dir(spark, "json-arrays")
+    files = sinks.write_json_arrays(fixtures.rec(spark, sf_dir), path, "lang", "doc_id", name="multiclinsum_gs")
+    return path, files
+
+
+@query("scan_json_records")
+def q_scan_json_records(spark, sf_dir):
+    path, _ = _json_array_files(spark, sf_dir)
+    return readers.read_json_records(spark, f"{path}/*.json").select(
+        "doc_id", "input", "output", "rationale", "rationale_prompt")
+
+
+@query("scan_manifest_lang")
+def q_scan_manifest_lang(spark, sf_dir):
+    path, files = _json_array_files(spark, sf_dir)
+    names = [f.rsplit("/", 1)[1] for f in files]
+    return readers.read_manifest(spark, path, names).select("doc_id", "lang")
+
+
+@query("scan_text_folder")
+def q_scan_text_folder(spark, sf_dir):
+    folder = shared_dir(spark, "text-folder")
+    sinks.export_text_files(_case_files(spark, sf_dir), _posix(folder), "filename", "text")
+    with open(_posix(folder) + "/broken.txt", "wb") as f:  # one undecodable file, skipped on read
+        f.write(b"\xff\xfe\xfa")
+    return readers.read_text_folder(spark, folder).select("filename", "input")
+
+
+@query("load_train_valid")
+def q_load_train_valid(spark, sf_dir):
+    path = shared_dir(spark, "splits")
+    sinks.write_splits(prepared(spark, sf_dir), path)
+    return readers.load_train_valid(spark, path).select("doc_id", "lang", "split")
+
+
+@query("sink_splits_roundtrip")
+def q_sink_splits_roundtrip(spark, sf_dir):
+    path = shared_dir(spark, "splits")
+    sinks.write_splits(prepared(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy("split", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("scan_predictions")
+def q_scan_predictions(spark, sf_dir):
+    path = shared_dir(spark, "predictions")
+    p = fixtures.pred(spark, sf_dir).join(fixtures.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    sinks.write_predictions(p.select("doc_id", "summary", "run_id",
+                                     F.concat(F.lit("test_"), F.col("lang")).alias("subtask")), path)
+    return readers.read_predictions(spark, path, "test_en", 2).select("doc_id", "summary")
+
+
+@query("sink_json_roundtrip")
+def q_sink_json_roundtrip(spark, sf_dir):
+    path = shared_dir(spark, "json-lines")
+    sinks.write_json_lines(fixtures.rec(spark, sf_dir), path)
+    schema = "doc_id long, lang string, input string, output string, rationale string, rationale_prompt string"
+    return spark.read.schema(schema).json(path).select("doc_id", "lang", "input", "output", "rationale")
+
+
+@query("sink_submission_roundtrip")
+def q_sink_submission_roundtrip(spark, sf_dir):
+    path = shared_dir(spark, "submission")
+    p = fixtures.pred(spark, sf_dir).join(_case_files(spark, sf_dir).drop("text"), "doc_id")
+    p = p.select("run_id", "lang", text.summary_file_name("filename").alias("out_name"), "summary")
+    sinks.write_predictions(p, path, by=("run_id", "lang"))
+    return spark.read.parquet(path).select("run_id", "lang", "out_name", "summary")
+
+
+def _done_names(spark, sf_dir):
+    lab = fixtures.table(spark, sf_dir, "labels").filter(F.col("quality") == 1)
+    return lab.select(F.concat(F.lit("case_"), F.col("doc_id").cast("string"), F.lit("_sum.txt")).alias("out_name"))
+
+
+@query("resume_anti_join")
+def q_resume_anti_join(spark, sf_dir):
+    inputs = _case_files(spark, sf_dir).select("doc_id", "filename")
+    return joins.resume_anti_join(inputs, _done_names(spark, sf_dir), text.summary_file_name("filename"))
+
+
+@query("annotate_records")
+def q_annotate_records(spark, sf_dir):
+    r = prep.drop_column_strict(fixtures.rec(spark, sf_dir), "rationale")
+    a = ann.materialize(ann.annotate(r, EXTRACT_PROMPT + ": {input}", "rationale", _model, batch_size=8))
+    good, _ = ann.split_rejects(a, "rationale")
+    return good.select("doc_id", "rationale", "rationale_prompt")
+
+
+@query("annotate_rejects")
+def q_annotate_rejects(spark, sf_dir):
+    r = fixtures.rec(spark, sf_dir).select("doc_id", "input")
+    a = ann.materialize(ann.annotate(r, EXTRACT_PROMPT + ": {input}", "rationale", _flaky_model,
+                                     batch_size=8, attempts=3))
+    _, bad = ann.split_rejects(a, "rationale")
+    return bad.select("doc_id", "error", F.col("attempts").cast("long").alias("attempts"))
+
+
+@query("annotate_chain")
+def q_annotate_chain(spark, sf_dir):
+    r = fixtures.rec(spark, sf_dir).select("doc_id", "input")
+    steps = [{"prompt": EXTRACT_PROMPT + ": {input}", "out": "rationale"},
+             {"prompt": SUMMARIZE_PROMPT + ": {rationale}", "out": "summary"}]
+    a = ann.materialize(ann.annotate_chain(r, steps, _model))
+    return a.select("doc_id", "rationale", "summary")
+
+
+@query("reannotate")
+def q_reannotate(spark, sf_dir):
+    r = prep.drop_column_strict(fixtures.rec(spark, sf_dir), "rationale")
+    a = ann.materialize(ann.annotate(r, EXTRACT_PROMPT + ": {input}", "rationale", _model))
+    good, _ = ann.split_rejects(a, "rationale")
+    path = shared_dir(spark, "reannotated")
+    sinks.write_json_lines(good, path)
+    schema = "doc_id long, lang string, input string, output string, rationale string, rationale_prompt string"
+    return spark.read.schema(schema).json(path)
+
+
+@query("summarise_resume")
+def q_summarise_resume(spark, sf_dir):
+    """I5 for subtask multiclinsum_test_en: scan folder, skip done, localised prompt, annotate, export."""
+    subtask = "multiclinsum_test_en"
+    folder, target = shared_dir(spark, subtask), shared_dir(spark, "submissions")
+    sinks.export_text_files(_case_files(spark, sf_dir, "en"), _posix(folder), "filename", "text")
+    done = _done_names(spark, sf_dir).withColumn("summary", F.lit("done earlier"))
+    sinks.export_text_files(done, _posix(target), "out_name", "summary")
+    inputs = readers.read_text_folder(spark, folder)
+    done_now = spark.read.format("binaryFile").load(target).select(
+        F.element_at(F.split("path", "/"), -1).alias("out_name"))
+    todo = joins.resume_anti_join(inputs, done_now, text.summary_file_name("filename"))
+    todo = todo.withColumn("lang", text.subtask_lang(F.lit(subtask)))
+    todo = joins.localised_prompt(todo, spark)
+    a = ann.materialize(ann.annotate(todo, "{instruction}: {input}", "summary", _model))
+    good, _ = ann.split_rejects(a, "summary")
+    good = good.withColumn("out_name", text.summary_file_name("filename"))
+    sinks.export_text_files(good, _posix(target), "out_name", "summary")
+    return good.select("out_name", "summary")
