@@ -404,3 +404,42 @@ SELECT doc_id, lang, input, output, {_ANN} AS rationale, {EXTRACT} || ': ' || in
 ORACLE["summarise_resume"] = f"""
 SELECT replace(filename, '.txt', '_sum.txt') AS out_name, substring({SUMMARIZE} || ': ' || {NORM}, 1, 256) AS summary
 FROM ({CASES}) c WHERE lang = 'en' AND 'case_' || doc_id::VARCHAR || '_sum.txt' NOT IN ({DONE})"""
+
+
+# ------------------------------------------------------------------ G / A10 / M5
+ORACLE["stream_annotate"] = with_(REC) + f"SELECT doc_id, {_ANN} AS rationale FROM rec"
+ORACLE["stream_dedup"] = "SELECT doc_id, lang FROM documents"
+ORACLE["stream_leaderboard"] = with_(*SPLIT, TEST_PAIRS, suite_cte("test_pairs", "run_id, subtask, doc_id")) + f"""
+SELECT run_id, subtask, round(avg(rouge1), 4) AS rouge1, round(avg(rouge2), 4) AS rouge2, round(avg(rougeL), 4) AS rougeL
+FROM (SELECT run_id, subtask, {suite_scores()} FROM suite) GROUP BY ALL"""
+
+_U = "('0x' || substr(md5('42:' || rep::VARCHAR || ':' || doc_id::VARCHAR), 1, 8))::UBIGINT::DOUBLE / 4294967296.0"
+ORACLE["bootstrap_ci"] = with_(*BASE, ALL_PAIRS, suite_cte("all_pairs", "run_id, doc_id")) + f""", x AS (
+  SELECT run_id, doc_id, {f1('o1', 'np1', 'nr1')} AS v FROM suite),
+w AS (SELECT run_id, rep, sum({poisson_case(_U)} * v) / sum({poisson_case(_U)}) AS m
+      FROM x CROSS JOIN range(100) t(rep) GROUP BY run_id, rep)
+SELECT run_id, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.5), 6) AS mid,
+       round(quantile_cont(m, 0.975), 6) AS high FROM w GROUP BY run_id"""
+
+_TV = with_(*BASE, ALL_PAIRS) + f""", sides AS (
+  SELECT run_id, doc_id, 'ref' AS side, {tok('output')} AS t FROM all_pairs
+  UNION ALL SELECT run_id, doc_id, 'pred', {tok('summary')} FROM all_pairs),
+tk AS (SELECT run_id, doc_id, side, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos FROM sides),
+tv AS (SELECT tk.run_id, tk.doc_id, tk.side, tk.pos, e.embedding::DOUBLE[] AS v
+       FROM tk JOIN embeddings e ON e.vec_id = (length(tk.token) * 31 + ascii(tk.token)) % 500 WHERE tk.pos < 32),
+nv AS (SELECT run_id, doc_id, side, pos,
+              list_transform(v, lambda a: a / CASE WHEN sqrt(list_sum(list_transform(v, lambda b: b * b))) = 0 THEN 1.0
+                                                   ELSE sqrt(list_sum(list_transform(v, lambda b: b * b))) END) AS u FROM tv),
+sims AS (SELECT p.run_id, p.doc_id, p.pos AS pp, r.pos AS rp, list_dot_product(p.u, r.u) AS s
+         FROM nv p JOIN nv r ON p.run_id = r.run_id AND p.doc_id = r.doc_id AND p.side = 'pred' AND r.side = 'ref'),
+pr AS (SELECT run_id, doc_id, avg(ms) AS prec FROM (SELECT run_id, doc_id, pp, max(s) AS ms FROM sims GROUP BY ALL) GROUP BY ALL),
+rc AS (SELECT run_id, doc_id, avg(ms) AS rec FROM (SELECT run_id, doc_id, rp, max(s) AS ms FROM sims GROUP BY ALL) GROUP BY ALL),
+keys AS (SELECT DISTINCT run_id, doc_id FROM tv)
+"""
+ORACLE["greedy_embedding_match"] = _TV + """
+SELECT k.run_id, k.doc_id, round(coalesce(pr.prec, 0.0), 4) AS bertscore_precision,
+       round(coalesce(rc.rec, 0.0), 4) AS bertscore_recall,
+       round(CASE WHEN coalesce(pr.prec, 0) + coalesce(rc.rec, 0) > 0
+                  THEN 2 * coalesce(pr.prec, 0) * coalesce(rc.rec, 0) / (coalesce(pr.prec, 0) + coalesce(rc.rec, 0))
+                  ELSE 0.0 END, 4) AS bertscore_f1
+FROM keys k LEFT JOIN pr USING (run_id, doc_id) LEFT JOIN rc USING (run_id, doc_id)"""

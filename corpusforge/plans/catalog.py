@@ -587,3 +587,88 @@ def q_summarise_resume(spark, sf_dir):
     good = good.withColumn("out_name", text.summary_file_name("filename"))
     sinks.export_text_files(good, _posix(target), "out_name", "summary")
     return good.select("out_name", "summary")
+
+
+# ------------------------------------------------------------------ G
+from corpusforge.streaming import jobs as stream  # noqa: E402
+
+
+def _landed(spark, df, name, times=1, files=4):
+    path = shared_dir(spark, name)
+    for _ in range(times):
+        df.repartition(files).write.mode("append").parquet(path)
+    return path
+
+
+@query("stream_annotate")
+def q_stream_annotate(spark, sf_dir):
+    r = fixtures.rec(spark, sf_dir).select("doc_id", "input")
+    src = _landed(spark, r, "stream-in")
+    out = stream.stream_annotate(spark, src, r.schema, EXTRACT_PROMPT + ": {input}", "rationale", _model,
+                                 shared_dir(spark, "stream-out"), shared_dir(spark, "stream-ckpt"))
+    return out.select("doc_id", "rationale")
+
+
+@query("stream_dedup")
+def q_stream_dedup(spark, sf_dir):
+    r = fixtures.rec(spark, sf_dir).select("doc_id", "lang")
+    src = _landed(spark, r, "stream-dup", times=2)
+    out = stream.stream_dedup(spark, src, r.schema, "doc_id", shared_dir(spark, "dedup-out"),
+                              shared_dir(spark, "dedup-ckpt"))
+    return out.select("doc_id", "lang")
+
+
+@query("stream_leaderboard")
+def q_stream_leaderboard(spark, sf_dir):
+    preds = fixtures.pred(spark, sf_dir)
+    path = shared_dir(spark, "stream-preds")
+    for run in sorted(RUN_MODELS):  # one landing per run
+        preds.filter(F.col("run_id") == run).repartition(2).write.mode("append").parquet(path)
+    refs = evaluate.test_references(spark, sf_dir).select("doc_id", "subtask", "output")
+    return stream.stream_leaderboard(spark, path, preds.schema, refs, shared_dir(spark, "lb-state"),
+                                     shared_dir(spark, "lb-ckpt"))
+
+
+# ------------------------------------------------------------------ A10 / M5 / F10 / eval
+@query("bootstrap_ci")
+def q_bootstrap_ci(spark, sf_dir):
+    r1 = scores.rouge_n(fixtures.paired_all(spark, sf_dir), 1)
+    b = scores.bootstrap_ci(r1, ["run_id"], "doc_id", "rouge1", replicates=100, seed=42)
+    return b.select("run_id", *[F.round(c, 6).alias(c) for c in ("low", "mid", "high")])
+
+
+@query("greedy_embedding_match")
+def q_greedy_embedding_match(spark, sf_dir):
+    g = scores.greedy_embedding_match(fixtures.tokvec(spark, sf_dir))
+    return g.select("run_id", "doc_id", *[F.round(c, 4).alias(c) for c in
+                                           ("bertscore_precision", "bertscore_recall", "bertscore_f1")])
+
+
+@query("stemmed_vocabulary")
+def q_stemmed_vocabulary(spark, sf_dir):
+    """every distinct ROUGE token of the corpus stemmed once (Porter 1980)."""
+    d = fixtures.table(spark, sf_dir, "documents")
+    toks = d.select(F.explode(text.rouge_tokens("text")).alias("token")).distinct()
+    return toks.select("token", F.element_at(scores._stem_udf(F.array("token")), 1).alias("stem"))
+
+
+@query("eval_predictions")
+def q_eval_predictions(spark, sf_dir):
+    """compute_metrics as a job: unmask -> decode -> sanitize -> sentence lines -> ROUGE (stemmed) -> x100."""
+    v = _vocab(spark, sf_dir)
+    pr = fixtures.paired_all(spark, sf_dir).select(
+        "run_id", "doc_id", tokens.word_pieces("summary").alias("ps"), tokens.word_pieces("output").alias("po"))
+    pr = tokens.encode(tokens.encode(pr, "ps", v, "is"), "po", v, "io")
+    pr = pr.select("run_id", "doc_id",
+                   tokens.pad_truncate(F.col("is"), MAX_OUT)[0].alias("pred_ids"),
+                   tokens.mask_labels(tokens.pad_truncate(F.col("io"), MAX_OUT)[0], F.lit(0), "full").alias("label_ids"))
+    pr = tokens.decode(pr, "pred_ids", v, "pred_text")
+    pr = tokens.decode(pr.withColumn("label_u", tokens.unmask_labels("label_ids")), "label_u", v, "label_text")
+    pr = pr.select("run_id", "doc_id", "pred_ids", "label_ids",
+                   text.sentence_lines(text.sanitize_text("pred_text")).alias("summary"),
+                   text.sentence_lines(text.sanitize_text("label_text")).alias("output"))
+    wide = scores.metric_suite(pr, metrics=("rouge1", "rouge2", "rougeL", "rougeLsum"), stem=True)
+    means = wide.groupBy("run_id").agg(*[F.avg(m).alias(m) for m in ("rouge1", "rouge2", "rougeL", "rougeLsum")])
+    lens = report.mean_nonpad_len(pr.withColumn("label_ids", tokens.unmask_labels("label_ids")),
+                                  ["run_id"], "pred_ids", "label_ids")
+    return report.rouge_avg_percent(means).join(lens, "run_id")
