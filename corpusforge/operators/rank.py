@@ -90,8 +90,8 @@ def ordered_rank(df: DataFrame, group_cols: list[str], order_cols: list[str],
     probe = df.select(num.alias("_q")).filter(F.col("_q").isNotNull())
     probs = [i / buckets for i in range(1, buckets)]
     bounds = sorted(set(probe.approxQuantile("_q", probs, relative_error))) if probs else []
-    arr = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    bucket = F.when(num.isNull(), F.lit(-1)).otherwise(F.size(F.filter(arr, lambda b: b <= num)))
+    bucket = F.when(num.isNull(), F.lit(-1)).otherwise(_count_le(F.col("_q"), bounds, 0, len(bounds)))
+    df = df.withColumn("_q", num)
     x = df.withColumn("_b", bucket.cast("int"))
     counts = x.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*group_cols).orderBy("_b") if group_cols else Window.orderBy("_b")
@@ -100,4 +100,13 @@ def ordered_rank(df: DataFrame, group_cols: list[str], order_cols: list[str],
     joined = x.join(offs, on=[*group_cols, "_b"], how="inner")
     wr = Window.partitionBy(*group_cols, "_b").orderBy(*order_cols)
     out = joined.withColumn(rank_col, (F.col("_start") + F.row_number().over(wr)).cast("long"))
-    return out.drop("_b", "_start")
+    return out.drop("_b", "_start", "_q")
+
+
+def _count_le(x: Column, bounds: list, lo: int, hi: int) -> Column:
+    """Number of sorted bounds <= x, as a balanced CASE tree (log2 comparisons, codegen'd)."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(x < F.lit(float(bounds[mid])), _count_le(x, bounds, lo, mid)) \
+        .otherwise(_count_le(x, bounds, mid + 1, hi))

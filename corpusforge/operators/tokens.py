@@ -45,10 +45,11 @@ def build_vocabulary(df: DataFrame, pieces_col: str, k: int) -> DataFrame:
 
 
 def _vocab_dict(vocab: DataFrame) -> dict:
-    n = vocab.count()
-    if n > MAX_BROADCAST_VOCAB:
-        raise ValueError(f"vocabulary of {n} entries exceeds the broadcast bound; use encode_relational")
-    d = {r["token"]: int(r["id"]) for r in vocab.select("token", "id").collect()}
+    # one bounded pass: fetch at most MAX_BROADCAST_VOCAB + 1 rows and check the size
+    rows = vocab.select("token", "id").limit(MAX_BROADCAST_VOCAB + 1).collect()
+    if len(rows) > MAX_BROADCAST_VOCAB:
+        raise ValueError("vocabulary exceeds the broadcast bound; use encode_relational")
+    d = {r["token"]: int(r["id"]) for r in rows}
     d[IM_START], d[IM_END] = IM_START_ID, IM_END_ID
     return d
 
