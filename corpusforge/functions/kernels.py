@@ -80,8 +80,9 @@ def lcs_length_dp(a, b) -> int:
 # Summary-level LCS (ROUGE-Lsum, Lin 2004 sec. 3.2): union of LCS hits per
 # reference sentence, hits clipped by token counts on both sides.
 # --------------------------------------------------------------------------
-def _lcs_indices(ref_codes: np.ndarray, cand_codes: np.ndarray) -> list:
-    """Indices of ref tokens on one LCS path (backtrack prefers moving in ref)."""
+def _lcs_indices_table(ref_codes, cand_codes) -> list:
+    """Indices of ref tokens on one LCS path from a full DP table (test reference)."""
+    ref_codes, cand_codes = np.asarray(ref_codes), np.asarray(cand_codes)
     m, n = len(ref_codes), len(cand_codes)
     if m == 0 or n == 0:
         return []
@@ -105,6 +106,46 @@ def _lcs_indices(ref_codes: np.ndarray, cand_codes: np.ndarray) -> list:
     return out
 
 
+def _lcs_indices(ref, cand) -> list:
+    """Same path as ``_lcs_indices_table``; the DP rows are bit vectors.
+
+    With the candidate as the bit pattern, LCS(ref[:i], cand[:j]) is the number
+    of zero bits among the low j bits of the row vector after i ref tokens, so
+    the backtrack reads table cells with one mask and one popcount.
+    """
+    m, n = len(ref), len(cand)
+    if m == 0 or n == 0:
+        return []
+    masks: dict = {}
+    for j, t in enumerate(cand):
+        masks[t] = masks.get(t, 0) | (1 << j)
+    full = (1 << n) - 1
+    rows = [full]
+    v = full
+    for t in ref:
+        mm = masks.get(t)
+        if mm is not None:
+            u = v & mm
+            v = ((v + u) | (v - u)) & full
+        rows.append(v)
+
+    def cell(i: int, j: int) -> int:
+        return j - (rows[i] & ((1 << j) - 1)).bit_count() if j else 0
+
+    out = []
+    i, j = m, n
+    while i > 0 and j > 0:
+        if ref[i - 1] == cand[j - 1]:
+            out.append(i - 1)
+            i -= 1
+            j -= 1
+        elif cell(i, j - 1) > cell(i - 1, j):
+            j -= 1
+        else:
+            i -= 1
+    return out
+
+
 def summary_lcs_hits(ref_sents, cand_sents) -> tuple[int, int, int]:
     """(hits, ref token count, candidate token count) for ROUGE-Lsum."""
     ref_sents = [list(s) for s in _as_list(ref_sents) if s is not None and len(s)]
@@ -113,17 +154,13 @@ def summary_lcs_hits(ref_sents, cand_sents) -> tuple[int, int, int]:
     n = sum(len(s) for s in cand_sents)
     if m == 0 or n == 0:
         return 0, m, n
-    vocab: dict = {}
-    enc = lambda s: np.array([vocab.setdefault(t, len(vocab)) for t in s], dtype=np.int64)
-    ref_codes = [enc(s) for s in ref_sents]
-    cand_codes = [enc(s) for s in cand_sents]
     cnt_r = Counter(t for s in ref_sents for t in s)
     cnt_c = Counter(t for s in cand_sents for t in s)
     hits = 0
-    for rs, rc in zip(ref_sents, ref_codes):
+    for rs in ref_sents:
         union = set()
-        for cc in cand_codes:
-            union.update(_lcs_indices(rc, cc))
+        for cs in cand_sents:
+            union.update(_lcs_indices(rs, cs))
         for idx in sorted(union):
             t = rs[idx]
             if cnt_c[t] > 0 and cnt_r[t] > 0:

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusforge.session import checkpoint_root
+
 # Rows of a control table (offsets per group and bucket) we accept to broadcast.
 BROADCAST_MAX_ROWS = 2_000_000
 HASH_BUCKET_DIGITS = 4  # 65,536 buckets per group
@@ -30,6 +32,7 @@ def seeded_hash(key, seed: int) -> Column:
 
 def _bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Checkpoint a control table and broadcast it only if its row count is bounded."""
+    checkpoint_root(small.sparkSession)  # the configured shared folder (own one only if unset)
     small = small.checkpoint(eager=True)
     return F.broadcast(small) if small.count() <= max_rows else small
 

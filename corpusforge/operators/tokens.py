@@ -45,11 +45,10 @@ def build_vocabulary(df: DataFrame, pieces_col: str, k: int) -> DataFrame:
 
 
 def _vocab_dict(vocab: DataFrame) -> dict:
-    # one bounded pass: fetch at most MAX_BROADCAST_VOCAB + 1 rows and check the size
-    rows = vocab.select("token", "id").limit(MAX_BROADCAST_VOCAB + 1).collect()
-    if len(rows) > MAX_BROADCAST_VOCAB:
-        raise ValueError("vocabulary exceeds the broadcast bound; use encode_relational")
-    d = {r["token"]: int(r["id"]) for r in rows}
+    n = vocab.count()
+    if n > MAX_BROADCAST_VOCAB:
+        raise ValueError(f"vocabulary of {n} entries exceeds the broadcast bound; use encode_relational")
+    d = {r["token"]: int(r["id"]) for r in vocab.select("token", "id").collect()}
     d[IM_START], d[IM_END] = IM_START_ID, IM_END_ID
     return d
 
@@ -123,8 +122,10 @@ def mask_labels(input_ids, prefix_len, mode: str = "prompt", pad: int = PAD_ID)
     """
     c = _c(input_ids)
     if mode == "prompt":
-        p = _c(prefix_len)
-        return F.transform(c, lambda x, i: F.when(i < p, F.lit(IGNORE_ID)).otherwise(x))
+        # no lambda: the prefix length is evaluated once per row, not once per element
+        p = F.least(F.greatest(_c(prefix_len), F.lit(0)), F.size(c))
+        return F.concat(F.array_repeat(F.lit(IGNORE_ID), p),
+                        F.slice(c, p + 1, F.greatest(F.size(c) - p, F.lit(0))))
     if mode == "as_written":
         return F.transform(c, lambda x: F.lit(IGNORE_ID))
     if mode == "full":

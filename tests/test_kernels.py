@@ -51,3 +51,10 @@ def test_porter_known_stems():
              "generalization": "gener", "hopeful": "hope", "goodness": "good", "adjustment": "adjust"}
     for w, s in cases.items():
         assert kernels.porter_stem(w) == s, w
+
+
+@given(toks, toks)
+@settings(max_examples=300, deadline=None)
+def test_bit_row_backtrack_equals_table_backtrack(a, b):
+    assert kernels._lcs_indices(a, b) == kernels._lcs_indices_table(
+        [ord(x) for x in a], [ord(x) for x in b])
