@@ -42,6 +42,11 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, F.lit(r"(?s)\\(.)"), F.lit("$1"))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: inside lambdas a plain column is computed at each mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _marks(role: Column, escaped: Column) -> tuple[Column, Column]:
     bs = F.when(escaped, F.lit("\\")).otherwise(F.lit(""))
     opened = (F.when(role == "user", F.concat(F.lit("[INST"), bs, F.lit("]")))
@@ -64,8 +69,10 @@ def render(turns: Column, level: int) -> Column:
             esc = t["text"].rlike(CONTROL)
         else:
             esc = F.lit(True)
-        opened, closed = _marks(t["role"], esc)
-        return F.concat(opened, F.when(esc, escape(t["text"])).otherwise(t["text"]), closed)
+        def put(e):
+            opened, closed = _marks(t["role"], e)
+            return F.concat(opened, F.when(e, escape(t["text"])).otherwise(t["text"]), closed)
+        return _let(esc, put)
     return F.array_join(F.transform(turns, one), "")
 
 
@@ -75,30 +82,34 @@ def parse(formatted: Column) -> Column:
     The lexer cuts the text at control strings; the grammar wants an opening
     mark, one text, the matching closing mark, and nothing between turns.
     """
-    marks = F.regexp_extract_all(formatted, F.lit(CONTROL), F.lit(0))
-    segs = F.split(formatted, CONTROL, -1)
-
     def kind(m):
         return F.regexp_extract(m, r"^(\[|<<SYS|<<ROLE|<s)", 1)
 
-    def turn(i):
-        opened, closed = F.get(marks, i * 2), F.get(marks, i * 2 + 1)
-        text, gap = F.get(segs, i * 2 + 1), F.get(segs, i * 2 + 2)
-        k = kind(opened)
-        role = (F.when(k == "[", F.lit("user")).when(k == "<s", F.lit("assistant"))
-                .when(k == "<<SYS", F.lit("system"))
-                .when(k == "<<ROLE", F.decode(F.unhex(F.regexp_extract(opened, r" ([0-9A-F]*)>>$", 1)), "UTF-8")))
-        want = (F.when(k == "[", F.lit("[/INST]")).when(k == "<s", F.lit("</s>"))
-                .when(k == "<<SYS", F.lit("<</SYS>>")).when(k == "<<ROLE", F.lit("<</ROLE>>")))
-        esc = opened.contains("\\")
-        fine = (closed == want) & (gap == "")
-        return F.when(fine, F.struct(role.alias("role"),
-                                     F.when(esc, unescape(text)).otherwise(text).alias("text")))
-
-    n = F.size(marks)
-    turns = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor(n / 2).cast("int") - 1), turn))
-    ok = (n % 2 == 0) & (n > 0) & (F.element_at(segs, 1) == "") & ~F.exists(turns, lambda t: t.isNull())
-    return F.when(ok, turns)
+    def turns_of(lexed):
+        marks, segs = lexed["marks"], lexed["segs"]
+
+        def turn(i):
+            return _let(F.struct(F.get(marks, i * 2).alias("opened"), F.get(marks, i * 2 + 1).alias("closed"),
+                                 F.get(segs, i * 2 + 1).alias("text"), F.get(segs, i * 2 + 2).alias("gap"),
+                                 kind(F.get(marks, i * 2)).alias("kind")), one)
+
+        def one(t):
+            role = (F.when(t["kind"] == "[", F.lit("user")).when(t["kind"] == "<s", F.lit("assistant"))
+                    .when(t["kind"] == "<<SYS", F.lit("system"))
+                    .when(t["kind"] == "<<ROLE", F.decode(F.unhex(F.regexp_extract(t["opened"], r" ([0-9A-F]*)>>$", 1)), "UTF-8")))
+            want = (F.when(t["kind"] == "[", F.lit("[/INST]")).when(t["kind"] == "<s", F.lit("</s>"))
+                    .when(t["kind"] == "<<SYS", F.lit("<</SYS>>")).when(t["kind"] == "<<ROLE", F.lit("<</ROLE>>")))
+            return F.when((t["closed"] == want) & (t["gap"] == ""),
+                          F.struct(role.alias("role"), F.when(t["opened"].contains("\\"), unescape(t["text"]))
+                                   .otherwise(t["text"]).alias("text")))
+
+        n = F.size(marks)
+        return F.when((n > 0) & (n % 2 == 0) & (F.get(segs, F.lit(0)) == ""),
+                      F.transform(F.sequence(F.lit(0), F.floor(n / 2).cast("int") - 1), turn))
+
+    turns = _let(F.struct(F.regexp_extract_all(formatted, F.lit(CONTROL), F.lit(0)).alias("marks"),
+                          F.split(formatted, CONTROL, -1).alias("segs")), turns_of)
+    return _let(turns, lambda ts: F.when(~F.exists(ts, lambda t: t.isNull()), ts))
 
 
 def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn",
