@@ -59,3 +59,27 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "(-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
     return chat.read_back(chat.format_chats(rows))
+
+
+@query("op7_bidirectional_gated_langid")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the other crc32 folds."""
+    from corpusforge.llm import langid
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
+@query("op8_positive_unlabelled_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every whole text, learned from confirmed toxic rows and unlabelled text."""
+    from corpusforge.llm import toxicity
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), cut=0.5)
+
+
+@query("op9_byte_cnn_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text by a byte-level convolutional network."""
+    from corpusforge.llm import quality
+    docs = table(spark, sf_dir, "documents")
+    return quality.predict(docs, quality.fit(docs, table(spark, sf_dir, "labels")), cut=0.3)
