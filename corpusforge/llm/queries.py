@@ -83,3 +83,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusforge.llm import quality
     docs = table(spark, sf_dir, "documents")
     return quality.predict(docs, quality.fit(docs, table(spark, sf_dir, "labels")), cut=0.3)
+
+
+@query("op5_simhash_byte_index")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    from corpusforge.llm import simhash
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=3)
