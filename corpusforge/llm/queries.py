@@ -90,3 +90,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     from corpusforge.llm import simhash
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=3)
+
+
+@query("op2_template_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id) of every document that holds a benchmark item or its template."""
+    from corpusforge.llm import decontam
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
