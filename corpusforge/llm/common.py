@@ -63,3 +63,23 @@ def hash_fraction(*cols) -> "F.Column":
 def crc_fold(id_col: str, mod: int):
     """crc32 of the id as text, modulo ``mod``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
+
+
+def running(df: DataFrame, value: str, keys: list[str], rank=None, names=("lo", "hi")) -> DataFrame:
+    """``df`` with the running total of ``value`` before and after each row.
+
+    The order is (rank, hash of ``keys``, ``keys``); rows with equal keys must
+    not occur. Totals of ORDER_BUCKETS buckets a rank are added up first (a
+    bounded table), then each bucket runs on its own, so no task sees all rows.
+    """
+    from pyspark.sql import Window
+    rank = F.lit(0) if rank is None else rank
+    b, off = fresh(df.columns, "cf_bucket", "cf_off")
+    df = df.withColumn(b, rank * ORDER_BUCKETS + F.pmod(F.xxhash64(*keys), F.lit(ORDER_BUCKETS)))
+    before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (df.groupBy(b).agg(F.sum(value).alias(off))
+               .select(b, F.coalesce(F.sum(off).over(before), F.lit(0)).alias(off)))
+    inside = Window.partitionBy(b).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    lo, hi = names
+    return (df.withColumn(hi, F.sum(value).over(inside)).join(F.broadcast(offsets), b)
+            .withColumn(hi, (F.col(hi) + F.col(off)).cast("long")).withColumn(lo, F.col(hi) - F.col(value)).drop(b, off))

@@ -97,3 +97,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id) of every document that holds a benchmark item or its template."""
     from corpusforge.llm import decontam
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_hierarchical_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    from corpusforge.llm import packing
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
