@@ -106,3 +106,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from corpusforge.llm import packing
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+@query("op1_hidden_markov_lm")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hidden Markov log10 probability of every whole text beside the add-one unigram base."""
+    from corpusforge.llm import lm_hmm
+    return lm_hmm.score_documents(table(spark, sf_dir, "documents"))
