@@ -113,3 +113,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hidden Markov log10 probability of every whole text beside the add-one unigram base."""
     from corpusforge.llm import lm_hmm
     return lm_hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op6_improbable_feature_digest")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every document and its edited text, with their likeness."""
+    from corpusforge.llm import fingerprint
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
