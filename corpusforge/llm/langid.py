@@ -1,7 +1,7 @@
 """Language ID: a bidirectional gated recurrent network over bytes, in numpy.
 
-Each direction is a minimal gated unit: gate f = clip(x_f + h U_f, 0, 1),
-candidate c = clip(x_c + (f h) U_c, -1, 1), state h += f (c - h). Both states
+Each direction is a minimal gated unit: gate f = sigmoid(x_f + h U_f),
+candidate c = tanh(x_c + (f h) U_c), state h += f (c - h). Both states
 label every byte position with language probabilities; a document's
 probabilities are the mean over all its positions, its score the largest.
 Training is backpropagation through time over byte windows with Adam.
@@ -45,10 +45,13 @@ def _sweep(x: np.ndarray, p: dict, reverse: bool):
         z = p["table"].take(x[t], axis=0)
         np.matmul(h, p["uf"], out=f)
         f += z[:, :hid]
-        np.clip(f, 0, 1, out=f)
+        f *= 0.5
+        np.tanh(f, out=f)  # sigmoid(z) = (1 + tanh(z / 2)) / 2
+        f += 1
+        f *= 0.5
         np.matmul(f * h, p["uc"], out=c)
         c += z[:, hid:]
-        np.clip(c, -1, 1, out=c)
+        np.tanh(c, out=c)
         c -= h
         c *= f
         h += c
@@ -61,14 +64,10 @@ def _train_sweep(x, p, reverse):
     tape, states = [], np.empty((*x.shape, hid), np.float32)
     for t in range(len(x) - 1, -1, -1) if reverse else range(len(x)):
         z = p["table"][x[t]]
-        zf = z[:, :hid] + h @ p["uf"]
-        f = np.clip(zf, 0, 1)
+        f = 0.5 + 0.5 * np.tanh(0.5 * (z[:, :hid] + h @ p["uf"]))
         g = f * h
-        zc = z[:, hid:] + g @ p["uc"]
-        c = np.clip(zc, -1, 1)
-        # small slope outside the clip range, so that no unit stops learning
-        tape.append((t, h, f, g, c, np.where((zf > 0) & (zf < 1), 1, 0.05).astype(np.float32),
-                     np.where(np.abs(zc) < 1, 1, 0.05).astype(np.float32)))
+        c = np.tanh(z[:, hid:] + g @ p["uc"])
+        tape.append((t, h, f, g, c))
         h = h + f * (c - h)
         states[t] = h
     return states, tape
@@ -79,13 +78,13 @@ def _through_time(x, p, tape, dstates):
     g_in = np.empty((*x.shape, 2 * hid), np.float32)
     duf, duc = np.zeros_like(p["uf"]), np.zeros_like(p["uc"])
     dh = np.zeros((x.shape[1], hid), np.float32)
-    for t, h, f, g, c, sf, sc in reversed(tape):
+    for t, h, f, g, c in reversed(tape):
         dh = dh + dstates[t]
-        dzc = dh * f * sc
+        dzc = dh * f * (1 - c * c)
         df = dh * (c - h)
         dg = dzc @ p["uc"].T
         df += dg * h
-        dzf = df * sf
+        dzf = df * f * (1 - f)
         duf += h.T @ dzf
         duc += g.T @ dzc
         dh = dh * (1 - f) + dg * f + dzf @ p["uf"].T
@@ -102,7 +101,6 @@ def train_network(windows: np.ndarray, labels: np.ndarray, n_langs: int, steps:
     net = {}
     for d in ("fw", "bw"):
         tab = r(256, 2 * HIDDEN)
-        tab[:, :HIDDEN] += 0.4
         net[d] = {"table": tab, "uf": r(HIDDEN, HIDDEN, k=0.1), "uc": r(HIDDEN, HIDDEN)}
     net["out"] = {"w": r(2 * HIDDEN, n_langs), "b": np.zeros(n_langs, np.float32)}
     mean = {k: {n: np.zeros_like(a) for n, a in v.items()} for k, v in net.items()}
