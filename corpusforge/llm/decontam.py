@@ -121,8 +121,8 @@ def window_hashes(slot: np.ndarray, hash_: np.ndarray) -> tuple[np.ndarray, np.n
     return at, _mix(h[at])
 
 
-def _bits(h: np.ndarray):
-    mask = np.uint64((1 << BLOOM_BITS) - 1)
+def _bits(h: np.ndarray, size: int):
+    mask = np.uint64(size - 1)
     return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
 
 
@@ -151,7 +151,7 @@ def windows(df: DataFrame, id_col: str, text_col: str, bloom: np.ndarray | None
                 at, h = window_hashes(slot, hash_)
                 n = len(at)
                 if bloom is not None and n:
-                    one, two = _bits(h)
+                    one, two = _bits(h, len(bloom))
                     hit = np.flatnonzero(bloom[one] & bloom[two])
                     at, h = at[hit], h[hit]
                 for p, x in zip(at.tolist(), h.view(np.int64).tolist()):
