@@ -124,12 +124,12 @@ ORACLE["rename_task_fields"] = with_(REC) + "SELECT doc_id, rationale_prompt AS
 
 ORACLE["summary_file_name"] = """
 SELECT doc_id, filepath, string_split(string_split(filepath, '/')[-1], '.')[-2] || '_sum.txt' AS out_name
-FROM (SELECT doc_id, 'multiclinsum_test_' || lang || '/' || source || '.' || doc_id::VARCHAR || '.txt' AS filepath
+FROM (SELECT doc_id, 'casesum_test_' || lang || '/' || source || '.' || doc_id::VARCHAR || '.txt' AS filepath
       FROM documents)"""
 
 ORACLE["subtask_lang"] = """
 SELECT doc_id, subtask, string_split(subtask, '_')[-1] AS lang
-FROM (SELECT doc_id, 'multiclinsum_test_' || lang AS subtask FROM documents)"""
+FROM (SELECT doc_id, 'casesum_test_' || lang AS subtask FROM documents)"""
 
 ORACLE["domain_violations"] = with_(*BASE) + f""", p AS (
   SELECT p.doc_id, p.run_id, 'test_' || d.lang AS subtask FROM pred p JOIN documents d USING (doc_id))
@@ -173,12 +173,15 @@ FROM loc"""
 ORACLE["parse_chat_response"] = f"""
 WITH r AS (
   SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN '{{}}'
-    ELSE to_json({{'choices': [{{'message': {{'content': ' ' || substring(d.text, 1, 300) || ' ' || chr(10)}}}}]}})::VARCHAR END AS reply
+    ELSE to_json({{'choices': [{{'message': {{'content': ' ' || d.text || ' ' || chr(10)}}}}]}})::VARCHAR END AS reply
   FROM documents d LEFT JOIN labels l USING (doc_id))
 SELECT doc_id, regexp_replace(json_extract_string(reply, '$.choices[0].message.content'),
                               '^{WS}+|{WS}+$', '', 'g') AS content
 FROM r WHERE json_extract_string(reply, '$.choices[0].message.content') IS NOT NULL"""
 
+ORACLE["parse_chat_rejects"] = """
+SELECT d.doc_id, '{}' AS reply FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 1 OR d.text IS NULL"""
+
 ORACLE["rouge_tokens"] = f"""
 SELECT doc_id, array_to_string(t, ' ') AS tokens, len(t)::BIGINT AS n_tokens
 FROM (SELECT doc_id, {tok('text')} AS t FROM documents)"""
@@ -291,6 +294,11 @@ def _enc_ctes(task_instr: str = SUMMARIZE, answer: str = "output", name: str = "
 {name} AS (SELECT doc_id, lang, {pieces('prompt')} AS p, len({pieces(prefix_sql('prompt'))}) AS prefix_len FROM {name}_pr)"""
 
 
+VOCAB_ALL = """vocab AS (
+  SELECT token, (row_number() OVER (ORDER BY n DESC, token) + 3)::BIGINT AS id, n FROM (
+    SELECT token, count(*) AS n FROM (SELECT unnest(p) AS token FROM pc)
+    WHERE token NOT IN ('<|im_start|>', '<|im_end|>') GROUP BY token))"""
+
 VOCAB = """vocab AS (
   SELECT token, (row_number() OVER (ORDER BY n DESC, token) + 3)::BIGINT AS id, n FROM (
     SELECT token, count(*) AS n FROM (SELECT unnest(p) AS token FROM pc)
@@ -307,7 +315,7 @@ def enc_cte(src: str, name: str) -> str:
     LEFT JOIN vocab v ON v.token = t.tok GROUP BY doc_id) e USING (doc_id))"""
 
 
-_TOK = with_(REC, _enc_ctes(), VOCAB, enc_cte("pc", "enc")) + f""", padded AS (
+_TOK = with_(REC, _enc_ctes(), VOCAB_ALL, enc_cte("pc", "enc")) + f""", padded AS (
   SELECT e.doc_id, pc.lang, pc.prefix_len, len(e.ids) AS n, {pad_sql('e.ids', MAXIN)} AS input_ids,
          {mask_sql('e.ids', MAXIN)} AS attention_mask
   FROM enc e JOIN pc USING (doc_id)),
@@ -398,6 +406,10 @@ ORACLE["annotate_chain"] = with_(REC) + f"""
 SELECT doc_id, r AS rationale, substring({SUMMARIZE} || ': ' || r, 1, 256) AS summary
 FROM (SELECT doc_id, {_ANN} AS r FROM rec)"""
 
+ORACLE["annotate_chain_rejects"] = with_(REC) + f"""
+SELECT doc_id, 'rationale: ValueError: prompt too long' AS error, 3::BIGINT AS attempts FROM rec
+WHERE length({EXTRACT} || ': ' || input) > 20000"""
+
 ORACLE["reannotate"] = with_(REC) + f"""
 SELECT doc_id, lang, input, output, {_ANN} AS rationale, {EXTRACT} || ': ' || input AS rationale_prompt FROM rec"""
 
@@ -421,20 +433,23 @@ w AS (SELECT run_id, rep, sum({poisson_case(_U)} * v) / sum({poisson_case(_U)})
 SELECT run_id, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.5), 6) AS mid,
        round(quantile_cont(m, 0.975), 6) AS high FROM w GROUP BY run_id"""
 
+# equal vectors have equal cosines, so the cosine of two vector ids is worked out once
 _TV = with_(*BASE, ALL_PAIRS) + f""", sides AS (
   SELECT run_id, doc_id, 'ref' AS side, {tok('output')} AS t FROM all_pairs
   UNION ALL SELECT run_id, doc_id, 'pred', {tok('summary')} FROM all_pairs),
-tk AS (SELECT run_id, doc_id, side, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos FROM sides),
-tv AS (SELECT tk.run_id, tk.doc_id, tk.side, tk.pos, e.embedding::DOUBLE[] AS v
-       FROM tk JOIN embeddings e ON e.vec_id = (length(tk.token) * 31 + ascii(tk.token)) % 500 WHERE tk.pos < 32),
-nv AS (SELECT run_id, doc_id, side, pos,
-              list_transform(v, lambda a: a / CASE WHEN sqrt(list_sum(list_transform(v, lambda b: b * b))) = 0 THEN 1.0
-                                                   ELSE sqrt(list_sum(list_transform(v, lambda b: b * b))) END) AS u FROM tv),
-sims AS (SELECT p.run_id, p.doc_id, p.pos AS pp, r.pos AS rp, list_dot_product(p.u, r.u) AS s
-         FROM nv p JOIN nv r ON p.run_id = r.run_id AND p.doc_id = r.doc_id AND p.side = 'pred' AND r.side = 'ref'),
-pr AS (SELECT run_id, doc_id, avg(ms) AS prec FROM (SELECT run_id, doc_id, pp, max(s) AS ms FROM sims GROUP BY ALL) GROUP BY ALL),
-rc AS (SELECT run_id, doc_id, avg(ms) AS rec FROM (SELECT run_id, doc_id, rp, max(s) AS ms FROM sims GROUP BY ALL) GROUP BY ALL),
-keys AS (SELECT DISTINCT run_id, doc_id FROM tv)
+tk AS (SELECT run_id, doc_id, side, unnest(t) AS token FROM sides),
+tv AS (SELECT run_id, doc_id, side, (('0x' || substr(md5(token), 1, 8))::UBIGINT % (SELECT count(*) FROM embeddings))::BIGINT AS vec_id,
+              count(*) AS n FROM tk GROUP BY ALL),
+nv AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda a: a / CASE WHEN sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda b: b * b))) = 0
+         THEN 1.0 ELSE sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda b: b * b))) END) AS u FROM embeddings),
+cs AS (SELECT a.vec_id AS x, b.vec_id AS y, list_dot_product(a.u, b.u) AS s FROM nv a CROSS JOIN nv b),
+tv2 AS (SELECT tv.* FROM tv JOIN embeddings e USING (vec_id)),
+sims AS (SELECT p.run_id, p.doc_id, p.vec_id AS pv, r.vec_id AS rv, p.n AS pn, r.n AS rn, cs.s
+         FROM tv2 p JOIN tv2 r ON p.run_id = r.run_id AND p.doc_id = r.doc_id AND p.side = 'pred' AND r.side = 'ref'
+         JOIN cs ON cs.x = p.vec_id AND cs.y = r.vec_id),
+pr AS (SELECT run_id, doc_id, sum(ms * pn) / sum(pn) AS prec FROM (SELECT run_id, doc_id, pv, pn, max(s) AS ms FROM sims GROUP BY ALL) GROUP BY ALL),
+rc AS (SELECT run_id, doc_id, sum(ms * rn) / sum(rn) AS rec FROM (SELECT run_id, doc_id, rv, rn, max(s) AS ms FROM sims GROUP BY ALL) GROUP BY ALL),
+keys AS (SELECT DISTINCT run_id, doc_id FROM tv2)
 """
 ORACLE["greedy_embedding_match"] = _TV + """
 SELECT k.run_id, k.doc_id, round(coalesce(pr.prec, 0.0), 4) AS bertscore_precision,

@@ -173,7 +173,11 @@ def summary_lcs_hits(ref_sents, cand_sents) -> tuple[int, int, int]:
 # --------------------------------------------------------------------------
 # Greedy cosine matching of token vectors (BERTScore without idf).
 # --------------------------------------------------------------------------
-def greedy_match(pred_vecs, ref_vecs) -> tuple[float, float, float]:
+GREEDY_BLOCK = 1024
+
+
+def greedy_match(pred_vecs, ref_vecs, pred_n=None, ref_n=None) -> tuple[float, float, float]:
+    """Mean best cosine of either side, weighted by counts; products are made in blocks."""
     if pred_vecs is None or ref_vecs is None or len(pred_vecs) == 0 or len(ref_vecs) == 0:
         return 0.0, 0.0, 0.0
     p = np.asarray([np.asarray(v, dtype=np.float64) for v in pred_vecs])
@@ -182,9 +186,14 @@ def greedy_match(pred_vecs, ref_vecs) -> tuple[float, float, float]:
     rn = np.linalg.norm(r, axis=1, keepdims=True)
     p = p / np.where(pn == 0, 1.0, pn)
     r = r / np.where(rn == 0, 1.0, rn)
-    s = p @ r.T
-    prec = float(s.max(axis=1).mean())
-    rec = float(s.max(axis=0).mean())
+    best_p, best_r = np.full(len(p), -np.inf), np.full(len(r), -np.inf)
+    for i in range(0, len(p), GREEDY_BLOCK):
+        for j in range(0, len(r), GREEDY_BLOCK):
+            s = p[i:i + GREEDY_BLOCK] @ r[j:j + GREEDY_BLOCK].T
+            np.maximum(best_p[i:i + GREEDY_BLOCK], s.max(axis=1), out=best_p[i:i + GREEDY_BLOCK])
+            np.maximum(best_r[j:j + GREEDY_BLOCK], s.max(axis=0), out=best_r[j:j + GREEDY_BLOCK])
+    prec = float(np.average(best_p, weights=pred_n))
+    rec = float(np.average(best_r, weights=ref_n))
     f = 2 * prec * rec / (prec + rec) if prec + rec > 0 else 0.0
     return prec, rec, f
 

@@ -50,17 +50,30 @@ def _model(factory: Callable):
     return m
 
 
+def _ask(model, prompts: list) -> list:
+    """One call; a model that gives another number of answers, or none for a prompt, has failed."""
+    ans = list(model.ask(prompts))
+    if len(ans) != len(prompts):
+        raise ValueError(f"{len(ans)} answers to {len(prompts)} prompts")
+    if any(a is None for a in ans):
+        raise ValueError("a prompt has no answer")
+    return ans
+
+
 def _ask_all(model, prompts: list, batch_size: int, attempts: int):
     """Answers, errors and attempt counts per prompt; a failing batch is retried row by row."""
     n = len(prompts)
     out, err, tries = [None] * n, [None] * n, [0] * n
     for s in range(0, n, batch_size):
-        idx = [i for i in range(s, min(s + batch_size, n)) if prompts[i] is not None]
+        span = range(s, min(s + batch_size, n))
+        idx = [i for i in span if prompts[i] is not None]
+        for i in span:
+            if prompts[i] is None:
+                err[i] = "null prompt"
         if not idx:
             continue
         try:
-            ans = model.ask([prompts[i] for i in idx])
-            for i, a in zip(idx, ans):
+            for i, a in zip(idx, _ask(model, [prompts[i] for i in idx])):
                 out[i], tries[i] = a, 1
             continue
         except Exception:  # noqa: BLE001 - fall back to one prompt at a time
@@ -69,7 +82,7 @@ def _ask_all(model, prompts: list, batch_size: int, attempts: int):
             for k in range(1, attempts + 1):
                 tries[i] = k
                 try:
-                    out[i] = model.ask([prompts[i]])[0]
+                    out[i] = _ask(model, [prompts[i]])[0]
                     err[i] = None
                     break
                 except Exception as e:  # noqa: BLE001
@@ -116,8 +129,16 @@ def split_rejects(annotated: DataFrame, out: str) -> tuple[DataFrame, DataFrame]
 
 
 def annotate_chain(df: DataFrame, steps: list[dict], model_factory: Callable, **kw) -> DataFrame:
-    """A list of {prompt, out} steps; a later prompt may use an earlier ``out``."""
-    x = df
+    """A list of {prompt, out} steps; a later prompt may use an earlier ``out``.
+
+    ``_error`` is the first step's that failed, with its output column, and
+    ``_attempts`` the calls of all steps, so ``split_rejects`` on the last
+    output column keeps every record in one of its two results.
+    """
+    x = df.withColumn("_chain_error", F.lit(None).cast("string")).withColumn("_chain_attempts", F.lit(0))
     for st in steps:
-        x = annotate(x, st["prompt"], st["out"], model_factory, **kw).drop("_error", "_attempts")
-    return x
+        x = annotate(x, st["prompt"], st["out"], model_factory, **kw)
+        failed = F.when(F.col("_error").isNotNull(), F.concat(F.lit(st["out"] + ": "), F.col("_error")))
+        x = (x.withColumn("_chain_error", F.coalesce("_chain_error", failed))
+             .withColumn("_chain_attempts", F.col("_chain_attempts") + F.col("_attempts")).drop("_error", "_attempts"))
+    return x.withColumnRenamed("_chain_error", "_error").withColumnRenamed("_chain_attempts", "_attempts")

@@ -48,6 +48,14 @@ def bucket_offsets(df: DataFrame, group_cols: list[str], hash_col: str) -> DataF
             .withColumn("_n", F.sum("_cnt").over(Window.partitionBy(*group_cols))))
 
 
+def _with_offsets(df: DataFrame, offs: DataFrame, group_cols: list[str]) -> DataFrame:
+    """Each row with its bucket's offsets; a null group or key is a group or bucket like any other."""
+    by = [*group_cols, "_b"]
+    o = offs.select(*[F.col(c).alias(f"_o_{c}") for c in by], *[c for c in offs.columns if c not in by])
+    same = [df[c].eqNullSafe(o[f"_o_{c}"]) for c in by]
+    return df.join(o, on=same, how="inner").drop(*[f"_o_{c}" for c in by])
+
+
 def hashed_rank(df: DataFrame, group_cols: list[str], key_col: str, seed: int,
                 rank_col: str = "rank", size_col: str | None = "group_size",
                 prefilter=None) -> DataFrame:
@@ -61,7 +69,7 @@ def hashed_rank(df: DataFrame, group_cols: list[str], key_col: str, seed: int,
     offs = bucket_offsets(hashed, group_cols, h)
     offs = _bounded_broadcast(offs)
     b = F.conv(F.substring(F.col(h), 1, HASH_BUCKET_DIGITS), 16, 10).cast("int")
-    joined = hashed.withColumn("_b", b).join(offs, on=[*group_cols, "_b"], how="inner")
+    joined = _with_offsets(hashed.withColumn("_b", b), offs, group_cols)
     if prefilter is not None:
         joined = joined.filter(prefilter(joined))
     w = Window.partitionBy(*group_cols, "_b").orderBy(h, key_col)
@@ -100,7 +108,7 @@ def ordered_rank(df: DataFrame, group_cols: list[str], order_cols: list[str],
     w = Window.partitionBy(*group_cols).orderBy("_b") if group_cols else Window.orderBy("_b")
     offs = counts.withColumn("_start", F.sum("_cnt").over(w) - F.col("_cnt")).drop("_cnt")
     offs = _bounded_broadcast(offs)
-    joined = x.join(offs, on=[*group_cols, "_b"], how="inner")
+    joined = _with_offsets(x, offs, group_cols)
     wr = Window.partitionBy(*group_cols, "_b").orderBy(*order_cols)
     out = joined.withColumn(rank_col, (F.col("_start") + F.row_number().over(wr)).cast("long"))
     return out.drop("_b", "_start", "_q")

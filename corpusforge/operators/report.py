@@ -68,13 +68,13 @@ def mean_scores(scores: DataFrame, group_cols: list[str], decimals: int = 4) ->
 
 def leaderboard(scores: DataFrame, models: DataFrame, metrics: list[str],
                 keys=("run_id", "subtask"), decimals: int = 4) -> DataFrame:
-    """A4: every metric for every (run, subtask); pivot values are given, so no extra job.
+    """A4: every metric for every (run, subtask), from wide scores (one column per metric).
 
-    ``models`` is the run dimension (one row per run) and is broadcast.
+    One aggregation with map-side sums; the run dimension joins the few cells
+    that are left, by whatever join its size allows.
     """
-    wide = scores.groupBy(*keys).pivot("metric", list(metrics)).agg(F.avg("score"))
-    wide = wide.select(*keys, *[F.round(F.col(m), decimals).alias(m) for m in metrics])
-    return wide.join(F.broadcast(models), "run_id", "left")
+    wide = scores.groupBy(*keys).agg(*[F.round(F.avg(m), decimals).alias(m) for m in metrics])
+    return wide.join(models, "run_id", "left")
 
 
 def rouge_avg_percent(means: DataFrame, decimals: int = 4) -> DataFrame:

@@ -145,9 +145,6 @@ def rouge_lsum(df: DataFrame, pred_col: str = "summary", ref_col: str = "output"
                     _f1(o, np_, nr).alias("rougeLsum"))
 
 
-METRICS_SQL_CHECKED = ("rouge1", "rouge2", "rougeL")
-
-
 def metric_suite(df: DataFrame, pred_col: str = "summary", ref_col: str = "output",
                  keys: tuple = ("run_id", "doc_id"), metrics=("rouge1", "rouge2", "rougeL"),
                  stem: bool = False, split_sentences: bool = False) -> DataFrame:
@@ -189,17 +186,20 @@ def metric_suite_long(df: DataFrame, **kw) -> DataFrame:
 
 
 def greedy_embedding_match(vecs: DataFrame, keys: tuple = ("run_id", "doc_id"),
-                           side_col: str = "side", vec_col: str = "vec") -> DataFrame:
+                           side_col: str = "side", vec_col: str = "vec", count_col: str | None = None) -> DataFrame:
     """M5: greedy max-cosine matching (BERTScore P/R/F without idf) per pair.
 
-    Input is a token-vector table (keys..., side in {'pred','ref'}, pos, vec).
-    Vectors of one pair are gathered into one row and matched with a matrix
-    product in an Arrow UDF, so no all-pairs rows are ever materialised.
+    Input is a token-vector table (keys..., side in {'pred','ref'}, vec), one
+    row per token, or per distinct token with its count in ``count_col``.
+    Vectors of one pair are gathered into one row and matched with blocked
+    matrix products in an Arrow UDF, so no all-pairs rows are ever materialised.
     """
+    n = F.lit(1).cast("long") if count_col is None else F.col(count_col).cast("long")
+    item = F.struct(F.col(vec_col).alias("v"), n.alias("n"))
     grouped = vecs.groupBy(*keys).agg(
-        F.collect_list(F.when(F.col(side_col) == "pred", F.col(vec_col))).alias("_p"),
-        F.collect_list(F.when(F.col(side_col) == "ref", F.col(vec_col))).alias("_r"))
-    x = _greedy_udf("_p", "_r")
+        F.collect_list(F.when(F.col(side_col) == "pred", item)).alias("_p"),
+        F.collect_list(F.when(F.col(side_col) == "ref", item)).alias("_r"))
+    x = _greedy_udf("_p.v", "_r.v", "_p.n", "_r.n")
     return grouped.select(*keys, x["precision"].alias("bertscore_precision"),
                           x["recall"].alias("bertscore_recall"), x["f1"].alias("bertscore_f1"))
 
@@ -210,16 +210,16 @@ _GREEDY_T = T.StructType([T.StructField("precision", T.DoubleType()),
 
 
 @F.pandas_udf(_GREEDY_T)
-def _greedy_udf(p: pd.Series, r: pd.Series) -> pd.DataFrame:
-    rows = [kernels.greedy_match(a, b) for a, b in zip(p, r)]
+def _greedy_udf(p: pd.Series, r: pd.Series, np_: pd.Series, nr: pd.Series) -> pd.DataFrame:
+    rows = [kernels.greedy_match(*x) for x in zip(p, r, np_, nr)]
     return pd.DataFrame(rows, columns=["precision", "recall", "f1"], dtype="float64")
 
 
 # ---------------------------------------------------------------- A10 bootstrap
-# Cumulative Poisson(1) probabilities P(K <= k), k = 0..9, built from the rule
-# P(K <= k) = e^-1 * sum_{i<=k} 1/i!.
-POISSON1_CDF = [math.exp(-1.0) * sum(1.0 / math.factorial(i) for i in range(k + 1))
-                for k in range(10)]
+# Cumulative Poisson(1) probabilities P(K <= k) from the rule e^-1 * sum_{i<=k} 1/i!,
+# as far as doubles tell them apart (the last one is 1 up to rounding).
+POISSON1_CDF = [math.exp(-1.0) * math.fsum(1.0 / math.factorial(i) for i in range(k + 1))
+                for k in range(18)]
 
 
 def poisson_weight(u: Column) -> Column:

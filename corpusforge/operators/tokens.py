@@ -17,8 +17,8 @@ from corpusforge.config import IGNORE_ID, IM_END, IM_END_ID, IM_START, IM_START_
 
 N_SPECIAL = 4  # pad, unk, im_start, im_end
 PIECE_PATTERN = r"(<\|im_start\|>|<\|im_end\|>|[a-z0-9]+)"
-# Largest vocabulary we ship to executors as a broadcast dictionary.
-MAX_BROADCAST_VOCAB = 5_000_000
+# Largest vocabulary we ship to executors as a dictionary; a larger one is joined.
+MAX_BROADCAST_VOCAB = 2_000_000
 
 
 def _c(c) -> Column:
@@ -30,33 +30,66 @@ def word_pieces(text) -> Column:
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(PIECE_PATTERN), 1)
 
 
-def build_vocabulary(df: DataFrame, pieces_col: str, k: int) -> DataFrame:
+def build_vocabulary(df: DataFrame, pieces_col: str, k: int | None) -> DataFrame:
     """Top-k pieces by (count desc, piece asc) -> ids after the 4 special ids.
 
     The count is a map-side-combined aggregation; only the k winners (a bounded
-    table) are numbered in one task.
+    table) are numbered in one task. Without ``k`` the whole vocabulary is
+    numbered: counts are few distinct values, so running totals per count (and
+    per hash bucket of the piece within a count) number the pieces in many tasks.
     """
     toks = df.select(F.explode(pieces_col).alias("token")).filter(
         ~F.col("token").isin(IM_START, IM_END))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    if k is None:
+        return _number_all(counts)
     top = counts.orderBy(F.col("n").desc(), F.col("token")).limit(k)
     w = Window.orderBy(F.col("n").desc(), F.col("token"))
     return top.select("token", (F.row_number().over(w) + (N_SPECIAL - 1)).cast("long").alias("id"), "n")
 
 
-def _vocab_dict(vocab: DataFrame) -> dict:
-    n = vocab.count()
-    if n > MAX_BROADCAST_VOCAB:
-        raise ValueError(f"vocabulary of {n} entries exceeds the broadcast bound; use encode_relational")
-    d = {r["token"]: int(r["id"]) for r in vocab.select("token", "id").collect()}
-    d[IM_START], d[IM_END] = IM_START_ID, IM_END_ID
-    return d
+def _number_all(counts: DataFrame) -> DataFrame:
+    """Ids of the order (count desc, piece asc): pieces of one count are ranked by their first characters first."""
+    from corpusforge.operators.annotate import materialize
+    c = materialize(counts.withColumn("_p", F.substring("token", 1, 2)), "vocabulary")
+    cells = c.groupBy("n", "_p").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.orderBy(F.col("n").desc(), F.col("_p")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("n", "_p", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("n", "_p").orderBy("token")
+    return (c.join(cells, ["n", "_p"])
+            .select("token", (F.col("_start") + F.row_number().over(inside) + (N_SPECIAL - 1)).cast("long").alias("id"), "n"))
 
 
-def encode(df: DataFrame, pieces_col: str, vocab: DataFrame, out_col: str = "ids") -> DataFrame:
-    """Pieces -> ids inside each task with a broadcast dictionary (no shuffle)."""
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(_vocab_dict(vocab))
+class Vocabulary:
+    """A vocabulary made once: a staged table and, if it is small enough, one broadcast dictionary."""
+
+    def __init__(self, vocab: DataFrame):
+        from corpusforge.operators.annotate import materialize
+        self.table = materialize(vocab.select("token", "id", "n"), "vocabulary")
+        rows = self.table.select("token", "id").limit(MAX_BROADCAST_VOCAB + 1).collect()
+        self.shared = None
+        if len(rows) <= MAX_BROADCAST_VOCAB:
+            d = {r["token"]: int(r["id"]) for r in rows}
+            d[IM_START], d[IM_END] = IM_START_ID, IM_END_ID
+            self.shared = vocab.sparkSession.sparkContext.broadcast(d)
+
+
+def _made(vocab) -> Vocabulary:
+    return vocab if isinstance(vocab, Vocabulary) else Vocabulary(vocab)
+
+
+def encode(df: DataFrame, pieces_col: str, vocab, out_col: str = "ids") -> DataFrame:
+    """Pieces -> ids inside each task with a broadcast dictionary (no shuffle).
+
+    ``vocab`` is a table or a ``Vocabulary`` made of one. A vocabulary too large
+    for a dictionary is joined instead, with the same result.
+    """
+    v = _made(vocab)
+    bc = v.shared
+    if bc is None:
+        from corpusforge.operators.annotate import materialize
+        x = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "encode-rows")
+        return encode_relational(x, ["_row"], pieces_col, v.table, out_col).drop("_row")
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def _enc(s: pd.Series) -> pd.Series:
@@ -138,19 +171,33 @@ def unmask_labels(ids, pad: int = PAD_ID) -> Column:
     return F.transform(_c(ids), lambda x: F.when(x == F.lit(IGNORE_ID), F.lit(pad)).otherwise(x))
 
 
-def decode(df: DataFrame, ids_col: str, vocab: DataFrame, out_col: str = "text") -> DataFrame:
-    """Ids -> space-joined pieces, special ids skipped (broadcast reverse table)."""
-    d = _vocab_dict(vocab)
-    size = max(d.values()) + 1
-    table = np.empty(size, dtype=object)
-    table[:] = None
-    for tok, i in d.items():
-        table[i] = tok
-    bc = df.sparkSession.sparkContext.broadcast(table)
+def decode_relational(df: DataFrame, key_cols: list[str], ids_col: str, vocab: DataFrame, out_col: str = "text") -> DataFrame:
+    """T6, relational form: posexplode, join the vocabulary by id, regroup by key in order."""
+    x = (df.select(*key_cols, F.posexplode(ids_col).alias("_pos", "_id")).where(F.col("_id") >= N_SPECIAL)
+         .join(vocab.select("token", F.col("id").alias("_id")), "_id"))
+    g = x.groupBy(*key_cols).agg(F.sort_array(F.collect_list(F.struct("_pos", "token"))).alias("_s"))
+    said = F.coalesce(F.array_join("_s.token", " "), F.lit(""))
+    return (df.join(g, key_cols, "left").withColumn(out_col, F.when(F.col(ids_col).isNotNull(), said)).drop("_s"))
+
+
+def decode(df: DataFrame, ids_col: str, vocab, out_col: str = "text") -> DataFrame:
+    """Ids -> space-joined pieces, special ids skipped (reverse table, or a join for a large vocabulary)."""
+    v = _made(vocab)
+    bc = v.shared
+    if bc is None:
+        from corpusforge.operators.annotate import materialize
+        x = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "decode-rows")
+        return decode_relational(x, ["_row"], ids_col, v.table, out_col).drop("_row")
+    holder: dict = {}
 
     @F.pandas_udf(T.StringType())
     def _dec(s: pd.Series) -> pd.Series:
-        tab = bc.value
+        tab = holder.get("t")
+        if tab is None:
+            d = bc.value
+            tab = holder["t"] = np.empty(max(d.values()) + 1, dtype=object)
+            for tok, i in d.items():
+                tab[i] = tok
         out = []
         for ids in s:
             if ids is None:

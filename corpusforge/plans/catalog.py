@@ -161,7 +161,7 @@ def q_rename_task_fields(spark, sf_dir):
 @query("summary_file_name")
 def q_summary_file_name(spark, sf_dir):
     d = fixtures.table(spark, sf_dir, "documents").select(
-        "doc_id", F.concat(F.lit("multiclinsum_test_"), F.col("lang"), F.lit("/"), F.col("source"),
+        "doc_id", F.concat(F.lit("casesum_test_"), F.col("lang"), F.lit("/"), F.col("source"),
                            F.lit("."), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filepath"))
     return d.select("doc_id", "filepath", text.summary_file_name("filepath").alias("out_name"))
 
@@ -169,7 +169,7 @@ def q_summary_file_name(spark, sf_dir):
 @query("subtask_lang")
 def q_subtask_lang(spark, sf_dir):
     d = fixtures.table(spark, sf_dir, "documents").select(
-        "doc_id", F.concat(F.lit("multiclinsum_test_"), F.col("lang")).alias("subtask"))
+        "doc_id", F.concat(F.lit("casesum_test_"), F.col("lang")).alias("subtask"))
     return d.select("doc_id", "subtask", text.subtask_lang("subtask").alias("lang"))
 
 
@@ -242,7 +242,7 @@ def _replies(spark, sf_dir):
     lab = fixtures.table(spark, sf_dir, "labels").select("doc_id", "toxic")
     d = d.join(lab, "doc_id", "left")
     ok = F.to_json(F.struct(F.array(F.struct(F.struct(
-        F.concat(F.lit(" "), F.substring("text", 1, 300), F.lit(" \n")).alias("content")).alias("message")))
+        F.concat(F.lit(" "), F.col("text"), F.lit(" \n")).alias("content")).alias("message")))
         .alias("choices")))
     return d.select("doc_id", F.when(F.col("toxic") == 1, F.lit("{}")).otherwise(ok).alias("reply"))
 
@@ -254,6 +254,13 @@ def q_parse_chat_response(spark, sf_dir):
         .filter(F.col("content").isNotNull())
 
 
+@query("parse_chat_rejects")
+def q_parse_chat_rejects(spark, sf_dir):
+    """Replies without a message, kept as they came."""
+    r = _replies(spark, sf_dir)
+    return r.filter(prompts.chat_reply_content("reply").isNull()).select("doc_id", "reply")
+
+
 @query("rouge_tokens")
 def q_rouge_tokens(spark, sf_dir):
     d = fixtures.table(spark, sf_dir, "documents").select("doc_id", text.rouge_tokens("text").alias("t"))
@@ -335,7 +342,8 @@ MAX_OUT = TrainConfig().max_output_length
 
 
 def _vocab(spark, sf_dir):
-    return enc.vocabulary(fixtures.rec(spark, sf_dir), VOCAB_K)
+    """The whole vocabulary, made once for all uses in a query."""
+    return tokens.Vocabulary(enc.vocabulary(fixtures.rec(spark, sf_dir)))
 
 
 def _encoded(spark, sf_dir, mask_mode="prompt"):
@@ -344,7 +352,7 @@ def _encoded(spark, sf_dir, mask_mode="prompt"):
 
 @query("build_vocabulary")
 def q_build_vocabulary(spark, sf_dir):
-    return _vocab(spark, sf_dir)
+    return enc.vocabulary(fixtures.rec(spark, sf_dir), VOCAB_K)
 
 
 @query("encode_tokens")
@@ -379,8 +387,9 @@ def q_unmask_labels(spark, sf_dir):
 
 @query("decode_tokens")
 def q_decode_tokens(spark, sf_dir):
-    e = _encoded(spark, sf_dir).select("doc_id", tokens.unmask_labels("labels").alias("u"))
-    return tokens.decode(e, "u", _vocab(spark, sf_dir), "text").select("doc_id", "text")
+    v = _vocab(spark, sf_dir)
+    e = enc.encode_task(fixtures.rec(spark, sf_dir), v, "pred", MAX_IN).select("doc_id", tokens.unmask_labels("labels").alias("u"))
+    return tokens.decode(e, "u", v, "text").select("doc_id", "text")
 
 
 @query("truncation_audit")
@@ -453,7 +462,7 @@ def _case_files(spark, sf_dir, lang=None):
 
 def _json_array_files(spark, sf_dir):
     path = shared_dir(spark, "json-arrays")
-    files = sinks.write_json_arrays(fixtures.rec(spark, sf_dir), path, "lang", "doc_id", name="multiclinsum_gs")
+    files = sinks.write_json_arrays(fixtures.rec(spark, sf_dir), path, "lang", "doc_id", name="casesum_gs")
     return path, files
 
 
@@ -557,6 +566,17 @@ def q_annotate_chain(spark, sf_dir):
     return a.select("doc_id", "rationale", "summary")
 
 
+@query("annotate_chain_rejects")
+def q_annotate_chain_rejects(spark, sf_dir):
+    """Records of a chain that a step refused, with the step and its error."""
+    r = fixtures.rec(spark, sf_dir).select("doc_id", "input")
+    steps = [{"prompt": EXTRACT_PROMPT + ": {input}", "out": "rationale"},
+             {"prompt": SUMMARIZE_PROMPT + ": {rationale}", "out": "summary"}]
+    a = ann.materialize(ann.annotate_chain(r, steps, _flaky_model))
+    _, bad = ann.split_rejects(a, "summary")
+    return bad.select("doc_id", "error", F.col("attempts").cast("long").alias("attempts"))
+
+
 @query("reannotate")
 def q_reannotate(spark, sf_dir):
     r = prep.drop_column_strict(fixtures.rec(spark, sf_dir), "rationale")
@@ -570,8 +590,8 @@ def q_reannotate(spark, sf_dir):
 
 @query("summarise_resume")
 def q_summarise_resume(spark, sf_dir):
-    """I5 for subtask multiclinsum_test_en: scan folder, skip done, localised prompt, annotate, export."""
-    subtask = "multiclinsum_test_en"
+    """I5 for subtask casesum_test_en: scan folder, skip done, localised prompt, annotate, export."""
+    subtask = "casesum_test_en"
     folder, target = shared_dir(spark, subtask), shared_dir(spark, "submissions")
     sinks.export_text_files(_case_files(spark, sf_dir, "en"), _posix(folder), "filename", "text")
     done = _done_names(spark, sf_dir).withColumn("summary", F.lit("done earlier"))
@@ -626,7 +646,7 @@ def q_stream_leaderboard(spark, sf_dir):
         preds.filter(F.col("run_id") == run).repartition(2).write.mode("append").parquet(path)
     refs = evaluate.test_references(spark, sf_dir).select("doc_id", "subtask", "output")
     return stream.stream_leaderboard(spark, path, preds.schema, refs, shared_dir(spark, "lb-state"),
-                                     shared_dir(spark, "lb-ckpt"))
+                                     shared_dir(spark, "lb-ckpt"), files_per_batch=2)
 
 
 # ------------------------------------------------------------------ A10 / M5 / F10 / eval
@@ -639,7 +659,7 @@ def q_bootstrap_ci(spark, sf_dir):
 
 @query("greedy_embedding_match")
 def q_greedy_embedding_match(spark, sf_dir):
-    g = scores.greedy_embedding_match(fixtures.tokvec(spark, sf_dir))
+    g = scores.greedy_embedding_match(fixtures.tokvec(spark, sf_dir), count_col="n")
     return g.select("run_id", "doc_id", *[F.round(c, 4).alias(c) for c in
                                            ("bertscore_precision", "bertscore_recall", "bertscore_f1")])
 

@@ -31,12 +31,7 @@ def test_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.pair_pred_ref(fixtures.pred(spark, sf_dir), test_references(spark, sf_dir))
 
 
-def scores_long(pairs: DataFrame, metrics=SQL_METRICS, keys=("run_id", "subtask", "doc_id"),
-                **kw) -> DataFrame:
-    return scores.metric_suite_long(pairs, keys=keys, metrics=metrics, **kw)
-
-
 def leaderboard(spark: SparkSession, sf_dir: str, metrics=SQL_METRICS) -> DataFrame:
     """A4 over S5 -> J4 -> M6: mean metric per (run, subtask) with the model name."""
-    s = scores_long(test_pairs(spark, sf_dir), metrics)
+    s = scores.metric_suite(test_pairs(spark, sf_dir), keys=("run_id", "subtask", "doc_id"), metrics=metrics)
     return report.leaderboard(s, joins.models_table(spark), list(metrics))

@@ -6,15 +6,17 @@ themselves never rely on how these rows were made.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.config import EXTRACT_PROMPT, RUN_MODELS
 from corpusforge.functions.text import rouge_tokens
 from corpusforge.operators.rank import ordered_rank
 
-TOKVEC_TOKENS = 32
-TOKVEC_MOD = 500
+
+def sentences(text, keep) -> Column:
+    """The parts of a whole text between '. ' whose number satisfies ``keep``, joined again."""
+    return F.array_join(F.filter(F.split(text, r"\. ", -1), lambda x, i: keep(i)), ". ")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,32 +29,18 @@ def rec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         "doc_id", "lang",
         F.col("text").alias("input"),
-        F.substring("text", 1, 600).alias("output"),
-        F.substring("text", 200, 256).alias("rationale"),
+        F.col("text").alias("output"),
+        sentences(F.col("text"), lambda i: i % 3 == 0).alias("rationale"),
         F.concat(F.lit(EXTRACT_PROMPT + ": "), F.col("text")).alias("rationale_prompt"))
 
 
-def runs(spark: SparkSession) -> DataFrame:
-    """The run -> model dimension (3 rows)."""
-    return spark.createDataFrame([(k, v) for k, v in RUN_MODELS.items()], "run_id long, model string")
-
-
 def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRED: one prediction per (run, doc): a shifted window of the text."""
+    """PRED: one prediction per (run, doc): run k leaves out each (k + 1)-th part of the whole text."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     run_ids = F.array(*[F.lit(k).cast("long") for k in sorted(RUN_MODELS)])
     return (d.select("doc_id", "text", F.explode(run_ids).alias("run_id"))
             .select("run_id", "doc_id",
-                    F.expr("substring(text, cast(1 + 64 * run_id as int), 400)").alias("summary")))
-
-
-def pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PAIR: user turn t -> input, assistant turn t+1 of the same conversation -> output."""
-    c = table(spark, sf_dir, "conversations")
-    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("input"))
-    a = c.filter(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output"))
-    return u.join(a, on=["conv_id", "turn"], how="inner")
+                    sentences(F.col("text"), lambda i: i % (F.col("run_id") + 1) != F.col("run_id")).alias("summary")))
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,14 +73,15 @@ def paired_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokvec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TOKVEC: first 32 tokens of output (ref) and summary (pred) with a looked-up vector."""
+    """TOKVEC: every distinct token of output (ref) and summary (pred), its count and a looked-up vector."""
     p = paired_all(spark, sf_dir)
     sides = p.select("run_id", "doc_id", F.explode(F.array(
         F.struct(F.lit("ref").alias("side"), rouge_tokens("output").alias("t")),
         F.struct(F.lit("pred").alias("side"), rouge_tokens("summary").alias("t")))).alias("x"))
-    toks = sides.select("run_id", "doc_id", "x.side", F.posexplode("x.t").alias("pos", "token")) \
-        .filter(F.col("pos") < TOKVEC_TOKENS)
-    toks = toks.withColumn(
-        "vec_id", ((F.length("token") * 31 + F.ascii("token")) % TOKVEC_MOD).cast("long"))
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    return toks.join(e, "vec_id").select("run_id", "doc_id", "side", "pos", "token", "vec")
+    toks = (sides.select("run_id", "doc_id", "x.side", F.explode("x.t").alias("token"))
+            .groupBy("run_id", "doc_id", "side", "token").agg(F.count(F.lit(1)).alias("n")))
+    emb = table(spark, sf_dir, "embeddings")
+    toks = toks.withColumn("vec_id", F.pmod(F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long"),
+                                            F.lit(emb.count())))
+    e = emb.select("vec_id", F.col("embedding").alias("vec"))
+    return toks.join(e, "vec_id").select("run_id", "doc_id", "side", "token", "n", "vec")

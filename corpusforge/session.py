@@ -79,7 +79,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not d:
         d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        # Unset: this is a local run or a test; make our own folder.
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        # Unset on a local master (a test): make our own folder.
         d = tempfile.mkdtemp(prefix="corpusforge-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

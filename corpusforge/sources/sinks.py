@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import os
+import pathlib
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_ARRAY_FILE = 50_000
+#: Text bytes of one JSON-array file, on average; it is built in one cell.
+BYTES_PER_ARRAY_FILE = 64 << 20
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
@@ -29,13 +32,15 @@ def write_json_arrays(df: DataFrame, path: str, group_col: str, key_col: str,
                       name: str = "records", rows_per_file: int = ROWS_PER_ARRAY_FILE) -> list[str]:
     """One JSON array per file, named '<name>-<bucket>_<group>.json'.
 
-    Rows are spread over ceil(n_group / rows_per_file) files per group by a
-    hash of the key, so every file (and the task that builds it) is bounded.
+    A group's files are bounded by rows and by bytes; rows are spread over them
+    by a hash of the key. A null group is written as Spark's default partition.
     Returns the written file paths (a list as long as the number of files).
     """
-    sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"))
-    nfiles = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_file))).cast("int")
-    x = df.join(F.broadcast(sizes.select(group_col, nfiles.alias("_f"))), group_col)
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
+    sizes = df.groupBy(F.col(group_col).alias("_g")).agg(F.count(F.lit(1)).alias("_n"), F.sum(width).alias("_bytes"))
+    nfiles = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_file)),
+                        F.ceil(F.col("_bytes") / F.lit(BYTES_PER_ARRAY_FILE))).cast("int")
+    x = df.join(sizes.select("_g", nfiles.alias("_f")), F.col(group_col).eqNullSafe(F.col("_g"))).drop("_g")
     x = x.withColumn("_b", F.pmod(F.xxhash64(F.col(key_col)), F.col("_f")).cast("int"))
     cols = [c for c in df.columns if c != group_col]
     body = x.groupBy(group_col, "_b").agg(
@@ -69,20 +74,24 @@ def _rename_parts(df: DataFrame, tmp: str, dest: str, group_col: str, name: str)
 
 
 def export_text_files(df: DataFrame, folder: str, name_col: str, text_col: str) -> None:
-    """S8 submission export: one text file per row, named by ``name_col``.
+    """S8 submission export: one UTF-8 text file per row, named by ``name_col``.
 
-    Each task writes its own rows to a POSIX-mounted shared folder; a failed
-    write is reported in the task log and skipped, as in the reference.
+    Needs a shared folder that executors mount. Every row ends up as a file or
+    the job fails: a row without a name and a write error both raise. Files are
+    put in place whole, so a retried task leaves the same folder.
     """
-    def write_part(rows):
-        os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            if r[name_col] is None:
-                continue
-            try:
-                with open(os.path.join(folder, r[name_col]), "w", encoding="utf-8") as f:
-                    f.write(r[text_col] or "")
-            except OSError as e:  # noqa: PERF203
-                print(f"Error writing {r[name_col]}: {e}")
-
-    df.select(name_col, text_col).foreachPartition(write_part)
+    nameless = df.filter(F.col(name_col).isNull()).limit(1).count()
+    if nameless:
+        raise ValueError(f"{name_col} is null in a row to export")
+
+    def put(batches):
+        root = pathlib.Path(folder)
+        root.mkdir(parents=True, exist_ok=True)
+        for pdf in batches:
+            for name, body in zip(pdf[name_col], pdf[text_col].fillna("")):
+                part = root / f".{name}.{uuid.uuid4().hex}"
+                part.write_bytes(body.encode("utf-8"))
+                part.replace(root / name)
+            yield pdf[[name_col]]
+    wrote = df.select(name_col, text_col).mapInPandas(put, df.select(name_col).schema)
+    wrote.write.format("noop").mode("overwrite").save()

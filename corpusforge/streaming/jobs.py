@@ -51,38 +51,69 @@ def stream_dedup(spark: SparkSession, in_dir: str, schema: T.StructType, key: st
 
 def stream_leaderboard(spark: SparkSession, in_dir: str, schema: T.StructType, refs: DataFrame,
                        state_path: str, checkpoint: str, metrics=("rouge1", "rouge2", "rougeL"),
-                       keys=("run_id", "subtask")) -> DataFrame:
+                       keys=("run_id", "subtask"), files_per_batch: int | None = None) -> DataFrame:
     """Score each micro-batch of predictions, fold per-cell sums and counts into a table.
 
-    The state table holds one row per (run, subtask) cell: it is the previous
-    table plus the batch's partial sums, re-aggregated and overwritten; the
-    means are derived on read.
+    ``state_path`` holds two kinds of folders per finished epoch: ``cells/eN``
+    (one row per cell) and ``seen/eN`` (the (run, doc) keys counted so far that
+    came in that epoch). An epoch is built from the last earlier epoch only, so
+    a replayed batch rewrites the same result; a key that lands twice is
+    counted once. The result is the last epoch's table, found by listing the
+    folder, so a call without new files returns the same table again. Cells of
+    older epochs are removed once the next one stands.
     """
-    init = f"{state_path}/init"
-    spark.createDataFrame([], _state_schema(keys, metrics)).write.mode("overwrite").parquet(init)
-    last = {"path": init}
+    cell_schema = _state_schema(keys, metrics)
 
     def fold(batch: DataFrame, epoch_id: int):
-        # epoch e is built from epoch e-1 only, so a replayed batch rewrites the same result
-        prev_path = f"{state_path}/e{epoch_id - 1}" if epoch_id > 0 else init
-        pairs = batch.join(refs, "doc_id")
+        done = [e for e in _epochs(spark, f"{state_path}/cells") if e < epoch_id]
+        fresh = batch.dropDuplicates(["run_id", "doc_id"])
+        seen = [f"{state_path}/seen/e{e}" for e in _epochs(spark, f"{state_path}/seen") if e < epoch_id]
+        if seen:
+            fresh = fresh.join(spark.read.parquet(*seen), ["run_id", "doc_id"], "left_anti")
+        fresh.select("run_id", "doc_id").write.mode("overwrite").parquet(f"{state_path}/seen/e{epoch_id}")
+        keys_now = spark.read.parquet(f"{state_path}/seen/e{epoch_id}")
+        pairs = batch.dropDuplicates(["run_id", "doc_id"]).join(keys_now, ["run_id", "doc_id"], "left_semi").join(refs, "doc_id")
         wide = scores.metric_suite(pairs, keys=(*keys, "doc_id"), metrics=metrics)
-        part = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                       *[F.sum(m).alias(f"sum_{m}") for m in metrics])
-        merged = spark.read.parquet(prev_path).unionByName(part).groupBy(*keys).agg(
-            F.sum("n").alias("n"), *[F.sum(f"sum_{m}").alias(f"sum_{m}") for m in metrics])
-        out = f"{state_path}/e{epoch_id}"
-        merged.write.mode("overwrite").parquet(out)
-        last["path"] = out
-
-    q = (spark.readStream.schema(schema).parquet(in_dir).writeStream
-         .option("checkpointLocation", checkpoint).foreachBatch(fold)
+        part = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(f"sum_{m}") for m in metrics])
+        if done:
+            old = spark.read.schema(cell_schema).parquet(f"{state_path}/cells/e{done[-1]}")
+            part = old.unionByName(part).groupBy(*keys).agg(F.sum("n").alias("n"), *[F.sum(f"sum_{m}").alias(f"sum_{m}") for m in metrics])
+        part.write.mode("overwrite").parquet(f"{state_path}/cells/e{epoch_id}")
+        for e in done[:-1]:  # the one before stays until this epoch is committed
+            _remove(spark, f"{state_path}/cells/e{e}")
+
+    src = spark.readStream.schema(schema)
+    if files_per_batch:
+        src = src.option("maxFilesPerTrigger", files_per_batch)
+    q = (src.parquet(in_dir).writeStream.option("checkpointLocation", checkpoint).foreachBatch(fold)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    st = spark.read.parquet(last["path"])
+    done = _epochs(spark, f"{state_path}/cells")
+    st = (spark.read.schema(cell_schema).parquet(f"{state_path}/cells/e{done[-1]}") if done
+          else spark.createDataFrame([], cell_schema))
     return st.select(*keys, *[F.round(F.col(f"sum_{m}") / F.col("n"), 4).alias(m) for m in metrics])
 
 
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _epochs(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the epoch folders that were written to the end."""
+    p, fs = _folder(spark, path)
+    if not fs.exists(p):
+        return []
+    whole = [x.getPath() for x in fs.listStatus(p)
+             if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
+    return sorted(int(x.getName()[1:]) for x in whole)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p, fs = _folder(spark, path)
+    fs.delete(p, True)
+
+
 def _state_schema(keys, metrics) -> T.StructType:
     types = {"run_id": T.LongType(), "subtask": T.StringType()}
     return T.StructType([T.StructField(k, types.get(k, T.StringType())) for k in keys]

@@ -33,7 +33,7 @@ def test_summary_file_name(spark):
 
 
 def test_subtask_lang(spark):
-    assert one(spark, text.subtask_lang(F.lit("multiclinsum_test_es"))) == "es"
+    assert one(spark, text.subtask_lang(F.lit("casesum_test_es"))) == "es"
 
 
 def test_rouge_tokens(spark):
