@@ -35,7 +35,7 @@ ORACLE["merge_languages"] = with_(*SPLIT) + \
 ORACLE["split_leakage"] = with_(*SPLIT) + """
 SELECT 'key_overlap' AS "check", (SELECT count(*) FROM (SELECT doc_id FROM splitted GROUP BY doc_id
                                    HAVING count(DISTINCT split) > 1)) AS value
-UNION ALL SELECT 'missing', (SELECT count(*) FROM splitted WHERE split IS NULL)
+UNION ALL SELECT 'missing', (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM splitted WHERE split IS NOT NULL))
 UNION ALL SELECT 'text_leak', (SELECT count(*) FROM splitted t WHERE t.split = 'test'
    AND sha256(t.input) IN (SELECT sha256(input) FROM splitted WHERE split = 'train'))"""
 
@@ -191,7 +191,7 @@ FROM (SELECT doc_id, {tok('text')} AS t FROM documents)"""
 
 def _len_stats(src: str, group: str, expr: str) -> str:
     return f"""
-SELECT {group}, count(*) AS count, min(l) AS min, max(l) AS max, avg(l) AS mean,
+SELECT {group}, count(*) AS count, min(l) AS min, max(l) AS max, round(avg(l), 2) AS mean,
        (list_sort(list(l))[(count(*) - 1) // 2 + 1] + list_sort(list(l))[count(*) // 2 + 1]) / 2.0::DOUBLE AS median,
        list_sort(list(l))[floor(count(*) * 0.9::DOUBLE)::BIGINT + 1] AS percentile_90,
        list_sort(list(l))[floor(count(*) * 0.95::DOUBLE)::BIGINT + 1] AS percentile_95
@@ -243,6 +243,24 @@ SELECT avg(hit) AS accuracy, sum(hit) FILTER (WHERE label <> -100) / count(*) FI
        count(*) AS positions
 FROM (SELECT label, (list_position(embedding, list_max(embedding)) - 1 = label)::INTEGER AS hit FROM embeddings)"""
 
+ORACLE["token_accuracy_shift"] = """
+SELECT avg(hit) AS accuracy, sum(hit) FILTER (WHERE l <> -100) / count(*) FILTER (WHERE l <> -100) AS accuracy_ignore_index,
+       count(*) AS positions
+FROM (SELECT l, (a = l)::INTEGER AS hit FROM (
+  SELECT list_position(embedding, list_max(embedding)) - 1 AS a,
+         lead(label) OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS l FROM embeddings) WHERE l IS NOT NULL)"""
+
+ORACLE["training_log_full"] = with_(_LOSS) + """, c AS (SELECT step, lp * 0.8 + le * (1.0::DOUBLE - 0.8::DOUBLE) AS lo, lp, le FROM losses)
+SELECT step, name, round(value, 6) AS value FROM (
+  SELECT step, 'train/loss' AS name, lo AS value FROM c UNION ALL SELECT step, 'train/loss_pred', lp FROM c
+  UNION ALL SELECT step, 'train/loss_expl', le FROM c
+  UNION ALL SELECT step, 'train/pred_accuracy', lp - floor(lp) FROM c UNION ALL SELECT step, 'train/expl_accuracy', le - floor(le) FROM c
+  UNION ALL SELECT event_id, 'learning_rate', 1e-5 / (event_id + 1) FROM events
+  UNION ALL SELECT step, 'eval/loss', lo FROM c WHERE step % 250 = 0 UNION ALL SELECT step, 'eval/loss_pred', lp FROM c WHERE step % 250 = 0
+  UNION ALL SELECT step, 'eval/loss_expl', le FROM c WHERE step % 250 = 0)"""
+
+ORACLE["result_log_roundtrip"] = ORACLE["leaderboard"]
+
 _EVALS = """evals AS (
   SELECT run, step, metric FROM (
     SELECT event_type AS run, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS step,
@@ -379,6 +397,7 @@ NORM = "regexp_replace(text, '\\r\\n?', chr(10), 'g')"
 ORACLE["scan_json_records"] = with_(REC) + "SELECT doc_id, input, output, rationale, rationale_prompt FROM rec"
 ORACLE["scan_manifest_lang"] = with_(REC) + "SELECT doc_id, lang FROM rec"
 ORACLE["scan_text_folder"] = f"SELECT filename, {NORM} AS input FROM ({CASES})"
+ORACLE["scan_text_folder_utf16"] = ORACLE["scan_text_folder"]
 ORACLE["load_train_valid"] = with_(*SPLIT) + "SELECT doc_id, lang, split FROM splitted WHERE split IN ('train', 'valid')"
 ORACLE["sink_splits_roundtrip"] = with_(*SPLIT) + "SELECT split, lang, count(*) AS n FROM splitted GROUP BY ALL"
 ORACLE["scan_predictions"] = with_(*BASE) + """

@@ -49,8 +49,10 @@ def crop_fields(df: DataFrame, cfg: CropConfig = CropConfig(), split_col: str =
 
 
 def field_or_empty(df: DataFrame, name: str) -> Column:
-    """A missing field reads as '' (length 0)."""
-    return F.col(name).cast("string") if name in df.columns else F.lit("")
+    """A missing field reads as '' (length 0); a field that is no text reads as null (skipped)."""
+    if name not in df.columns:
+        return F.lit("")
+    return F.col(name) if df.schema[name].dataType.simpleString() == "string" else F.lit(None).cast("string")
 
 
 def rename_fields(df: DataFrame, mapping: dict) -> DataFrame:
@@ -77,12 +79,7 @@ def select_mode_columns(df: DataFrame, mode: str, keys=("doc_id",)) -> DataFrame
 
 def domain_violations(df: DataFrame, domains: dict, keys=("doc_id",)) -> DataFrame:
     """P10: rows whose value lies outside its allowed list: (keys..., field, value)."""
-    parts = []
-    for col_name, allowed in domains.items():
-        v = F.col(col_name)
-        bad = df.filter(v.isNull() | ~v.isin(*allowed))
-        parts.append(bad.select(*keys, F.lit(col_name).alias("field"), v.cast("string").alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    found = F.array(*[F.struct((F.col(c).isNull() | ~F.col(c).isin(*allowed)).alias("bad"), F.lit(c).alias("field"),
+                               F.col(c).cast("string").alias("value")) for c, allowed in domains.items()])
+    bad = df.select(*keys, F.explode(F.filter(found, lambda x: x["bad"])).alias("_v"))  # one pass for all fields
+    return bad.select(*keys, "_v.field", "_v.value")

@@ -30,16 +30,27 @@ def seeded_hash(key, seed: int) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), k.cast("string")), 256)
 
 
-def _bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def small_table(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Checkpoint a control table and broadcast it only if its row count is bounded."""
     checkpoint_root(small.sparkSession)  # the configured shared folder (own one only if unset)
     small = small.checkpoint(eager=True)
     return F.broadcast(small) if small.count() <= max_rows else small
 
 
+def hash_bucket(hash_col) -> Column:
+    return F.conv(F.substring(F.col(hash_col), 1, HASH_BUCKET_DIGITS), 16, 10).cast("int")
+
+
+def left_offsets(offs: DataFrame, more: DataFrame, group_cols: list[str]) -> DataFrame:
+    """Offsets with the columns of a table of some of their buckets; a small table again."""
+    by = [*group_cols, "_b"]
+    m = more.select(*[F.col(c).alias(f"_m_{c}") for c in by], *[c for c in more.columns if c not in by])
+    return small_table(offs.join(m, on=[offs[c].eqNullSafe(m[f"_m_{c}"]) for c in by], how="left").drop(*[f"_m_{c}" for c in by]))
+
+
 def bucket_offsets(df: DataFrame, group_cols: list[str], hash_col: str) -> DataFrame:
     """(group, _b) -> _cnt, _start (rows of the group in earlier buckets), _n (group size)."""
-    b = F.conv(F.substring(F.col(hash_col), 1, HASH_BUCKET_DIGITS), 16, 10).cast("int")
+    b = hash_bucket(hash_col)
     counts = (df.select(*group_cols, b.alias("_b"))
               .groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_cnt")))
     w = Window.partitionBy(*group_cols).orderBy("_b")
@@ -48,7 +59,7 @@ def bucket_offsets(df: DataFrame, group_cols: list[str], hash_col: str) -> DataF
             .withColumn("_n", F.sum("_cnt").over(Window.partitionBy(*group_cols))))
 
 
-def _with_offsets(df: DataFrame, offs: DataFrame, group_cols: list[str]) -> DataFrame:
+def with_offsets(df: DataFrame, offs: DataFrame, group_cols: list[str]) -> DataFrame:
     """Each row with its bucket's offsets; a null group or key is a group or bucket like any other."""
     by = [*group_cols, "_b"]
     o = offs.select(*[F.col(c).alias(f"_o_{c}") for c in by], *[c for c in offs.columns if c not in by])
@@ -67,9 +78,9 @@ def hashed_rank(df: DataFrame, group_cols: list[str], key_col: str, seed: int,
     h = "_h"
     hashed = df.withColumn(h, seeded_hash(key_col, seed))
     offs = bucket_offsets(hashed, group_cols, h)
-    offs = _bounded_broadcast(offs)
-    b = F.conv(F.substring(F.col(h), 1, HASH_BUCKET_DIGITS), 16, 10).cast("int")
-    joined = _with_offsets(hashed.withColumn("_b", b), offs, group_cols)
+    offs = small_table(offs)
+    b = hash_bucket(h)
+    joined = with_offsets(hashed.withColumn("_b", b), offs, group_cols)
     if prefilter is not None:
         joined = joined.filter(prefilter(joined))
     w = Window.partitionBy(*group_cols, "_b").orderBy(h, key_col)
@@ -107,8 +118,8 @@ def ordered_rank(df: DataFrame, group_cols: list[str], order_cols: list[str],
     counts = x.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*group_cols).orderBy("_b") if group_cols else Window.orderBy("_b")
     offs = counts.withColumn("_start", F.sum("_cnt").over(w) - F.col("_cnt")).drop("_cnt")
-    offs = _bounded_broadcast(offs)
-    joined = _with_offsets(x, offs, group_cols)
+    offs = small_table(offs)
+    joined = with_offsets(x, offs, group_cols)
     wr = Window.partitionBy(*group_cols, "_b").orderBy(*order_cols)
     out = joined.withColumn(rank_col, (F.col("_start") + F.row_number().over(wr)).cast("long"))
     return out.drop("_b", "_start", "_q")

@@ -47,7 +47,7 @@ def length_stats(df: DataFrame, group_cols: list[str], text_col: str) -> DataFra
         F.first("_n").cast("long").alias("count"),
         F.min("_v").cast("long").alias("min"),
         F.max("_v").cast("long").alias("max"),
-        (F.sum(F.col("_v") * F.col("_cnt")) / F.sum("_cnt")).alias("mean"),
+        F.round(F.sum(F.col("_v") * F.col("_cnt")) / F.sum("_cnt"), 2).alias("mean"),
         ((_value_at(lo) + _value_at(hi)) / F.lit(2.0)).alias("median"),
         _value_at(F.floor(n.cast("double") * F.lit(0.9))).cast("long").alias("percentile_90"),
         _value_at(F.floor(n.cast("double") * F.lit(0.95))).cast("long").alias("percentile_95"))
@@ -117,22 +117,45 @@ def argmax(v) -> Column:
     return (F.array_position(c, F.array_max(c)) - 1).cast("long")
 
 
-def token_accuracy(df: DataFrame, group_cols: list[str], logits_col: str, label_col: str) -> DataFrame:
-    """Mean of argmax == label over all positions (reference), and ignoring -100."""
-    hit = (argmax(logits_col) == F.col(label_col)).cast("int")
-    valid = F.col(label_col) != F.lit(IGNORE_ID)
+def token_accuracy(df: DataFrame, group_cols: list[str], logits_col: str, label_col: str,
+                   shift_by: tuple | None = None) -> DataFrame:
+    """Mean of argmax == label over all positions (reference), and ignoring -100.
+
+    ``shift_by`` = (sequence columns, position column) compares each position
+    with the next label of its sequence, the last position with none.
+    """
+    label = F.col(label_col)
+    if shift_by:
+        seq, pos = shift_by
+        df = df.select(*group_cols, argmax(logits_col).alias("_a"), F.lead(label).over(
+            Window.partitionBy(*seq).orderBy(pos)).alias("_l")).where(F.col("_l").isNotNull())
+        hit, label = (F.col("_a") == F.col("_l")).cast("int"), F.col("_l")
+    else:
+        hit = (argmax(logits_col) == label).cast("int")
+    valid = label != F.lit(IGNORE_ID)
     return df.groupBy(*group_cols).agg(
         F.avg(hit).alias("accuracy"),
         F.try_divide(F.sum(F.when(valid, hit)), F.count_if(valid)).alias("accuracy_ignore_index"),
         F.count(F.lit(1)).alias("positions"))
 
 
-def training_log_long(losses: DataFrame, alpha: float) -> DataFrame:
-    """Per-step log rows (step, name, value) named train/loss, train/loss_pred, train/loss_expl."""
+def training_log_long(losses: DataFrame, alpha: float, phase: str = "train", accuracy: DataFrame | None = None,
+                      rates: DataFrame | None = None) -> DataFrame:
+    """Per-step log rows (step, name, value).
+
+    Names are <phase>/loss, <phase>/loss_pred, <phase>/loss_expl; with an
+    ``accuracy`` table (step, task, accuracy) <phase>/pred_accuracy and
+    <phase>/expl_accuracy; with a ``rates`` table (step, learning_rate) learning_rate.
+    """
     c = combined_loss(losses, alpha)
-    return c.select("step", F.col("loss").alias("train/loss"), F.col("loss_pred").alias("train/loss_pred"),
-                    F.col("loss_expl").alias("train/loss_expl")) \
-        .unpivot(["step"], ["train/loss", "train/loss_pred", "train/loss_expl"], "name", "value")
+    names = [f"{phase}/{n}" for n in ("loss", "loss_pred", "loss_expl")]
+    out = c.select("step", *[F.col(n.split("/")[1]).alias(n) for n in names]).unpivot(["step"], names, "name", "value")
+    if accuracy is not None:
+        out = out.unionByName(accuracy.select("step", F.concat(F.lit(f"{phase}/"), "task", F.lit("_accuracy")).alias("name"),
+                                              F.col("accuracy").alias("value")))
+    if rates is not None:
+        out = out.unionByName(rates.select("step", F.lit("learning_rate").alias("name"), F.col("learning_rate").alias("value")))
+    return out
 
 
 def _evals(hist: DataFrame, eval_steps: int, eval_delay: int) -> DataFrame:

@@ -12,6 +12,7 @@ Two physical forms of ROUGE-N:
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import lru_cache
 
@@ -222,14 +223,6 @@ POISSON1_CDF = [math.exp(-1.0) * math.fsum(1.0 / math.factorial(i) for i in rang
                 for k in range(18)]
 
 
-def poisson_weight(u: Column) -> Column:
-    """Inverse CDF of Poisson(1) at u in [0,1)."""
-    w = F.lit(len(POISSON1_CDF))
-    for k in reversed(range(len(POISSON1_CDF))):
-        w = F.when(u < F.lit(POISSON1_CDF[k]), F.lit(k)).otherwise(w)
-    return w
-
-
 def bootstrap_ci(scores: DataFrame, group_cols: list[str], key_col: str, value_col: str,
                  replicates: int = 100, seed: int = 42,
                  percentiles=(0.025, 0.5, 0.975)) -> DataFrame:
@@ -237,17 +230,29 @@ def bootstrap_ci(scores: DataFrame, group_cols: list[str], key_col: str, value_c
 
     Replicate r gives row k the weight Poisson^-1(u), u = first 32 bits of
     md5('<seed>:<r>:<key>') / 2^32, so the result does not depend on
-    partitioning. The (row, replicate) pairs are generated inside the task and
-    pre-aggregated map-side, so only partitions x replicates rows shuffle.
+    partitioning. A task adds up one vector of weighted sums per group; only
+    groups x replicates rows a task are shuffled, and no (row, replicate) row
+    ever exists.
     """
-    rep = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")
-    x = scores.select(*group_cols, F.col(key_col).alias("_k"), F.col(value_col).alias("_x"), rep)
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"),
-                                             F.col("_k").cast("string"))), 1, 8), 16, 10)
-    u = u.cast("double") / F.lit(4294967296.0)
-    x = x.withColumn("_w", poisson_weight(u))
-    reps = x.groupBy(*group_cols, "rep").agg(
-        F.try_divide(F.sum(F.col("_w") * F.col("_x")), F.sum("_w")).alias("_m"))
-    aggs = [F.percentile(F.col("_m"), p).alias(n)
-            for p, n in zip(percentiles, ("low", "mid", "high"))]
-    return reps.groupBy(*group_cols).agg(*aggs)
+    x = scores.select(*group_cols, F.col(key_col).cast("string").alias("_k"), F.col(value_col).cast("double").alias("_x")).dropna(subset=["_x"])
+    schema = T.StructType([x.schema[c] for c in group_cols] + [
+        T.StructField("rep", T.IntegerType()), T.StructField("_sw", T.DoubleType()), T.StructField("_swx", T.DoubleType())])
+    cdf = np.array(POISSON1_CDF)
+
+    def add_up(batches):
+        sums: dict = {}
+        for pdf in batches:
+            groups = list(zip(*[pdf[c] for c in group_cols])) if group_cols else [()] * len(pdf)
+            for g, k, v in zip(groups, pdf["_k"], pdf["_x"]):
+                k = "" if k is None else k
+                u = np.array([int(hashlib.md5(f"{seed}:{r}:{k}".encode()).hexdigest()[:8], 16) for r in range(replicates)]) / 4294967296.0
+                w = np.searchsorted(cdf, u, side="right")
+                s = sums.setdefault(g, np.zeros((2, replicates)))
+                s[0] += w
+                s[1] += w * v
+        for g, s in sums.items():
+            yield pd.DataFrame({**{c: [x_] * replicates for c, x_ in zip(group_cols, g)}, "rep": np.arange(replicates, dtype="int32"),
+                                "_sw": s[0], "_swx": s[1]})
+    reps = x.mapInPandas(add_up, schema).groupBy(*group_cols, "rep").agg(
+        F.try_divide(F.sum("_swx"), F.sum("_sw")).alias("_m"))
+    return reps.groupBy(*group_cols).agg(*[F.percentile(F.col("_m"), p).alias(n) for p, n in zip(percentiles, ("low", "mid", "high"))])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge.config import SplitConfig
-from corpusforge.operators.rank import hashed_rank
+from corpusforge.operators.rank import (bucket_offsets, hash_bucket, hashed_rank, left_offsets, seeded_hash,
+                                        small_table, with_offsets)
 
 
 def split_bounds(n: Column, cfg: SplitConfig) -> tuple[Column, Column]:
@@ -25,42 +26,45 @@ def seeded_order(df: DataFrame, group_cols: list[str], key_col: str = "doc_id",
 def stratified_split(df: DataFrame, group_cols: list[str] | None = None, key_col: str = "doc_id",
                      cfg: SplitConfig = SplitConfig(), keep: tuple | None = None,
                      split_col: str = "split") -> DataFrame:
-    """Exact per-group train/valid/test split of a seeded shuffle.
-
-    ``keep`` limits the output to some splits; buckets that cannot hold them are
-    dropped before the shuffle.
+    """Exact per-group train/valid/test split of a seeded shuffle, without moving records.
+
+    Counts per (group, hash bucket) tell which split a whole bucket belongs to.
+    Only the buckets that hold a boundary (two a group at most) are ranked, on
+    (hash, key) alone, to find the last row before each boundary; every record
+    is then labelled where it lies by comparing with these rows. ``keep``
+    limits the output to some splits. Keys are taken to be unique: rows that
+    repeat a boundary's key stay on its side.
     """
     cfg.check()
     group_cols = group_cols or ["lang"]
-
-    def bucket_can_hold(j: DataFrame) -> Column:
-        te, ve = split_bounds(F.col("_n"), cfg)
-        lo, hi = F.col("_start") + 1, F.col("_start") + F.col("_cnt")  # ranks in bucket
-        conds = {"train": lo <= te, "valid": (hi > te) & (lo <= ve), "test": hi > ve}
-        out = F.lit(False)
-        for s in keep:
-            out = out | conds[s]
-        return out
-
-    ranked = hashed_rank(df, group_cols, key_col, cfg.seed, rank_col="_rank",
-                         size_col="_size", prefilter=bucket_can_hold if keep else None)
-    te, ve = split_bounds(F.col("_size"), cfg)
-    split = (F.when(F.col("_rank") <= te, F.lit("train"))
-             .when(F.col("_rank") <= ve, F.lit("valid"))
-             .otherwise(F.lit("test")))
-    out = ranked.withColumn(split_col, split)
+    hashed = df.withColumn("_h", seeded_hash(key_col, cfg.seed)).withColumn("_b", hash_bucket("_h"))
+    offs = bucket_offsets(df.select(*group_cols, seeded_hash(key_col, cfg.seed).alias("_h")), group_cols, "_h")
+    te, ve = split_bounds(F.col("_n"), cfg)
+    lo, hi = F.col("_start") + 1, F.col("_start") + F.col("_cnt")  # ranks in the bucket
+    offs = offs.select(*group_cols, "_b", "_cnt", "_start", te.alias("_te"), ve.alias("_ve"), F.when(hi <= te, "train")
+                       .when((lo > te) & (hi <= ve), "valid").when(lo > ve, "test").alias("_whole"))
+    offs = small_table(offs)
+    edge = with_offsets(hashed.select(*group_cols, "_b", "_h", F.col(key_col).alias("_k")), offs.where("_whole IS NULL"), group_cols)
+    rank = F.col("_start") + F.row_number().over(Window.partitionBy(*group_cols, "_b").orderBy("_h", "_k"))
+    last = F.struct("_h", "_k")
+    cuts = (edge.withColumn("_r", rank).where((F.col("_r") == F.col("_te")) | (F.col("_r") == F.col("_ve")))
+            .groupBy(*group_cols, "_b").agg(F.max(F.when(F.col("_r") == F.col("_te"), last)).alias("_t"),
+                                            F.max(F.when(F.col("_r") == F.col("_ve"), last)).alias("_v")))
+    marked = with_offsets(hashed, left_offsets(offs, cuts, group_cols), group_cols)
+    here = F.struct("_h", F.col(key_col).alias("_k"))
+    # without a row at the train boundary in this bucket, the boundary lies before (or after) all of it
+    train = F.coalesce(here <= F.col("_t"), F.col("_start") + F.col("_cnt") <= F.col("_te"))
+    valid = F.coalesce(here <= F.col("_v"), F.col("_start") + F.col("_cnt") <= F.col("_ve"))
+    split = F.coalesce("_whole", F.when(train, "train").when(valid, "valid").otherwise("test"))
+    out = marked.withColumn(split_col, split)
     if keep:
         out = out.filter(F.col(split_col).isin(*keep))
-    return out.drop("_rank", "_size")
+    return out.drop("_h", "_b", "_cnt", "_start", "_te", "_ve", "_whole", "_t", "_v")
 
 
 def merge_languages(df: DataFrame, splits=("train", "valid"), split_col: str = "split") -> DataFrame:
-    """Bag union over languages of the given splits (language column kept)."""
-    parts = [df.filter(F.col(split_col) == s) for s in splits]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=False)
-    return out
+    """Bag union over languages of the given splits (language column kept), in one pass."""
+    return df.filter(F.col(split_col).isin(*splits))
 
 
 def split_counts(df: DataFrame, group_cols=("lang",), split_col: str = "split") -> DataFrame:
@@ -69,17 +73,22 @@ def split_counts(df: DataFrame, group_cols=("lang",), split_col: str = "split")
 
 
 def split_leakage(df: DataFrame, key_col: str = "doc_id", text_col: str = "input",
-                  split_col: str = "split") -> DataFrame:
+                  split_col: str = "split", source: DataFrame | None = None) -> DataFrame:
     """U4: integrity of a split, one row per check.
 
     - ``key_overlap``: keys in more than one split (should be 0)
-    - ``missing``: input keys without a split (should be 0)
+    - ``missing``: keys of ``source`` (the records before the split) that have no
+      split, or without it rows whose split is null (should be 0)
     - ``text_leak``: test texts that also occur in train (copies across splits)
     """
     keys = df.select(key_col, split_col)
     by_key = keys.groupBy(key_col).agg(F.countDistinct(split_col).alias("k"))
     overlap = by_key.filter(F.col("k") > 1).agg(F.count(F.lit(1)).alias("value"))
-    missing = keys.filter(F.col(split_col).isNull()).agg(F.count(F.lit(1)).alias("value"))
+    lost = keys.filter(F.col(split_col).isNull())
+    if source is not None:
+        has = keys.filter(F.col(split_col).isNotNull()).select(F.col(key_col).alias("_has"))
+        lost = source.select(key_col).join(has, F.col(key_col).eqNullSafe(F.col("_has")), "left_anti")
+    missing = lost.agg(F.count(F.lit(1)).alias("value"))
     h = F.sha2(F.col(text_col), 256)
     train_h = df.filter(F.col(split_col) == "train").select(h.alias("h")).distinct()
     test = df.filter(F.col(split_col) == "test").select(h.alias("h"))

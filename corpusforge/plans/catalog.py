@@ -60,7 +60,7 @@ def q_merge_languages(spark, sf_dir):
 
 @query("split_leakage")
 def q_split_leakage(spark, sf_dir):
-    return split_leakage(splitted(spark, sf_dir), "doc_id", "input")
+    return split_leakage(splitted(spark, sf_dir), "doc_id", "input", source=fixtures.rec(spark, sf_dir).select("doc_id"))
 
 
 # ------------------------------------------------------------------ J
@@ -310,6 +310,39 @@ def q_token_accuracy(spark, sf_dir):
     return report.token_accuracy(fixtures.logits(spark, sf_dir), [], "logits", "label")
 
 
+@query("token_accuracy_shift")
+def q_token_accuracy_shift(spark, sf_dir):
+    """A8 against the next label; a run of 50 vector ids stands in for a sequence."""
+    x = fixtures.logits(spark, sf_dir).withColumn("seq", F.floor(F.col("vec_id") / 50))
+    return report.token_accuracy(x, [], "logits", "label", shift_by=(["seq"], "vec_id"))
+
+
+@query("training_log_full")
+def q_training_log_full(spark, sf_dir):
+    """A9 with accuracies, learning rate and the evaluation rows of every 250th step."""
+    losses = fixtures.losslog(spark, sf_dir)
+    acc = losses.select("step", "task", (F.col("loss") - F.floor("loss")).alias("accuracy"))
+    rates = fixtures.table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), (1e-5 / (F.col("event_id") + 1)).alias("learning_rate"))
+    t = report.training_log_long(losses, 0.8, "train", acc, rates).unionByName(
+        report.training_log_long(losses.where("step % 250 = 0"), 0.8, "eval"))
+    return t.select("step", "name", F.round("value", 6).alias("value"))
+
+
+@query("result_log_roundtrip")
+def q_result_log_roundtrip(spark, sf_dir):
+    """The leaderboard as a result log, written and read back."""
+    path = shared_dir(spark, "result-log")
+    sinks.write_result_log(evaluate.leaderboard(spark, sf_dir), path)
+    return spark.read.schema("run_id long, subtask string, rouge1 double, rouge2 double, rougeL double, model string").json(path)
+
+
+@query("scan_text_folder_utf16")
+def q_scan_text_folder_utf16(spark, sf_dir):
+    folder = shared_dir(spark, "text-folder-16")
+    sinks.export_text_files(_case_files(spark, sf_dir), _posix(folder), "filename", "text", encoding="utf-16")
+    return readers.read_text_folder(spark, folder, encoding="UTF-16").select("filename", "input")
+
+
 @query("training_log_long")
 def q_training_log_long(spark, sf_dir):
     t = report.training_log_long(fixtures.losslog(spark, sf_dir), alpha=0.8)

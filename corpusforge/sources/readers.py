@@ -36,16 +36,22 @@ def read_manifest(spark: SparkSession, base_dir: str, input_files: list[str],
     return df.withColumn("lang", F.regexp_extract("source_file", LANG_FROM_NAME, 1))
 
 
-def read_text_folder(spark: SparkSession, folder: str, max_content_length: int | None = None) -> DataFrame:
+def read_text_folder(spark: SparkSession, folder: str, max_content_length: int | None = None,
+                     encoding: str = "UTF-8") -> DataFrame:
     """S3: flat folder of text files -> (filename, filepath, input).
 
-    Undecodable files are skipped (not repaired), \\r\\n and \\r become \\n,
+    Files that are not valid UTF-8 are skipped (not repaired); in another
+    ``encoding`` (US-ASCII, ISO-8859-1, UTF-16 and kin) they fail the read. \\r\\n and \\r become \\n,
     the content is cropped to ``max_content_length`` code points.
     """
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "false")
            .load(folder).select("path", "content"))
-    ok = raw.filter(F.is_valid_utf8(F.col("content").cast("string")))
-    text = F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n")
+    if encoding.upper().replace("-", "") == "UTF8":
+        ok = raw.filter(F.is_valid_utf8(F.col("content").cast("string")))
+        text = F.col("content").cast("string")
+    else:
+        ok, text = raw, F.decode("content", encoding)
+    text = F.regexp_replace(text, "\r\n?", "\n")
     if max_content_length is not None:
         text = F.substring(text, 1, max_content_length)
     return ok.select(F.element_at(F.split("path", "/"), -1).alias("filename"),

@@ -73,8 +73,13 @@ def _rename_parts(df: DataFrame, tmp: str, dest: str, group_col: str, name: str)
     return out
 
 
-def export_text_files(df: DataFrame, folder: str, name_col: str, text_col: str) -> None:
-    """S8 submission export: one UTF-8 text file per row, named by ``name_col``.
+def write_result_log(results: DataFrame, path: str) -> None:
+    """The result log, rebuilt as a whole on each run (JSON lines, one line a result)."""
+    results.write.mode("overwrite").json(path)
+
+
+def export_text_files(df: DataFrame, folder: str, name_col: str, text_col: str, encoding: str = "utf-8") -> None:
+    """S8 submission export: one text file per row, named by ``name_col``.
 
     Needs a shared folder that executors mount. Every row ends up as a file or
     the job fails: a row without a name and a write error both raise. Files are
@@ -90,7 +95,7 @@ def export_text_files(df: DataFrame, folder: str, name_col: str, text_col: str)
         for pdf in batches:
             for name, body in zip(pdf[name_col], pdf[text_col].fillna("")):
                 part = root / f".{name}.{uuid.uuid4().hex}"
-                part.write_bytes(body.encode("utf-8"))
+                part.write_bytes(body.encode(encoding))
                 part.replace(root / name)
             yield pdf[[name_col]]
     wrote = df.select(name_col, text_col).mapInPandas(put, df.select(name_col).schema)
