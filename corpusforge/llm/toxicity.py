@@ -2,7 +2,8 @@
 
 Confirmed toxic documents are the positives; every other training document,
 whatever its label, is unlabelled text. A linear classifier over a document's
-distinct lower-cased words and their beginnings (as log2(1 + number of words)) minimises the class-prior
+distinct lower-cased words, their beginnings and their number (as log2(1 + number
+of words that carry a feature)) minimises the class-prior
 corrected, non-negative risk over the FEATURES that lead most among the positives
 
     prior * R+(toxic) + max(0, R-(unlabelled) - prior * R-(toxic))
@@ -34,14 +35,18 @@ from corpusforge.llm.common import crc_fold, hash_fraction, staged
 
 _WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6, 7)
+#: The feature of all words: its count is the number of distinct words of a text.
+SIZE = ""
 FEATURES, LEAD, ROUNDS, L1 = 1000, 5.0, 800, 3e-4
+#: How far the corrected risk may fall under 0 before its gradient is walked back.
+SLACK = 0.05
 #: A word table of a Python worker is dropped at this size (memory bound).
 CACHE = 300_000
 
 
 def features(word: str) -> tuple[str, ...]:
-    """A word and its longer beginnings."""
-    return (word, *[word[:k] + "~" for k in BEGINNINGS if len(word) >= k])
+    """A word, its longer beginnings, and SIZE, which every word carries."""
+    return (SIZE, word, *[word[:k] + "~" for k in BEGINNINGS if len(word) >= k])
 
 
 def document_features(text: str | None) -> Counter:
@@ -75,19 +80,25 @@ def train_classifier(pos: list[dict], unl: list[dict], prior: float) -> dict:
         top = np.linalg.norm(v)
         v /= top
     rate, ahead, t = 4 / (1.05 * top), w.copy(), 1.0
+    best, least = w, np.inf
     for _ in range(ROUNDS):
         zp, zu = xp @ ahead, xu @ ahead
+        part = prior * np.logaddexp(0, -zp).mean()
         rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        risk = part + max(0.0, rest) + L1 * np.abs(ahead[:-1]).sum()
+        if risk < least and rest >= -SLACK:
+            best, least = ahead, risk
         # d/dz log(1 + exp(z)) = sig(z); d/dz log(1 + exp(-z)) = -sig(-z)
         g_un, g_back = sig(zu) / len(zu), -prior * sig(zp) / len(zp)
-        if rest >= 0:
-            g = xp.T @ (g_back - prior * sig(-zp) / len(zp)) + xu.T @ g_un
-        else:  # the corrected part of the risk went negative: walk its gradient back
-            g = -(xp.T @ g_back + xu.T @ g_un)
-        new = ahead - rate * g
-        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - rate * L1, 0)
+        if rest >= -SLACK:
+            g, step = xp.T @ (g_back - prior * sig(-zp) / len(zp)) + xu.T @ g_un, rate
+        else:  # the corrected part of the risk went negative: walk its gradient back, without momentum
+            g, step, t, w = -(xp.T @ g_back + xu.T @ g_un), rate / 4, 1.0, ahead
+        new = ahead - step * g
+        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * L1, 0)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, w, t = new + (t - 1) / t_new * (new - w), new, t_new
+    w = best
     return {"weights": {f: float(x) for f, x in zip(names, w) if x}, "intercept": float(w[-1])}
 
 
@@ -146,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     r1, r0 = F.col("p") / sizes[1], F.col("u") / sizes[0]
     r = (F.col("p") + F.col("u")) / (sizes[0] + sizes[1])
     lead = (r1 - r0) / F.sqrt(r * (1 - r) * (1 / sizes[1] + 1 / sizes[0]) + 1e-12)
-    names = {x["f"] for x in (sample.select("pos", "text").mapInArrow(tally, "f string, u long, p long")
+    names = {SIZE} | {x["f"] for x in (sample.select("pos", "text").mapInArrow(tally, "f string, u long, p long")
                               .groupBy("f").agg(F.sum("u").alias("u"), F.sum("p").alias("p"))
                               .where((F.col("p") >= 5) & (lead >= LEAD))
                               .orderBy(lead.desc(), "f").limit(FEATURES).select("f").collect())}
