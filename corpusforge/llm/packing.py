@@ -36,9 +36,30 @@ TIERS = (1024, 2048, 4096)
 STEP_TOKENS = 8 * 4096
 END_ID = 2
 #: Entries of a Python worker's table of white-space separated words and their ids.
-CACHE = 500_000
-_WORDS: dict[str, dict[bytes, bytes]] = {}
-_TOKENIZERS: dict = {}
+CACHE = 1_000_000
+_WORDS: dict = {}
+_STOPS = b".,!?;:"
+_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+class _Words(dict):
+    """Word -> its ids as little-endian uint32; a word is encoded when it is first asked for."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def __missing__(self, word: bytes) -> bytes:
+        # letters and marks are tokens of their own, so "word," is "word" and ","; the tokenizer
+        # lowers its input, but for its control strings; neither form takes a place in the table
+        if len(word) > 1 and word[-1] in _STOPS and word[-2] in _LETTERS:
+            return self[word[:-1]] + self[word[-1:]]
+        low = word.lower()
+        if low != word and b"<|" not in word:
+            return self[low]
+        ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
 
 
 def _encode(path: str, texts: list) -> list[bytes]:
@@ -48,21 +69,14 @@ def _encode(path: str, texts: list) -> list[bytes]:
     those of its white-space separated words; each distinct word is encoded by
     the tokenizer once.
     """
-    if path not in _TOKENIZERS:
-        from tokenizers import Tokenizer
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-    tok, known, end = _TOKENIZERS[path], _WORDS.setdefault(path, {}), np.array([END_ID], "<u4").tobytes()
-    out = []
+    known = _WORDS.get(path)
+    if known is None:
+        known = _WORDS[path] = _Words(path)
+    end, out = np.array([END_ID], "<u4").tobytes(), []
     for t in texts:
-        words = (t or "").encode("utf-8", "replace").split()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > CACHE:
+        if len(known) > CACHE:
             known.clear()
-            new = list(dict.fromkeys(words))
-        if new:
-            got = tok.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, got))
-        out.append(b"".join([known[w] for w in words]) + end)
+        out.append(b"".join(map(known.__getitem__, (t or "").encode("utf-8", "replace").split())) + end)
     return out
 
 
