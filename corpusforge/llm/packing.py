@@ -25,6 +25,8 @@ repeated rows are packed each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +40,9 @@ END_ID = 2
 #: Entries of a Python worker's table of white-space separated words and their ids.
 CACHE = 1_000_000
 _WORDS: dict = {}
-_STOPS = b".,!?;:"
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Small letters of Latin-1, whole characters whatever the normal form.
+_SMALL = re.compile("[a-zß-öø-ÿ]+")
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -46,18 +50,32 @@ class _Words(dict):
     """Word -> its ids as little-endian uint32; a word is encoded when it is first asked for."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.bytes_ = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # a word of small Latin letters is one piece of the byte-level model: asked directly, it answers the same
+        self.direct = all(self._direct(w) == self._whole(w) for w in ("a", "words", "straße", "été", "niño", "œuvre", "zqxj"))
+
+    def _whole(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _direct(self, word: str) -> list[int]:
+        piece = word if word.isascii() else self.bytes_.pre_tokenize_str(word)[0][0]
+        return [t.id for t in self.model.tokenize(piece)]
 
     def __missing__(self, word: bytes) -> bytes:
-        # letters and marks are tokens of their own, so "word," is "word" and ","; the tokenizer
-        # lowers its input, but for its control strings; neither form takes a place in the table
-        if len(word) > 1 and word[-1] in _STOPS and word[-2] in _LETTERS:
-            return self[word[:-1]] + self[word[-1:]]
-        low = word.lower()
-        if low != word and b"<|" not in word:
-            return self[low]
-        ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        # letters and a run of marks after them are pieces of their own ("word," is "word" and ","), and the
+        # tokenizer lowers its input; so neither form takes a place here. Its control strings stay whole.
+        if b"<|" not in word:
+            stem = word.rstrip(_MARKS)
+            if stem and stem != word and stem[-1] in _LETTERS:
+                return self[stem] + self[word[len(stem):]]
+            low = word.lower()
+            if low != word:
+                return self[low]
+        text = word.decode("utf-8", "replace")
+        plain = self.direct and _SMALL.fullmatch(text)
+        ids = np.array(self._direct(text) if plain else self._whole(text), "<u4").tobytes()
         self[word] = ids
         return ids
 
