@@ -65,14 +65,18 @@ class _Words(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         # letters and a run of marks after them are pieces of their own ("word," is "word" and ","), and the
-        # tokenizer lowers its input; so neither form takes a place here. Its control strings stay whole.
+        # tokenizer lowers its input; such forms take a place only beside a word that has been seen before.
+        # The tokenizer's control strings stay whole.
         if b"<|" not in word:
             stem = word.rstrip(_MARKS)
-            if stem and stem != word and stem[-1] in _LETTERS:
-                return self[stem] + self[word[len(stem):]]
-            low = word.lower()
-            if low != word:
-                return self[low]
+            cut = stem and stem != word and stem[-1] in _LETTERS
+            base = stem if cut else word.lower()
+            if base != word:
+                seen = base in self
+                ids = self[base] + self[word[len(stem):]] if cut else self[base]
+                if seen:
+                    self[word] = ids
+                return ids
         text = word.decode("utf-8", "replace")
         plain = self.direct and _SMALL.fullmatch(text)
         ids = np.array(self._direct(text) if plain else self._whole(text), "<u4").tobytes()
