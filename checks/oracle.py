@@ -429,6 +429,14 @@ ORACLE["annotate_chain_rejects"] = with_(REC) + f"""
 SELECT doc_id, 'rationale: ValueError: prompt too long' AS error, 3::BIGINT AS attempts FROM rec
 WHERE length({EXTRACT} || ': ' || input) > 20000"""
 
+ORACLE["predict_and_score"] = with_(*SPLIT, PROMPTS) + f""", said AS (
+  SELECT r.run_id, 'test_' || s.lang AS subtask, s.doc_id, s.output,
+         substring(coalesce(p.instruction, {SUMMARIZE}) || ': ' || s.input, 1, (256 * r.run_id)::INTEGER) AS summary
+  FROM splitted s CROSS JOIN runs r LEFT JOIN prompts p ON p.lang = s.lang WHERE s.split = 'test'),
+""" + suite_cte("said", "run_id, subtask, doc_id") + f"""
+SELECT s.run_id, s.subtask, round(avg(rouge1), 4) AS rouge1, round(avg(rouge2), 4) AS rouge2, r.model
+FROM (SELECT run_id, subtask, {suite_scores()} FROM suite) s LEFT JOIN runs r USING (run_id) GROUP BY s.run_id, s.subtask, r.model"""
+
 ORACLE["reannotate"] = with_(REC) + f"""
 SELECT doc_id, lang, input, output, {_ANN} AS rationale, {EXTRACT} || ': ' || input AS rationale_prompt FROM rec"""
 

@@ -148,22 +148,30 @@ def rouge_lsum(df: DataFrame, pred_col: str = "summary", ref_col: str = "output"
 
 def metric_suite(df: DataFrame, pred_col: str = "summary", ref_col: str = "output",
                  keys: tuple = ("run_id", "doc_id"), metrics=("rouge1", "rouge2", "rougeL"),
-                 stem: bool = False, split_sentences: bool = False) -> DataFrame:
+                 stem: bool = False, split_sentences: bool = False, scorers: dict | None = None) -> DataFrame:
     """M6: F1 of every metric in the registry for the same pairs, wide (one row per pair).
 
     All scorers are column expressions over one projection of the pairs, so the
-    pairs are read once and no shuffle is added.
+    pairs are read once and no shuffle is added. ``scorers`` adds scorers of
+    your own: name -> function of the (prediction, reference) text columns that
+    returns a numeric column, or a dict of them (saved as <name>_<key>).
     """
+    own = {m: scorers[m] for m in metrics if scorers and m in scorers}
     toks_p, toks_r = tokens(pred_col, stem), tokens(ref_col, stem)
     cols = [*keys, toks_p.alias("_tp"), toks_r.alias("_tr")]
     if "rougeLsum" in metrics:
         cols += [sentence_tokens(pred_col, stem, split_sentences).alias("_sp"),
                  sentence_tokens(ref_col, stem, split_sentences).alias("_sr")]
+    if own:
+        cols += [F.col(pred_col).alias("_pred"), F.col(ref_col).alias("_ref")]
     base = df.select(*cols)
     npred, nref = F.size("_tp"), F.size("_tr")
     out = [*keys]
     for m in metrics:
-        if m == "rouge1":
+        if m in own:
+            got = own[m](F.col("_pred"), F.col("_ref"))
+            out += [c.alias(f"{m}_{k}") for k, c in got.items()] if isinstance(got, dict) else [got.alias(m)]
+        elif m == "rouge1":
             out.append(_f1(_overlap_udf("_tp", "_tr"), npred, nref).alias(m))
         elif m == "rouge2":
             b_p, b_r = ngrams(F.col("_tp"), 2), ngrams(F.col("_tr"), 2)

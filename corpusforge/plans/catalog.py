@@ -610,6 +610,16 @@ def q_annotate_chain_rejects(spark, sf_dir):
     return bad.select("doc_id", "error", F.col("attempts").cast("long").alias("attempts"))
 
 
+def _run_model(n):
+    return lambda: ann.PrefixModel(n)
+
+
+@query("predict_and_score")
+def q_predict_and_score(spark, sf_dir):
+    """The unofficial flow as one query; run k's stand-in model answers with 256 k characters."""
+    return evaluate.predict_and_score(spark, sf_dir, {k: _run_model(ANSWER_CHARS * k) for k in RUN_MODELS}, ("rouge1", "rouge2"))
+
+
 @query("reannotate")
 def q_reannotate(spark, sf_dir):
     r = prep.drop_column_strict(fixtures.rec(spark, sf_dir), "rationale")

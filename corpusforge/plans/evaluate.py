@@ -31,6 +31,26 @@ def test_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.pair_pred_ref(fixtures.pred(spark, sf_dir), test_references(spark, sf_dir))
 
 
+def predict_and_score(spark: SparkSession, sf_dir: str, models: dict, metrics=("rouge1",)) -> DataFrame:
+    """Test split -> localised prompt -> each run's model -> predictions -> mean scores per (run, subtask).
+
+    ``models`` maps run ids to model factories. Predictions are staged before they
+    are scored, so a model is asked once per record; refused records have no score.
+    """
+    from corpusforge.operators import annotate as ann
+    r = fixtures.rec(spark, sf_dir).select("doc_id", "lang", "input", "output")
+    t = stratified_split(r, ["lang"], "doc_id", SplitConfig(), keep=("test",)).withColumn("subtask", F.concat(F.lit("test_"), "lang"))
+    t = joins.localised_prompt(t, spark, on_missing="default").select("doc_id", "subtask", "instruction", "input", "output")
+    parts = [ann.split_rejects(ann.materialize(ann.annotate(t, "{instruction}: {input}", "summary", make, keep_prompt=False),
+                                               f"predictions-{run}"), "summary")[0].withColumn("run_id", F.lit(run).cast("long"))
+             for run, make in sorted(models.items())]
+    preds = parts[0]
+    for p in parts[1:]:
+        preds = preds.unionByName(p)
+    wide = scores.metric_suite(preds, keys=("run_id", "subtask", "doc_id"), metrics=metrics)
+    return report.leaderboard(wide, joins.models_table(spark), list(metrics))
+
+
 def leaderboard(spark: SparkSession, sf_dir: str, metrics=SQL_METRICS) -> DataFrame:
     """A4 over S5 -> J4 -> M6: mean metric per (run, subtask) with the model name."""
     s = scores.metric_suite(test_pairs(spark, sf_dir), keys=("run_id", "subtask", "doc_id"), metrics=metrics)

@@ -183,3 +183,12 @@ def test_split_config_rejects_what_is_no_partition():
     for bad in (SplitConfig(0.8, 0.1, 0.2), SplitConfig(1.2, -0.1, -0.1)):
         with pytest.raises(ValueError):
             bad.check()
+
+
+def test_scorers_of_your_own(spark):
+    df = spark.createDataFrame([(1, 1, "a b", "a b c d")], "run_id int, doc_id int, summary string, output string")
+    extra = {"ratio": lambda p, r: F.length(p) / F.length(r), "len": lambda p, r: {"p": F.length(p), "r": F.length(r)}}
+    r = scores.metric_suite(df, metrics=("rouge1", "ratio", "len"), scorers=extra).first()
+    assert r["ratio"] == 3 / 7 and (r["len_p"], r["len_r"]) == (3, 7) and abs(r["rouge1"] - 2 / 3) < 1e-9
+    with pytest.raises(ValueError):
+        scores.metric_suite(df, metrics=("unknown",))
