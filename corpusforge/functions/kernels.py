@@ -199,9 +199,16 @@ def greedy_match(pred_vecs, ref_vecs, pred_n=None, ref_n=None) -> tuple[float, f
 
 
 # --------------------------------------------------------------------------
-# Porter stemmer, the original 1980 algorithm (Porter, "An algorithm for
-# suffix stripping", Program 14(3)).
+# Porter stemmer: the original 1980 algorithm (Porter, "An algorithm for
+# suffix stripping", Program 14(3)), and the extended variant that public ROUGE
+# scorers use: a few irregular words, short -ies / -ied words keep -ie, a final
+# y turns to i only after a consonant that is not the first letter, -bli, -fulli
+# and -logi endings, and vowel-consonant words of two letters count as short.
 # --------------------------------------------------------------------------
+# Words the extended variant answers as a whole.
+IRREGULAR = {"sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
+             "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing", "cannings": "canning",
+             "canning": "canning", "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed"}
 _VOWELS = set("aeiou")
 
 
@@ -232,7 +239,9 @@ def _ends_double_cons(w: str) -> bool:
     return len(w) >= 2 and w[-1] == w[-2] and _is_cons(w, len(w) - 1)
 
 
-def _cvc(w: str) -> bool:
+def _cvc(w: str, extended: bool = False) -> bool:
+    if extended and len(w) == 2:
+        return not _is_cons(w, 0) and _is_cons(w, 1)
     if len(w) < 3:
         return False
     return (_is_cons(w, len(w) - 3) and not _is_cons(w, len(w) - 2)
@@ -258,10 +267,25 @@ _STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "men
           "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 
 
-def porter_stem(w: str) -> str:
+def _step2_extended(w: str) -> str:
+    positive = lambda s: _measure(s) > 0
+    if w.endswith("alli"):
+        return _step2_extended(w[:-2]) if positive(w[:-4]) else w
+    if w.endswith("logi"):
+        return w[:-1] if positive(w[:-3]) else w
+    rules = [("bli", "ble") if r[0] == "abli" else r for r in _STEP2]
+    return _replace(w, [("fulli", "ful"), *rules], positive)
+
+
+def porter_stem(w: str, extended: bool = False) -> str:
+    if extended and w in IRREGULAR:
+        return IRREGULAR[w]
     if len(w) <= 2:
         return w
-    # step 1a
+    # step 1a; short words in -ies and -ied keep their e
+    if extended and len(w) == 4 and w.endswith("ies"):
+        w = w[:-1]
+        return _after_1a(w, extended)
     if w.endswith("sses"):
         w = w[:-2]
     elif w.endswith("ies"):
@@ -270,9 +294,15 @@ def porter_stem(w: str) -> str:
         pass
     elif w.endswith("s"):
         w = w[:-1]
+    return _after_1a(w, extended)
+
+
+def _after_1a(w: str, extended: bool) -> str:
     # step 1b
     extra = False
-    if w.endswith("eed"):
+    if extended and w.endswith("ied"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("eed"):
         if _measure(w[:-3]) > 0:
             w = w[:-1]
     elif w.endswith("ed") and _has_vowel(w[:-2]):
@@ -284,13 +314,13 @@ def porter_stem(w: str) -> str:
             w += "e"
         elif _ends_double_cons(w) and w[-1] not in "lsz":
             w = w[:-1]
-        elif _measure(w) == 1 and _cvc(w):
+        elif _measure(w) == 1 and _cvc(w, extended):
             w += "e"
     # step 1c
-    if w.endswith("y") and _has_vowel(w[:-1]):
+    if w.endswith("y") and (len(w) > 2 and _is_cons(w, len(w) - 2) if extended else _has_vowel(w[:-1])):
         w = w[:-1] + "i"
     # steps 2, 3
-    w = _replace(w, _STEP2, lambda s: _measure(s) > 0)
+    w = _step2_extended(w) if extended else _replace(w, _STEP2, lambda s: _measure(s) > 0)
     w = _replace(w, _STEP3, lambda s: _measure(s) > 0)
     # step 4
     for suf in sorted(_STEP4, key=len, reverse=True):
@@ -303,7 +333,7 @@ def porter_stem(w: str) -> str:
     if w.endswith("e"):
         stem = w[:-1]
         mm = _measure(stem)
-        if mm > 1 or (mm == 1 and not _cvc(stem)):
+        if mm > 1 or (mm == 1 and not _cvc(stem, extended)):
             w = stem
     # step 5b
     if _measure(w) > 1 and _ends_double_cons(w) and w.endswith("l"):

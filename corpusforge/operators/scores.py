@@ -58,7 +58,7 @@ def _lsum_udf(p: pd.Series, r: pd.Series) -> pd.DataFrame:
 
 @lru_cache(maxsize=1 << 18)
 def _stem(tok: str) -> str:
-    return kernels.porter_stem(tok) if len(tok) > 3 else tok
+    return kernels.porter_stem(tok, extended=True) if len(tok) > 3 else tok
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

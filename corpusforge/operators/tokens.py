@@ -30,6 +30,11 @@ def word_pieces(text) -> Column:
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(PIECE_PATTERN), 1)
 
 
+def text_pieces(text) -> Column:
+    """Words with their accents, and marks one by one, in order: decoding keeps sentences apart."""
+    return F.regexp_extract_all(F.lower(_c(text)), F.lit(r"([\p{L}\p{N}]+|[^\s\p{L}\p{N}])"), 1)
+
+
 def build_vocabulary(df: DataFrame, pieces_col: str, k: int | None) -> DataFrame:
     """Top-k pieces by (count desc, piece asc) -> ids after the 4 special ids.
 

@@ -718,9 +718,9 @@ def q_stemmed_vocabulary(spark, sf_dir):
 @query("eval_predictions")
 def q_eval_predictions(spark, sf_dir):
     """compute_metrics as a job: unmask -> decode -> sanitize -> sentence lines -> ROUGE (stemmed) -> x100."""
-    v = _vocab(spark, sf_dir)
     pr = fixtures.paired_all(spark, sf_dir).select(
-        "run_id", "doc_id", tokens.word_pieces("summary").alias("ps"), tokens.word_pieces("output").alias("po"))
+        "run_id", "doc_id", tokens.text_pieces("summary").alias("ps"), tokens.text_pieces("output").alias("po"))
+    v = tokens.Vocabulary(tokens.build_vocabulary(pr.select(F.concat("ps", "po").alias("p")), "p", None))
     pr = tokens.encode(tokens.encode(pr, "ps", v, "is"), "po", v, "io")
     pr = pr.select("run_id", "doc_id",
                    tokens.pad_truncate(F.col("is"), MAX_OUT)[0].alias("pred_ids"),

@@ -53,6 +53,14 @@ def test_porter_known_stems():
         assert kernels.porter_stem(w) == s, w
 
 
+def test_extended_stems():
+    cases = {"dying": "die", "died": "die", "dies": "die", "ties": "tie", "flies": "fli", "flied": "fli", "spied": "spi",
+             "enjoy": "enjoy", "happy": "happi", "by": "by", "sky": "sky", "skies": "sky", "news": "news", "possibly": "possibl",
+             "geology": "geolog", "hopefully": "hope", "generally": "gener", "caresses": "caress", "proceed": "proceed"}
+    for w, s in cases.items():
+        assert kernels.porter_stem(w, extended=True) == s, (w, kernels.porter_stem(w, extended=True))
+
+
 @given(toks, toks)
 @settings(max_examples=300, deadline=None)
 def test_bit_row_backtrack_equals_table_backtrack(a, b):
