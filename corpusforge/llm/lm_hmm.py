@@ -35,7 +35,7 @@ from corpusforge.llm.common import crc_fold, staged
 
 STATES, TOP, TAIL, ROUNDS = 6, 2048, 2048, 2
 START_DOCS, START_ROUNDS, CHUNK, LANES = 300, 12, 64, 4096
-BLOCK_WORDS = 150_000
+BLOCK_WORDS = 400_000
 GROUPS = TOP + TAIL + 1
 END = TOP + TAIL
 #: Weight of the overall group distribution in each state's emissions.
@@ -43,6 +43,20 @@ PRIOR = 200.0
 
 
 # ------------------------------------------------------------- documents as word numbers
+def _packed(ids: np.ndarray) -> bytes:
+    """Word numbers as a plane of low 16 bits and one of the next 8 (of 16 if a number needs them)."""
+    wide = len(ids) and int(ids.max()) >> 24
+    high = (ids >> 16).astype("<u2" if wide else np.uint8)
+    return (b"w" if wide else b"n") + (ids & 0xFFFF).astype("<u2").tobytes() + high.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    wide = raw[:1] == b"w"
+    n = (len(raw) - 1) // (4 if wide else 3)
+    low = np.frombuffer(raw, "<u2", n, 1).astype(np.int64)
+    return low | np.frombuffer(raw, "<u2" if wide else np.uint8, n, 1 + 2 * n).astype(np.int64) << 16
+
+
 def encode(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Staged rows: kind 1 documents (ids: block-local word numbers), kind 0 words of a block."""
     src = docs.select(F.col(id_col).alias("id"), (crc_fold(id_col, 7) != 2).alias("train"),
@@ -75,7 +89,7 @@ def encode(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         counts = np.concatenate([counts, np.zeros(max(len(counts), len(words) - len(counts)), np.int64)])
                     if train and len(ids):
                         np.add.at(counts, ids, 1)
-                    out.append(ids.astype("<u4").tobytes())
+                    out.append(_packed(ids))
                 n = piece.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, part << 24 | nth)), pa.array(np.ones(n, np.int32)), piece.column(0), piece.column(1),
@@ -282,7 +296,7 @@ def prepare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
                     pend_c, pend_g = [], []
                 out_n, out_k, out_l, out_g = [], [], [], []
                 for raw in part.column(7).to_pylist():
-                    ids = np.frombuffer(raw, "<u4")
+                    ids = _unpacked(raw)
                     cnt = c[ids]
                     out_n.append(len(ids) + 1)
                     out_k.append(int((cnt > 0).sum()) + (n_train > 0))

@@ -70,6 +70,11 @@ def test_chunked_recursions_are_exact(monkeypatch):
         assert np.allclose(got, sum(w[k] for w in want))
 
 
+def test_word_numbers_round_trip():
+    for ids in ([], [0], [70_000, 1, 65_535], [1 << 24, 5, (1 << 32) - 1]):
+        assert lm_hmm._unpacked(lm_hmm._packed(np.array(ids, np.uint32))).tolist() == ids
+
+
 def test_baum_welch_raises_the_likelihood():
     rng = np.random.default_rng(2)
     seqs = [rng.integers(0, 5, 80) + 5 * (i % 2) for i in range(20)]
