@@ -74,15 +74,16 @@ def train_classifier(pos: list[dict], unl: list[dict], prior: float) -> dict:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     # the risk's curvature is at most a quarter of the largest eigenvalue of the mean outer products
-    v = np.ones(len(w))
+    tp, tu, f32 = np.ascontiguousarray(xp.T), np.ascontiguousarray(xu.T), np.float32  # products stay in single precision
+    v = np.ones(len(w), f32)
     for _ in range(30):
-        v = prior * xp.T @ (xp @ v) / len(xp) + xu.T @ (xu @ v) / len(xu)
+        v = f32(prior / len(xp)) * (tp @ (xp @ v)) + (tu @ (xu @ v)) / f32(len(xu))
         top = np.linalg.norm(v)
         v /= top
     rate, ahead, t = 4 / (1.05 * top), w.copy(), 1.0
     best, least = w, np.inf
     for _ in range(ROUNDS):
-        zp, zu = xp @ ahead, xu @ ahead
+        zp, zu = (xp @ ahead.astype(f32)).astype(float), (xu @ ahead.astype(f32)).astype(float)
         part = prior * np.logaddexp(0, -zp).mean()
         rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         risk = part + max(0.0, rest) + L1 * np.abs(ahead[:-1]).sum()
@@ -91,9 +92,9 @@ def train_classifier(pos: list[dict], unl: list[dict], prior: float) -> dict:
         # d/dz log(1 + exp(z)) = sig(z); d/dz log(1 + exp(-z)) = -sig(-z)
         g_un, g_back = sig(zu) / len(zu), -prior * sig(zp) / len(zp)
         if rest >= -SLACK:
-            g, step = xp.T @ (g_back - prior * sig(-zp) / len(zp)) + xu.T @ g_un, rate
+            g, step = tp @ (g_back - prior * sig(-zp) / len(zp)).astype(f32) + tu @ g_un.astype(f32), rate
         else:  # the corrected part of the risk went negative: walk its gradient back, without momentum
-            g, step, t, w = -(xp.T @ g_back + xu.T @ g_un), rate / 4, 1.0, ahead
+            g, step, t, w = -(tp @ g_back.astype(f32) + tu @ g_un.astype(f32)), rate / 4, 1.0, ahead
         new = ahead - step * g
         new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * L1, 0)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
