@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.llm.common import crc_fold, hash_fraction, text_buffer
 
-HIDDEN, CORE, CONTEXT, LANES = 8, 240, 8, 8192
+HIDDEN, CORE, CONTEXT, LANES = 8, 240, 8, 4096
 SPAN, WINDOWS, STEPS, BATCH, RATE = 96, 3, 260, 192, 0.02
 #: `keeps` rejects below this pooled probability of the best language.
 MIN_SCORE = 0.35

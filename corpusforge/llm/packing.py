@@ -37,9 +37,8 @@ from corpusforge.llm.common import running, staged
 TIERS = (1024, 2048, 4096)
 STEP_TOKENS = 8 * 4096
 END_ID = 2
-#: Entries of a Python worker's table of white-space separated words and their ids.
-CACHE = 1_000_000
-_WORDS: dict = {}
+#: Entries of a task's table of white-space separated words and their ids (memory bound).
+CACHE = 300_000
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Small letters of Latin-1, whole characters whatever the normal form.
 _SMALL = re.compile("[a-zß-öø-ÿ]+")
@@ -84,16 +83,13 @@ class _Words(dict):
         return ids
 
 
-def _encode(path: str, texts: list) -> list[bytes]:
+def _encode(known: _Words, texts: list) -> list[bytes]:
     """Ids (little-endian uint32) of each text and the end id.
 
     The tokenizer drops white space and no token spans it, so a text's ids are
     those of its white-space separated words; each distinct word is encoded by
     the tokenizer once.
     """
-    known = _WORDS.get(path)
-    if known is None:
-        known = _WORDS[path] = _Words(path)
     end, out = np.array([END_ID], "<u4").tobytes(), []
     for t in texts:
         if len(known) > CACHE:
@@ -108,10 +104,11 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     schema = src.select("doc_id", F.lit(0).cast("long").alias("n"), F.lit(b"").alias("ids")).schema
 
     def run(batches):
+        known = _Words(tokenizer_path)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                ids = _encode(tokenizer_path, part.column(1).to_pylist())
+                ids = _encode(known, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
                                                   pa.array(ids, pa.binary())], names=schema.names)
     return staged(src.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()), "pack-tokens")
