@@ -11,9 +11,14 @@ minus item position) are one alignment. An alignment is a leak if
   document and the other way round (a re-parameterised question), or windows
   without any slot alone reach the same number (a verbatim passage).
 
-Names are capitalised words inside a sentence; units are unit words after a
+A text has three readings, each with windows of its own: `plain` (lower-cased
+tokens, no slots, so marks and capitals do not count), `start` (capitalised words
+inside a sentence are names, the first word of a sentence is not) and `name`
+(every capitalised word is a name, so sentence marks do not count). Windows are
+joined and alignments judged within a reading; one that leaks is enough. Units are unit words after a
 number and currency or percent signs; number words count as numbers. A window
-needs at least LITERAL literal words, so runs of placeholders match nothing.
+with slots needs at least LITERAL literal words, so runs of placeholders match
+nothing.
 
 Only windows that pass a fixed-size Bloom filter of the item windows (2 **
 BLOOM_BITS bits, whatever the benchmark's size) leave the task; the join that
@@ -49,8 +54,11 @@ UNITS = frozenset("km m cm mm kg g mg t l ml cl s ms min h hr kb mb gb mph kmh k
 _BREAK, _WORD, _CAP, _NUM, _UNIT, _SIGN = range(6)
 #: Token table of a Python worker is dropped at this size (memory bound).
 CACHE = 400_000
+#: Rows whose tokens are handled together.
+ROWS = 256
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = {_NUM: "<num>", _CAP: "<name>", _UNIT: "<unit>", _SIGN: "<unit>"}
+PLAIN, START, NAME = "plain", "start", "name"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,7 +71,7 @@ def _digest(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "replace"), 17)
 
 
-_PLACE_HASH = {k: _digest(v) for k, v in _PLACE.items()}
+_PLACE_HASH = {k: np.uint64(_digest(v)) for k, v in _PLACE.items()}
 
 
 def _kind(tok: str) -> tuple[int, int]:
@@ -72,9 +80,9 @@ def _kind(tok: str) -> tuple[int, int]:
     if tok[0] in ".!?\n":
         return _BREAK, 0
     if tok[0].isdigit() or low in NUMBER_WORDS:
-        return _NUM, _PLACE_HASH[_NUM]
+        return _NUM, _digest(low)
     if tok in "%€$£°":
-        return _SIGN, _PLACE_HASH[_SIGN]
+        return _SIGN, _digest(low)
     if low in UNITS:
         return _UNIT, _digest(low)
     if len(tok) > 1 and tok[0].isupper() and tok[1:].islower():
@@ -82,43 +90,78 @@ def _kind(tok: str) -> tuple[int, int]:
     return _WORD, _digest(low)
 
 
-def canonical(text: str | None, cache: dict | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(tokens, slot kind or -1, hash) of a text, sentence breaks removed."""
-    cache = {} if cache is None else cache
-    toks = _TOKEN.findall(text or "")
-    info = []
-    for t in toks:
-        k = cache.get(t)
-        if k is None:
-            if len(cache) >= CACHE:
-                cache.clear()
-            k = cache[t] = _kind(t)
-        info.append(k)
-    if not info:
-        return [], np.zeros(0, np.int8), np.zeros(0, np.uint64)
-    kind = np.fromiter((k[0] for k in info), np.int8, len(info))
-    hash_ = np.fromiter((k[1] for k in info), np.uint64, len(info))
-    before = np.append(_BREAK, kind[:-1])
-    slot = np.where((kind == _NUM) | (kind == _SIGN), kind, -1)
-    slot[(kind == _CAP) & (before != _BREAK)] = _CAP
-    slot[(kind == _UNIT) & (before == _NUM)] = _UNIT
-    for k in (_CAP, _UNIT):
-        hash_[slot == k] = _PLACE_HASH[k]
-    keep = np.flatnonzero(kind != _BREAK)
-    return [toks[i] for i in keep], slot[keep], hash_[keep]
-
-
-def window_hashes(slot: np.ndarray, hash_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the informative windows."""
-    n = len(hash_) - WINDOW + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
-        h = h * _MULT + _mix(hash_[k:k + n])
-    literal = np.concatenate([[0], np.cumsum(slot < 0)])
-    at = np.flatnonzero(literal[WINDOW:] - literal[:-WINDOW] >= LITERAL)
-    return at, _mix(h[at])
+class Words(dict):
+    """Number of each token, with its kind and hash in tables."""
+
+    def __init__(self):
+        self.kind, self.hash = np.zeros(1024, np.int8), np.zeros(1024, np.uint64)
+
+    def __missing__(self, tok):
+        n = len(self)
+        if n == len(self.kind):
+            self.kind, self.hash = np.resize(self.kind, 2 * n), np.resize(self.hash, 2 * n)
+        self.kind[n], self.hash[n] = _kind(tok)
+        self[tok] = n
+        return n
+
+
+class Tokens:
+    """Tokens of some texts in one run, sentence breaks removed: kind, hash, text number, position, first of a sentence."""
+
+    def __init__(self, texts, words: Words):
+        toks: list = []
+        ends = []
+        for t in texts:
+            toks += _TOKEN.findall(t or "")
+            ends.append(len(toks))
+        code = np.fromiter(map(words.__getitem__, toks), np.int64, len(toks))
+        kind, doc = words.kind[code], np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        first = np.append(True, (kind[:-1] == _BREAK) | (doc[1:] != doc[:-1]))[:len(kind)]
+        keep = np.flatnonzero(kind != _BREAK)
+        self.toks, self.at = toks, keep
+        self.kind, self.hash, self.doc, self.first = kind[keep], words.hash[code][keep], doc[keep], first[keep]
+        self.size = np.bincount(self.doc, minlength=len(ends))
+        self.pos = np.arange(len(keep)) - (np.cumsum(self.size) - self.size)[self.doc]
+
+
+class Form:
+    """One reading of the tokens: which of them are slots, and the symbols that windows are made of."""
+
+    def __init__(self, t: Tokens, name: str):
+        self.t, self.name = t, name
+        slot = np.full(len(t.kind), -1, np.int8)
+        if name != PLAIN:
+            sign = (t.kind == _NUM) | (t.kind == _SIGN)
+            slot[sign] = t.kind[sign]
+            slot[(t.kind == _CAP) & (~t.first | (name == NAME))] = _CAP
+            inside = t.pos > 0 if name == NAME else ~t.first
+            slot[(t.kind == _UNIT) & inside & (np.append(_BREAK, t.kind)[:-1] == _NUM)] = _UNIT
+        hash_ = t.hash.copy()
+        for k, h in _PLACE_HASH.items():
+            hash_[slot == k] = h
+        self.slot, self.hash, self.doc = slot, _mix(hash_), t.doc
+
+    def windows(self, span: int, literal: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first symbols, hashes) of the windows of ``span`` symbols of one text with enough literals."""
+        n = len(self.hash) - span + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        h = np.full(n, _digest(f"{self.name} {span}"), np.uint64)
+        for k in range(span):
+            h = h * _MULT + self.hash[k:k + n]
+        ok = self.doc[:n] == self.doc[span - 1:]
+        if literal and self.name != PLAIN:
+            count = np.concatenate([[0], np.cumsum(self.slot < 0)])
+            ok &= count[span:] - count[:-span] >= literal
+        at = np.flatnonzero(ok)
+        return at, _mix(h[at])
+
+    def text(self, i: int, span: int) -> tuple[str, list[str]]:
+        """(canonical text, slot values) of the window at symbol ``i``."""
+        own = [self.t.toks[k].lower() for k in self.t.at[i:i + span]]
+        kinds = self.slot[i:i + span].tolist()
+        return (" ".join([self.name, *(t if s < 0 else _PLACE[s] for t, s in zip(own, kinds))]),
+                [f"{_PLACE[s]}{t}" for t, s in zip(own, kinds) if s >= 0])
 
 
 def _bits(h: np.ndarray, size: int):
@@ -126,11 +169,11 @@ def _bits(h: np.ndarray, size: int):
     return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
 
 
-WINDOW_SCHEMA = "id {id}, mark long, n int, pos int, hash long, form string, slots array<string>"
+WINDOW_SCHEMA = "id {id}, mark long, reading string, n int, pos int, hash long, form string, slots array<string>"
 
 
 def windows(df: DataFrame, id_col: str, text_col: str, bloom: np.ndarray | None = None) -> DataFrame:
-    """(id, mark, n, pos, hash, form, slots): windows of each distinct (id, text).
+    """(id, mark, reading, n, pos, hash, form, slots): windows of each distinct (id, text) in each reading.
 
     ``mark`` is a hash of the text (the row's identity beside its id), ``n`` the
     number of its windows; ``bloom`` keeps only windows that may be joined.
@@ -142,29 +185,31 @@ def windows(df: DataFrame, id_col: str, text_col: str, bloom: np.ndarray | None
     packed = None if bloom is None else np.packbits(bloom)
 
     def run(batches):
-        cache: dict = {}
+        words = Words()
         bloom = None if packed is None else np.unpackbits(packed).astype(bool)
-        for b in batches:
+        for b in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
+            if len(words) >= CACHE:
+                words = Words()
+            t = Tokens(b.column(2).to_pylist(), words)
             rows: list = [[] for _ in range(7)]
-            for k, text in enumerate(b.column(2).to_pylist()):
-                toks, slot, hash_ = canonical(text, cache)
-                at, h = window_hashes(slot, hash_)
-                n = len(at)
-                if bloom is not None and n:
+            for name in (PLAIN, START, NAME):
+                f = Form(t, name)
+                at, h = f.windows(WINDOW, LITERAL)
+                n = np.bincount(f.doc[at], minlength=b.num_rows)
+                if bloom is not None:
                     one, two = _bits(h, len(bloom))
                     hit = np.flatnonzero(bloom[one] & bloom[two])
                     at, h = at[hit], h[hit]
-                for p, x in zip(at.tolist(), h.view(np.int64).tolist()):
-                    own, kinds = [t.lower() for t in toks[p:p + WINDOW]], slot[p:p + WINDOW].tolist()
-                    for col, v in zip(rows, (k, None, n, p, x,
-                                             " ".join(t if s < 0 else _PLACE[s] for t, s in zip(own, kinds)),
-                                             [f"{_PLACE[s]}{t}" for t, s in zip(own, kinds) if s >= 0])):
+                k = f.doc[at]
+                for i, *row in zip(at.tolist(), k.tolist(), n[k].tolist(), t.pos[at].tolist(), h.view(np.int64).tolist()):
+                    for col, v in zip(rows, (*row, name, *f.text(i, WINDOW))):
                         col.append(v)
             take = pa.array(rows[0], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(1).take(take), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int32()),
-                 pa.array(rows[4], pa.int64()), pa.array(rows[5], pa.string()), pa.array(rows[6], pa.list_(pa.string()))],
-                names=["id", "mark", "n", "pos", "hash", "form", "slots"])
+                [b.column(0).take(take), b.column(1).take(take), pa.array(rows[4], pa.string()), pa.array(rows[1], pa.int32()),
+                 pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64()), pa.array(rows[5], pa.string()),
+                 pa.array(rows[6], pa.list_(pa.string()))],
+                names=["id", "mark", "reading", "n", "pos", "hash", "form", "slots"])
     return src.mapInArrow(run, schema)
 
 
@@ -184,19 +229,19 @@ def _bloom(hashes: DataFrame) -> np.ndarray:
 
 def alignments(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, mark, item_id, covered, verbatim, item_windows, slots, consistent, leak) per aligned pair."""
+    """(doc_id, mark, item_id, reading, item_windows, covered, verbatim, slots, consistent, leak) per aligned pair."""
     bench = staged(windows(items, item_col, item_text), "bench-windows")
     docs_w = windows(docs, id_col, text_col, _bloom(bench))
     b = bench.select(F.col("id").alias("item_id"), F.col("mark").alias("item_mark"), F.col("n").alias("item_windows"),
-                     F.col("pos").alias("item_pos"), "hash", "form", F.col("slots").alias("item_slots")).distinct()
+                     F.col("pos").alias("item_pos"), "reading", "hash", "form", F.col("slots").alias("item_slots")).distinct()
     pairs = (docs_w.select(F.col("id").alias("doc_id"), "mark", "pos", "hash", "form", "slots").join(b, ["hash", "form"])
              .withColumn("diagonal", F.col("pos") - F.col("item_pos")))
-    by = pairs.groupBy("doc_id", "mark", "item_id", "item_mark", "item_windows", "diagonal").agg(
+    by = pairs.groupBy("doc_id", "mark", "item_id", "item_mark", "reading", "item_windows", "diagonal").agg(
         F.count_distinct("item_pos").alias("covered"),
         F.count_distinct(F.when(F.size("slots") == 0, F.col("item_pos"))).alias("verbatim"),
         # an alignment has one row per item window (and copy of the row): a bounded list
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))))).alias("z"))
-    by = by.select("doc_id", "mark", "item_id", "item_windows", "covered", "verbatim", F.size("z").alias("slots"),
+    by = by.select("doc_id", "mark", "item_id", "reading", "item_windows", "covered", "verbatim", F.size("z").alias("slots"),
                    ((F.size(F.array_distinct(F.col("z.i"))) == F.size("z"))
                     & (F.size(F.array_distinct(F.col("z.d"))) == F.size("z"))).alias("consistent"))
     need = F.least(F.lit(NEED), F.ceil(F.col("item_windows") / 2).cast("int"))

@@ -142,6 +142,23 @@ def test_templates_and_slots(spark):
         [(3, "Yes"), (6, "Ali"), (7, ""), (8, ""), (2, filler[:3])])
 
 
+def leaking(spark, texts, items):
+    docs = messy.table(spark, [(k, t, "aa") for k, t in enumerate(texts)])
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench).collect()}
+
+
+def test_sentence_marks_do_not_decide(spark):
+    item = ("Alice went out. She bought 3 apples there. Nobody saw her do it. Later the old man sold 4 pears. "
+            "Then both walked home. Their friend Robert had 7 plums left over.")
+    bare, other = item.replace(".", ""), item.replace(".", ";")
+    again = item.replace("Alice", "Maria").replace("3", "12")  # a name that opens a sentence
+    short = "Alice sold 9 apples to her friend near the river before noon. Who has more of them now?"
+    assert leaking(spark, [bare, other, again, bare.replace("Alice", "Maria"), bare.lower(),
+                           short.replace("Alice", "Maria").replace("9", "4"), "So " + short], [item, short]) == {
+        (0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 1), (6, 1)}
+
+
 def test_decontamination_of_nothing(spark):
     docs = messy.table(spark)
     none = spark.createDataFrame([], "item_id long, text string")
