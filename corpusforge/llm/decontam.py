@@ -2,15 +2,20 @@
 
 Numbers, names and units become typed placeholders; other words are lowered.
 Windows of WINDOW canonical tokens of documents and benchmark items are hash
-joined, and the canonical text of joined windows is compared as well. Windows
-of one document that lie on the same diagonal of an item (document position
-minus item position) are one alignment. An alignment is a leak if
-
-* it covers at least min(NEED, half of the item's windows) item windows, and
+joined, and the canonical text of joined windows is compared as well. A
+diagonal is a document position minus an item position. Windows of one document
+and item on one diagonal, in one of the overlapping bands of 2 * SHIFT
+diagonals, or in one of those of twice the item's size are one alignment, so a
+word more or less does not split an item. An alignment is a leak if
+
+* it covers at least min(NEED, half of the item's windows) item windows, or, by
+  the windows of SHORT symbols that items under LONG tokens have as well, all
+  tokens of the item but one in ten (at least one), and
 * its slots are consistent: each value of the item stands for one value of the
   document and the other way round (a re-parameterised question), or windows
-  without any slot alone reach the same number (a verbatim passage).
+  of WINDOW without any slot alone reach the same number (a verbatim passage).
 
+A run of names and a number with the number words after it are one symbol.
 A text has three readings, each with windows of its own: `plain` (lower-cased
 tokens, no slots, so marks and capitals do not count), `start` (capitalised words
 inside a sentence are names, the first word of a sentence is not) and `name`
@@ -43,6 +48,10 @@ from pyspark.sql import functions as F
 from corpusforge.llm.common import fresh, staged
 
 WINDOW, LITERAL, NEED, BLOOM_BITS = 8, 4, 8, 23
+#: Items of WINDOW to LONG - 1 tokens have windows of SHORT symbols as well, of which SHORT_LITERAL are literal.
+SHORT, SHORT_LITERAL, LONG = 4, 1, 32
+#: Diagonals of a narrow band.
+SHIFT = 4
 _TOKEN = re.compile(r"[.!?\n]+|\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%€$£°]")
 #: Words read as numbers, and units.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty "
@@ -51,7 +60,7 @@ UNITS = frozenset("km m cm mm kg g mg t l ml cl s ms min h hr kb mb gb mph kmh k
                   "metres foot feet inch inches yard yards gram grams kilogram kilograms ton tons pound pounds ounce "
                   "ounces liter liters litre litres second seconds minute minutes hour hours day days week weeks month "
                   "months year years dollar dollars cent cents euro euros percent degree degrees".split())
-_BREAK, _WORD, _CAP, _NUM, _UNIT, _SIGN = range(6)
+_BREAK, _WORD, _CAP, _NUM, _UNIT, _SIGN, _NUMWORD = range(7)
 #: Token table of a Python worker is dropped at this size (memory bound).
 CACHE = 400_000
 #: Rows whose tokens are handled together.
@@ -79,8 +88,10 @@ def _kind(tok: str) -> tuple[int, int]:
     low = tok.lower()
     if tok[0] in ".!?\n":
         return _BREAK, 0
-    if tok[0].isdigit() or low in NUMBER_WORDS:
+    if tok[0].isdigit():
         return _NUM, _digest(low)
+    if low in NUMBER_WORDS:
+        return _NUMWORD, _digest(low)
     if tok in "%€$£°":
         return _SIGN, _digest(low)
     if low in UNITS:
@@ -130,16 +141,25 @@ class Form:
     def __init__(self, t: Tokens, name: str):
         self.t, self.name = t, name
         slot = np.full(len(t.kind), -1, np.int8)
+        before = np.append(_BREAK, t.kind)[:len(t.kind)]
+        inside = t.pos > 0 if name == NAME else ~t.first
+        head = np.ones(len(slot), bool)
         if name != PLAIN:
-            sign = (t.kind == _NUM) | (t.kind == _SIGN)
-            slot[sign] = t.kind[sign]
-            slot[(t.kind == _CAP) & (~t.first | (name == NAME))] = _CAP
-            inside = t.pos > 0 if name == NAME else ~t.first
-            slot[(t.kind == _UNIT) & inside & (np.append(_BREAK, t.kind)[:-1] == _NUM)] = _UNIT
+            number, counted = (t.kind == _NUM) | (t.kind == _NUMWORD), (before == _NUM) | (before == _NUMWORD)
+            slot[number] = _NUM
+            slot[t.kind == _SIGN] = _SIGN
+            slot[(t.kind == _CAP) & (inside | (name == NAME))] = _CAP
+            slot[(t.kind == _UNIT) & inside & counted] = _UNIT
+            # a run of names, or a number with the number words after it, is one symbol
+            last = np.append(-1, slot)[:len(slot)]
+            head = ~(inside & (((slot == _CAP) & (last == _CAP)) | ((t.kind == _NUMWORD) & counted)))
         hash_ = t.hash.copy()
         for k, h in _PLACE_HASH.items():
             hash_[slot == k] = h
-        self.slot, self.hash, self.doc = slot, _mix(hash_), t.doc
+        first = np.flatnonzero(head)
+        #: symbols: their slot kind, hash, text number and first token; ``end`` is the token after a symbol
+        self.slot, self.hash, self.doc, self.first = slot[first], _mix(hash_[first]), t.doc[first], first
+        self.end = np.append(first[1:], len(head))[:len(first)]
 
     def windows(self, span: int, literal: int) -> tuple[np.ndarray, np.ndarray]:
         """(first symbols, hashes) of the windows of ``span`` symbols of one text with enough literals."""
@@ -158,9 +178,10 @@ class Form:
 
     def text(self, i: int, span: int) -> tuple[str, list[str]]:
         """(canonical text, slot values) of the window at symbol ``i``."""
-        own = [self.t.toks[k].lower() for k in self.t.at[i:i + span]]
+        own = [" ".join(self.t.toks[k].lower() for k in self.t.at[a:b])
+               for a, b in zip(self.first[i:i + span], self.end[i:i + span])]
         kinds = self.slot[i:i + span].tolist()
-        return (" ".join([self.name, *(t if s < 0 else _PLACE[s] for t, s in zip(own, kinds))]),
+        return (" ".join([f"{self.name}{span}", *(t if s < 0 else _PLACE[s] for t, s in zip(own, kinds))]),
                 [f"{_PLACE[s]}{t}" for t, s in zip(own, kinds) if s >= 0])
 
 
@@ -169,14 +190,18 @@ def _bits(h: np.ndarray, size: int):
     return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
 
 
-WINDOW_SCHEMA = "id {id}, mark long, reading string, n int, pos int, hash long, form string, slots array<string>"
+WINDOW_SCHEMA = ("id {id}, mark long, reading string, span int, size int, n int, pos int, upto int, hash long, form string, "
+                 "slots array<string>")
 
 
-def windows(df: DataFrame, id_col: str, text_col: str, bloom: np.ndarray | None = None) -> DataFrame:
-    """(id, mark, reading, n, pos, hash, form, slots): windows of each distinct (id, text) in each reading.
+def windows(df: DataFrame, id_col: str, text_col: str, bloom: np.ndarray | None = None,
+            spans: tuple[int, ...] = (WINDOW, SHORT)) -> DataFrame:
+    """(id, mark, reading, span, size, n, pos, upto, hash, form, slots): windows of each distinct (id, text).
 
-    ``mark`` is a hash of the text (the row's identity beside its id), ``n`` the
-    number of its windows; ``bloom`` keeps only windows that may be joined.
+    ``mark`` is a hash of the text (the row's identity beside its id), ``size``
+    its tokens, ``n`` the number of its windows of this kind, ``pos`` to ``upto``
+    the tokens of the window. ``bloom`` keeps only windows that may be joined;
+    without it (items), short windows are those of short texts.
     """
     src = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"),
                     F.col(text_col).cast("string").alias("text"))
@@ -191,25 +216,30 @@ def windows(df: DataFrame, id_col: str, text_col: str, bloom: np.ndarray | None
             if len(words) >= CACHE:
                 words = Words()
             t = Tokens(b.column(2).to_pylist(), words)
-            rows: list = [[] for _ in range(7)]
-            for name in (PLAIN, START, NAME):
-                f = Form(t, name)
-                at, h = f.windows(WINDOW, LITERAL)
+            rows: list = [[] for _ in range(10)]
+            for f, span in ((f, span) for f in (Form(t, name) for name in (PLAIN, START, NAME)) for span in spans):
+                at, h = f.windows(span, {WINDOW: LITERAL, SHORT: SHORT_LITERAL}[span])
+                if bloom is None:
+                    size = t.size[f.doc[at]]
+                    at, h = (x[(size >= WINDOW) & (size < LONG)] if span == SHORT else x for x in (at, h))
                 n = np.bincount(f.doc[at], minlength=b.num_rows)
                 if bloom is not None:
                     one, two = _bits(h, len(bloom))
                     hit = np.flatnonzero(bloom[one] & bloom[two])
                     at, h = at[hit], h[hit]
-                k = f.doc[at]
-                for i, *row in zip(at.tolist(), k.tolist(), n[k].tolist(), t.pos[at].tolist(), h.view(np.int64).tolist()):
-                    for col, v in zip(rows, (*row, name, *f.text(i, WINDOW))):
+                k, lo = f.doc[at], t.pos[f.first[at]]
+                hi = lo + f.end[at + span - 1] - f.first[at]
+                for i, *row in zip(at.tolist(), k.tolist(), t.size[k].tolist(), n[k].tolist(), lo.tolist(), hi.tolist(),
+                                   h.view(np.int64).tolist()):
+                    for col, v in zip(rows, (*row, f.name, span, *f.text(i, span))):
                         col.append(v)
-            take = pa.array(rows[0], pa.int64())
+            k, size, n, lo, hi, h, name, span, form, slots = rows
+            take = pa.array(k, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(1).take(take), pa.array(rows[4], pa.string()), pa.array(rows[1], pa.int32()),
-                 pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64()), pa.array(rows[5], pa.string()),
-                 pa.array(rows[6], pa.list_(pa.string()))],
-                names=["id", "mark", "reading", "n", "pos", "hash", "form", "slots"])
+                [b.column(0).take(take), b.column(1).take(take), pa.array(name, pa.string()),
+                 *(pa.array(x, pa.int32()) for x in (span, size, n, lo, hi)), pa.array(h, pa.int64()),
+                 pa.array(form, pa.string()), pa.array(slots, pa.list_(pa.string()))],
+                names=["id", "mark", "reading", "span", "size", "n", "pos", "upto", "hash", "form", "slots"])
     return src.mapInArrow(run, schema)
 
 
@@ -229,24 +259,38 @@ def _bloom(hashes: DataFrame) -> np.ndarray:
 
 def alignments(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, mark, item_id, reading, item_windows, covered, verbatim, slots, consistent, leak) per aligned pair."""
+    """(doc_id, mark, item_id, reading, span, item_windows, covered, verbatim, slots, consistent, leak) per aligned pair."""
     bench = staged(windows(items, item_col, item_text), "bench-windows")
-    docs_w = windows(docs, id_col, text_col, _bloom(bench))
+    spans = tuple(sorted(r["span"] for r in bench.select("span").distinct().collect()))  # at most two
+    docs_w = windows(docs, id_col, text_col, _bloom(bench), spans)
     b = bench.select(F.col("id").alias("item_id"), F.col("mark").alias("item_mark"), F.col("n").alias("item_windows"),
-                     F.col("pos").alias("item_pos"), "reading", "hash", "form", F.col("slots").alias("item_slots")).distinct()
+                     F.col("size").alias("item_size"), F.col("pos").alias("item_pos"), F.col("upto").alias("item_upto"), "reading", "span",
+                     "hash", "form", F.col("slots").alias("item_slots")).distinct()
     pairs = (docs_w.select(F.col("id").alias("doc_id"), "mark", "pos", "hash", "form", "slots").join(b, ["hash", "form"])
              .withColumn("diagonal", F.col("pos") - F.col("item_pos")))
-    by = pairs.groupBy("doc_id", "mark", "item_id", "item_mark", "reading", "item_windows", "diagonal").agg(
-        F.count_distinct("item_pos").alias("covered"),
-        F.count_distinct(F.when(F.size("slots") == 0, F.col("item_pos"))).alias("verbatim"),
-        # an alignment has one row per item window (and copy of the row): a bounded list
+    # a diagonal of its own, and each of two bands it lies in: narrow ones and ones of the item's size
+    bands = [F.struct(F.lit(0).alias("wide"), F.col("diagonal").cast("long").alias("at"))]
+    for wide, width in ((1, F.lit(SHIFT)), (2, F.col("item_size"))):
+        own = F.floor(F.col("diagonal") / width)
+        bands += [F.struct(F.lit(wide).alias("wide"), (own + k).alias("at")) for k in (0, 1)]
+    pairs = pairs.withColumn("band", F.explode(F.array(*bands)))
+    by = pairs.groupBy("doc_id", "mark", "item_id", "item_mark", "reading", "span", "item_size", "item_windows", "band").agg(
+        F.size(F.collect_set("item_pos")).alias("covered"),
+        F.size(F.collect_set(F.when(F.size("slots") == 0, F.col("item_pos")))).alias("verbatim"),
+        # distinct tokens of a short item: a bounded list
+        F.size(F.array_distinct(F.flatten(F.collect_set(
+            F.when(F.col("span") == SHORT, F.sequence("item_pos", F.col("item_upto") - 1)))))).alias("tokens"),
+        # pairs of values of one item within its own length: a bounded list
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))))).alias("z"))
-    by = by.select("doc_id", "mark", "item_id", "reading", "item_windows", "covered", "verbatim", F.size("z").alias("slots"),
+    by = by.select("doc_id", "mark", "item_id", "reading", "span", "item_size", "item_windows", "covered", "verbatim", "tokens",
+                   F.size("z").alias("slots"),
                    ((F.size(F.array_distinct(F.col("z.i"))) == F.size("z"))
                     & (F.size(F.array_distinct(F.col("z.d"))) == F.size("z"))).alias("consistent"))
     need = F.least(F.lit(NEED), F.ceil(F.col("item_windows") / 2).cast("int"))
-    leak = ((F.col("covered") >= need) & F.col("consistent")) | (F.col("verbatim") >= need)
-    return by.withColumn("leak", leak)
+    whole = F.col("tokens") >= F.col("item_size") - F.greatest(F.lit(1), F.floor(F.col("item_size") / 10))
+    enough = F.when(F.col("span") == SHORT, whole & F.col("consistent")).otherwise(
+        ((F.col("covered") >= need) & F.col("consistent")) | (F.col("verbatim") >= need))
+    return by.withColumn("leak", enough).drop("item_size", "tokens")
 
 
 def leaks(docs: DataFrame, items: DataFrame, **cols) -> DataFrame:

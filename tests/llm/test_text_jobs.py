@@ -159,6 +159,18 @@ def test_sentence_marks_do_not_decide(spark):
         (0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 1), (6, 1)}
 
 
+def test_edits_do_not_split_an_item(spark):
+    items = ["the quick grey goose walks over a narrow bridge while seven small ducks swim below it",  # 16 tokens
+             "Yesterday Alice bought 25 apples and then she sold 3 of them to her old friend near the town market hall."]
+    w = items[0].split()
+    added = [" ".join(w[:k] + ["zebra"] + w[k:]) for k in range(1, 16)]
+    fewer = [" ".join(w[:k] + w[k + 1:]) for k in range(16)]
+    other = [items[1].replace("Alice", "Maria Anna").replace("25", "17"), items[1].replace("25", "twenty five"),
+             items[1].replace("25", "fifty-two").replace("Alice", "John Peter Paul")]
+    got = leaking(spark, added + fewer + other + ["the quick grey goose walks over", " ".join(w[::-1])], items)
+    assert got == {(k, 0) for k in range(31)} | {(31, 1), (32, 1), (33, 1)}
+
+
 def test_decontamination_of_nothing(spark):
     docs = messy.table(spark)
     none = spark.createDataFrame([], "item_id long, text string")
