@@ -29,8 +29,12 @@ Only windows that pass a fixed-size Bloom filter of the item windows (2 **
 BLOOM_BITS bits, whatever the benchmark's size) leave the task; the join that
 follows is exact, so a fuller filter costs rows, never results.
 
-Defined results: null or empty text and items of fewer than WINDOW tokens have
-no windows and match nothing; copies of a document or an item each give their
+`plain` windows need no literals, so an item full of numbers or names is found
+where it stands as it is. An item of fewer than WINDOW tokens has one window,
+the whole of its lower-cased tokens, and is a leak wherever they stand in a row.
+
+Defined results: null texts and texts without tokens have no windows and match
+nothing; copies of a document or an item each give their
 own rows; repeated rows of one (id, text) give one row; an empty table gives an
 empty result.
 """
@@ -67,7 +71,9 @@ CACHE = 400_000
 ROWS = 256
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = {_NUM: "<num>", _CAP: "<name>", _UNIT: "<unit>", _SIGN: "<unit>"}
-PLAIN, START, NAME = "plain", "start", "name"
+PLAIN, START, NAME, WHOLE = "plain", "start", "name", "whole"
+#: (reading, symbols) of all windows: WHOLE ones are items under WINDOW tokens as they are.
+KINDS = [*((name, span) for name in (PLAIN, START, NAME) for span in (WINDOW, SHORT)), *((WHOLE, n) for n in range(1, WINDOW))]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -144,7 +150,7 @@ class Form:
         before = np.append(_BREAK, t.kind)[:len(t.kind)]
         inside = t.pos > 0 if name == NAME else ~t.first
         head = np.ones(len(slot), bool)
-        if name != PLAIN:
+        if name not in (PLAIN, WHOLE):
             number, counted = (t.kind == _NUM) | (t.kind == _NUMWORD), (before == _NUM) | (before == _NUMWORD)
             slot[number] = _NUM
             slot[t.kind == _SIGN] = _SIGN
@@ -170,7 +176,7 @@ class Form:
         for k in range(span):
             h = h * _MULT + self.hash[k:k + n]
         ok = self.doc[:n] == self.doc[span - 1:]
-        if literal and self.name != PLAIN:
+        if literal and self.name not in (PLAIN, WHOLE):
             count = np.concatenate([[0], np.cumsum(self.slot < 0)])
             ok &= count[span:] - count[:-span] >= literal
         at = np.flatnonzero(ok)
@@ -195,13 +201,14 @@ WINDOW_SCHEMA = ("id {id}, mark long, reading string, span int, size int, n int,
 
 
 def windows(df: DataFrame, id_col: str, text_col: str, bloom: np.ndarray | None = None,
-            spans: tuple[int, ...] = (WINDOW, SHORT)) -> DataFrame:
+            kinds: list[tuple[str, int]] = KINDS) -> DataFrame:
     """(id, mark, reading, span, size, n, pos, upto, hash, form, slots): windows of each distinct (id, text).
 
     ``mark`` is a hash of the text (the row's identity beside its id), ``size``
     its tokens, ``n`` the number of its windows of this kind, ``pos`` to ``upto``
-    the tokens of the window. ``bloom`` keeps only windows that may be joined;
-    without it (items), short windows are those of short texts.
+    the tokens of the window. ``bloom`` keeps only windows that may be joined, and
+    of equal WHOLE windows of a text the first; without it (items), short windows
+    are those of short texts, and WHOLE windows are whole texts.
     """
     src = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"),
                     F.col(text_col).cast("string").alias("text"))
@@ -217,15 +224,20 @@ def windows(df: DataFrame, id_col: str, text_col: str, bloom: np.ndarray | None
                 words = Words()
             t = Tokens(b.column(2).to_pylist(), words)
             rows: list = [[] for _ in range(10)]
-            for f, span in ((f, span) for f in (Form(t, name) for name in (PLAIN, START, NAME)) for span in spans):
-                at, h = f.windows(span, {WINDOW: LITERAL, SHORT: SHORT_LITERAL}[span])
-                if bloom is None:
+            f = None
+            for name, span in kinds:
+                f = f if f is not None and f.name == name else Form(t, name)
+                at, h = f.windows(span, {WINDOW: LITERAL, SHORT: SHORT_LITERAL}.get(span, 0))
+                if bloom is None and span < WINDOW:
                     size = t.size[f.doc[at]]
-                    at, h = (x[(size >= WINDOW) & (size < LONG)] if span == SHORT else x for x in (at, h))
+                    take = np.flatnonzero(size == span if name == WHOLE else (size >= WINDOW) & (size < LONG))
+                    at, h = at[take], h[take]
                 n = np.bincount(f.doc[at], minlength=b.num_rows)
                 if bloom is not None:
                     one, two = _bits(h, len(bloom))
                     hit = np.flatnonzero(bloom[one] & bloom[two])
+                    if name == WHOLE:
+                        hit = hit[np.sort(np.unique(np.stack([f.doc[at[hit]].astype(np.uint64), h[hit]]), axis=1, return_index=True)[1])]
                     at, h = at[hit], h[hit]
                 k, lo = f.doc[at], t.pos[f.first[at]]
                 hi = lo + f.end[at + span - 1] - f.first[at]
@@ -261,8 +273,8 @@ def alignments(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, mark, item_id, reading, span, item_windows, covered, verbatim, slots, consistent, leak) per aligned pair."""
     bench = staged(windows(items, item_col, item_text), "bench-windows")
-    spans = tuple(sorted(r["span"] for r in bench.select("span").distinct().collect()))  # at most two
-    docs_w = windows(docs, id_col, text_col, _bloom(bench), spans)
+    kinds = sorted((r["reading"], r["span"]) for r in bench.select("reading", "span").distinct().collect())  # at most KINDS
+    docs_w = windows(docs, id_col, text_col, _bloom(bench), kinds)
     b = bench.select(F.col("id").alias("item_id"), F.col("mark").alias("item_mark"), F.col("n").alias("item_windows"),
                      F.col("size").alias("item_size"), F.col("pos").alias("item_pos"), F.col("upto").alias("item_upto"), "reading", "span",
                      "hash", "form", F.col("slots").alias("item_slots")).distinct()
@@ -274,12 +286,13 @@ def alignments(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         own = F.floor(F.col("diagonal") / width)
         bands += [F.struct(F.lit(wide).alias("wide"), (own + k).alias("at")) for k in (0, 1)]
     pairs = pairs.withColumn("band", F.explode(F.array(*bands)))
+    short = (F.col("span") == SHORT) & (F.col("reading") != WHOLE)
     by = pairs.groupBy("doc_id", "mark", "item_id", "item_mark", "reading", "span", "item_size", "item_windows", "band").agg(
         F.size(F.collect_set("item_pos")).alias("covered"),
         F.size(F.collect_set(F.when(F.size("slots") == 0, F.col("item_pos")))).alias("verbatim"),
         # distinct tokens of a short item: a bounded list
         F.size(F.array_distinct(F.flatten(F.collect_set(
-            F.when(F.col("span") == SHORT, F.sequence("item_pos", F.col("item_upto") - 1)))))).alias("tokens"),
+            F.when(short, F.sequence("item_pos", F.col("item_upto") - 1)))))).alias("tokens"),
         # pairs of values of one item within its own length: a bounded list
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))))).alias("z"))
     by = by.select("doc_id", "mark", "item_id", "reading", "span", "item_size", "item_windows", "covered", "verbatim", "tokens",
@@ -288,7 +301,7 @@ def alignments(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                     & (F.size(F.array_distinct(F.col("z.d"))) == F.size("z"))).alias("consistent"))
     need = F.least(F.lit(NEED), F.ceil(F.col("item_windows") / 2).cast("int"))
     whole = F.col("tokens") >= F.col("item_size") - F.greatest(F.lit(1), F.floor(F.col("item_size") / 10))
-    enough = F.when(F.col("span") == SHORT, whole & F.col("consistent")).otherwise(
+    enough = F.when(short, whole & F.col("consistent")).otherwise(
         ((F.col("covered") >= need) & F.col("consistent")) | (F.col("verbatim") >= need))
     return by.withColumn("leak", enough).drop("item_size", "tokens")
 

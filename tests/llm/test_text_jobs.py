@@ -171,6 +171,14 @@ def test_edits_do_not_split_an_item(spark):
     assert got == {(k, 0) for k in range(31)} | {(31, 1), (32, 1), (33, 1)}
 
 
+def test_items_without_informative_windows(spark):
+    items = ["What is 15% of 80?", "Solve 1 2 3 4 5 6 7 8 9 10 11 12.", "Paris Berlin Rome Madrid 5 6 7 Oslo Wien Bern 3",
+             "Name eight of the words in this line", "Why?", "...", "four tokens are here", ""]
+    texts = [f"Zebra before, and {t.rstrip('.?').lower() if k % 2 else t} and zebra after" for k, t in enumerate(items)]
+    texts += ["What is 15% of 81?", "Solve 12 11 10 9 8 7 6 5 4 3 2 1.", "name eight of the lines", "what is 15% of 80 " * 40]
+    assert leaking(spark, texts, items) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (6, 6), (11, 0)}
+
+
 def test_decontamination_of_nothing(spark):
     docs = messy.table(spark)
     none = spark.createDataFrame([], "item_id long, text string")
