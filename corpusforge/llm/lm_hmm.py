@@ -3,17 +3,19 @@
 Tokens are lower-cased (A-Z) words and one end per text. A state emits a word
 group, the group emits the word: P(w | s) = P(g(w) | s) * (c(w) + 1) / (n_g +
 v_g + 1), with c over all training documents and one unknown word a group. The
-TOP most frequent words are groups of their own, all others fall into TAIL
-groups by their last three characters, so the model is small (STATES x groups)
-however large the vocabulary is, while counts cover every word.
+most frequent words are groups of their own, all others fall into groups by
+their last three characters. There are at least TOP and TAIL of them, and
+GROWTH * sqrt(training vocabulary) of each beyond that, so the model follows the
+vocabulary but stays small beside it, while counts cover every word.
 
 1. One pass reads texts into staged rows of block-local word numbers and one
    dictionary per block (a task starts a new block at BLOCK_WORDS words).
 2. Dictionaries are summed into global counts, joined with them, and meet their
    block's documents once: each document becomes its group sequence.
-3. Baum-Welch: a start from a bounded sample (START_DOCS documents, fixed
-   seed), then ROUNDS passes over all training documents. Tasks emit expected
-   counts per parameter; a shuffle adds them up.
+3. Baum-Welch: from seeded random parameters, every round is a pass over all
+   training documents, until the likelihood grows by GAIN of itself or less
+   (logged per round). Tasks emit expected counts per parameter; a shuffle adds
+   them up.
 4. The scaled forward recursion gives the exact likelihood. It runs in parallel
    pieces: transfer matrices of CHUNK tokens, chained per document.
 
@@ -25,6 +27,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -33,11 +37,13 @@ from pyspark.sql import functions as F
 
 from corpusforge.llm.common import crc_fold, staged
 
-STATES, TOP, TAIL, ROUNDS = 6, 2048, 2048, 2
-START_DOCS, START_ROUNDS, CHUNK, LANES = 300, 12, 64, 4096
+log = logging.getLogger(__name__)
+
+STATES, TOP, TAIL, GROWTH = 6, 2048, 2048, 16
+GAIN, MIN_ROUNDS, CHUNK, LANES = 1e-4, 8, 64, 4096
 BLOCK_WORDS = 400_000
+#: Groups of a small vocabulary; the last group is the end token.
 GROUPS = TOP + TAIL + 1
-END = TOP + TAIL
 #: Weight of the overall group distribution in each state's emissions.
 PRIOR = 200.0
 
@@ -222,8 +228,8 @@ def reestimate(n_pi, n_trans, n_emit, overall):
     return pi, trans, emit
 
 
-def start_model(seqs: list[np.ndarray], overall: np.ndarray, states: int = STATES, rounds: int = START_ROUNDS, seed: int = 5):
-    """Baum-Welch on a bounded sample from a seeded start."""
+def start_model(seqs: list[np.ndarray], overall: np.ndarray, states: int = STATES, rounds: int = 0, seed: int = 5):
+    """Seeded random parameters, after ``rounds`` of Baum-Welch on ``seqs``."""
     rng = np.random.default_rng(seed)
     trans = np.full((states, states), 0.1 / max(1, states - 1)) if states > 1 else np.ones((1, 1))
     if states > 1:
@@ -235,8 +241,8 @@ def start_model(seqs: list[np.ndarray], overall: np.ndarray, states: int = STATE
     return model
 
 
-def _groups(values) -> list[np.ndarray]:
-    return [np.frombuffer(v, "<u2") for v in values]
+def _groups(values, code: str) -> list[np.ndarray]:
+    return [np.frombuffer(v, code) for v in values]
 
 
 def _slices(seqs: list[np.ndarray], most: int = 400_000):
@@ -261,14 +267,18 @@ def prepare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     n_train = r[0]
     k = counts.where("c > 0").agg(F.sum("c"), F.count(F.lit(1))).first()
     stats = {"N": (k[0] or 0) + n_train, "V": k[1] + (1 if n_train else 0), "train_docs": n_train}
-    top = (counts.where("c > 0").orderBy(F.col("c").desc(), "word").limit(TOP)  # a bounded table
+    grown = int(GROWTH * stats["V"] ** 0.5)
+    n_top, n_tail = max(TOP, grown), max(TAIL, grown)
+    end, n_groups = n_top + n_tail, n_top + n_tail + 1
+    code = stats["code"] = "<u2" if n_groups <= 1 << 16 else "<u4"
+    top = (counts.where("c > 0").orderBy(F.col("c").desc(), "word").limit(n_top)  # as the root of the vocabulary
            .select("word", F.row_number().over(_by_count()).alias("rank")))
-    g = F.coalesce(F.col("rank") - 1, TOP + F.pmod(F.xxhash64(F.substring("word", -3, 3)), F.lit(TAIL))).cast("int")
+    g = F.coalesce(F.col("rank") - 1, n_top + F.pmod(F.xxhash64(F.substring("word", -3, 3)), F.lit(n_tail))).cast("int")
     known = staged(counts.join(F.broadcast(top), "word", "left").select("word", "c", g.alias("g")), "lm-vocabulary")
-    n_g, v_g = np.zeros(GROUPS), np.zeros(GROUPS)
+    n_g, v_g = np.zeros(n_groups), np.zeros(n_groups)
     for x in known.groupBy("g").agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).collect():
         n_g[x["g"]], v_g[x["g"]] = x["n"], x["v"]
-    n_g[END], v_g[END] = n_train, 1 if n_train else 0
+    n_g[end], v_g[end] = n_train, 1 if n_train else 0
     stats["room"] = n_g + v_g + 1  # a group's tokens, its words and one unknown word
     resolved = book.join(known, "word").select("block", F.lit(0).alias("kind"), "local", "c", "g")
     both = (rows.where("kind = 1").select("block", "kind", "id", "train", "ids")
@@ -301,7 +311,7 @@ def prepare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
                     out_n.append(len(ids) + 1)
                     out_k.append(int((cnt > 0).sum()) + (n_train > 0))
                     out_l.append(float(np.log10(cnt + 1.0).sum() + np.log10(n_train + 1.0)))
-                    out_g.append(np.append(g[ids], END).astype("<u2").tobytes())
+                    out_g.append(np.append(g[ids], end).astype(code).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(5), part.column(6), pa.array(out_n, pa.int64()), pa.array(out_k, pa.int64()),
                      pa.array(out_l, pa.float64()), pa.array(out_g, pa.binary())], names=schema.names)
@@ -314,19 +324,19 @@ def _by_count():
     return Window.orderBy(F.col("c").desc(), "word")
 
 
-def train(seqs: DataFrame, stats: dict, states: int = STATES, rounds: int = ROUNDS):
-    """Baum-Welch over all training documents."""
-    overall = stats["room"] / stats["room"].sum()
-    rows = seqs.where("train").select("id", "groups").orderBy(F.xxhash64("id"), "groups").limit(START_DOCS).collect()
-    model = start_model(_groups([r["groups"] for r in rows]), overall, states)
-    sizes = [states, states * states, GROUPS * states]
-    for _ in range(rounds if rows else 0):
+def train(seqs: DataFrame, stats: dict, states: int = STATES, gain: float = GAIN):
+    """Baum-Welch over all training documents, every round."""
+    overall, code = stats["room"] / stats["room"].sum(), stats["code"]
+    groups = len(overall)
+    model, last, nth = start_model([], overall, states), None, 0
+    sizes = [states, states * states, groups * states, 1]
+    while stats["train_docs"]:
         def count(batches, model=model):
             total = np.zeros(sum(sizes))
             for b in batches:
-                s = _groups(b.column(0).to_pylist())
+                s = _groups(b.column(0).to_pylist(), code)
                 for lo, hi in _slices(s):
-                    total += np.concatenate([x.ravel() for x in expected_counts(s[lo:hi], model)[:3]])
+                    total += np.concatenate([np.ravel(x) for x in expected_counts(s[lo:hi], model)])
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["k", "v"])
         got = (seqs.where("train").select("groups").mapInArrow(count, "k long, v double")
@@ -334,8 +344,13 @@ def train(seqs: DataFrame, stats: dict, states: int = STATES, rounds: int = ROUN
         total = np.zeros(sum(sizes))
         for r in got:
             total[r["k"]] = r["v"]
-        a, b, c = np.split(total, np.cumsum(sizes)[:-1])
-        model = reestimate(a, b.reshape(states, states), c.reshape(GROUPS, states), overall)
+        a, b, c, ll = np.split(total, np.cumsum(sizes)[:-1])
+        ll, nth = float(ll[0]), nth + 1
+        log.info("round %d: log likelihood %.8g", nth, ll)
+        # the first rounds leave the symmetry of the random start slowly
+        if last is not None and nth > MIN_ROUNDS and ll - last <= gain * abs(last):
+            break
+        model, last = reestimate(a, b.reshape(states, states), c.reshape(groups, states), overall), ll
     return model
 
 
@@ -345,11 +360,11 @@ def score(seqs: DataFrame, stats: dict, model) -> DataFrame:
     src = seqs.select(F.col("id").alias("doc_id"), "n_tokens", "n_known", (~F.col("train")).alias("held_out"), "log_c", "groups")
     schema = src.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(0).cast("long").alias("train_tokens"),
                         F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score")).schema
-    total = stats["N"]
+    total, code = stats["N"], stats["code"]
 
     def run(batches):
         for b in batches:
-            s = _groups(b.column(5).to_pylist())
+            s = _groups(b.column(5).to_pylist(), code)
             ll = np.zeros(len(s))
             for lo, hi in _slices(s):
                 ll[lo:hi] = log_likelihoods(s[lo:hi], model)

@@ -113,6 +113,21 @@ def test_state_word_probabilities_sum_to_one(spark):
     assert math.isclose(stats["room"].sum(), stats["N"] + stats["V"] + lm_hmm.GROUPS)
 
 
+def test_every_round_sees_every_training_document(spark, caplog):
+    rng = np.random.default_rng(8)
+    docs = messy.table(spark, [(k, " ".join(f"{'qr'[k % 40 == 0]}{w}" for w in rng.integers(0, 30_000, 60)), "aa") for k in range(700)])
+    seqs, stats = lm_hmm.prepare(docs)
+    assert stats["V"] > 16_000 and len(stats["room"]) == 2 * int(lm_hmm.GROWTH * stats["V"] ** 0.5) + 1 > lm_hmm.GROUPS
+    with caplog.at_level("INFO", logger=lm_hmm.log.name):
+        pi, trans, emit = lm_hmm.train(seqs, stats)
+    lls = [float(r.message.rsplit(" ", 1)[1]) for r in caplog.records if r.name == lm_hmm.log.name]
+    rows = [np.frombuffer(r["groups"], stats["code"]) for r in seqs.where("train").select("groups").collect()]
+    assert len(rows) > 500
+    want = lm_hmm.start_model(rows, stats["room"] / stats["room"].sum(), lm_hmm.STATES, len(lls) - 1)
+    assert np.allclose(pi, want[0]) and np.allclose(trans, want[1]) and np.allclose(emit, want[2])
+    assert math.isclose(lls[-1], lm_hmm.log_likelihoods(rows, want).sum(), rel_tol=1e-6) and lls[-1] > lls[0]
+
+
 def test_language_model_without_training_rows(spark):
     held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
     got = lm_hmm.score_documents(messy.table(spark, [(held[0], "a b", "aa"), (held[1], None, "aa")])).collect()
