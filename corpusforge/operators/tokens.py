@@ -17,8 +17,9 @@ from corpusforge.config import IGNORE_ID, IM_END, IM_END_ID, IM_START, IM_START_
 
 N_SPECIAL = 4  # pad, unk, im_start, im_end
 PIECE_PATTERN = r"(<\|im_start\|>|<\|im_end\|>|[a-z0-9]+)"
-# Largest vocabulary we ship to executors as a dictionary; a larger one is joined.
+# Largest vocabulary we ship to executors as a dictionary, in entries and in bytes of its pieces; a larger one is joined.
 MAX_BROADCAST_VOCAB = 2_000_000
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def _c(c) -> Column:
@@ -71,10 +72,10 @@ class Vocabulary:
     def __init__(self, vocab: DataFrame):
         from corpusforge.operators.annotate import materialize
         self.table = materialize(vocab.select("token", "id", "n"), "vocabulary")
-        rows = self.table.select("token", "id").limit(MAX_BROADCAST_VOCAB + 1).collect()
+        size = self.table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("b")).first()
         self.shared = None
-        if len(rows) <= MAX_BROADCAST_VOCAB:
-            d = {r["token"]: int(r["id"]) for r in rows}
+        if size["n"] <= MAX_BROADCAST_VOCAB and size["b"] <= MAX_BROADCAST_BYTES:
+            d = {r["token"]: int(r["id"]) for r in self.table.select("token", "id").collect()}
             d[IM_START], d[IM_END] = IM_START_ID, IM_END_ID
             self.shared = vocab.sparkSession.sparkContext.broadcast(d)
 
@@ -112,7 +113,7 @@ def encode(df: DataFrame, pieces_col: str, vocab, out_col: str = "ids") -> DataF
 
 def encode_relational(df: DataFrame, key_cols: list[str], pieces_col: str, vocab: DataFrame,
                       out_col: str = "ids") -> DataFrame:
-    """T2, relational form: posexplode, join the vocabulary, regroup by key in order."""
+    """T2, relational form: posexplode, join the vocabulary, regroup by key in order; null pieces give null."""
     v = vocab.select("token", F.col("id").cast("int").alias("_id"))
     specials = df.sparkSession.createDataFrame([(IM_START, IM_START_ID), (IM_END, IM_END_ID)], "token string, _id int")
     v = v.unionByName(specials)
@@ -120,7 +121,7 @@ def encode_relational(df: DataFrame, key_cols: list[str], pieces_col: str, vocab
     x = x.join(v, "token", "left").withColumn("_id", F.coalesce("_id", F.lit(UNK_ID)))
     g = x.groupBy(*key_cols).agg(F.sort_array(F.collect_list(F.struct("_pos", "_id"))).alias("_s"))
     return df.join(g.select(*key_cols, F.col("_s._id").alias(out_col)), key_cols, "left") \
-        .withColumn(out_col, F.coalesce(out_col, F.array().cast("array<int>")))
+        .withColumn(out_col, F.when(F.col(pieces_col).isNotNull(), F.coalesce(out_col, F.array().cast("array<int>"))))
 
 
 def encode_with(df: DataFrame, text_col: str, tokenizer_factory, out_col: str = "ids") -> DataFrame:

@@ -108,6 +108,22 @@ def test_large_vocabulary_is_joined(spark, monkeypatch):
     assert out[0] == out[1] and out[0][0][2] == "a b b c zz"
 
 
+def test_joined_vocabulary_keeps_null_texts(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b b c zz"), (2, ""), (3, None), (4, "c é new")], "k int, t string")
+    df = df.select("k", tokens.word_pieces("t").alias("p"))
+    whole = tokens.build_vocabulary(df, "p", None)
+    made = [tokens.Vocabulary(whole)]
+    monkeypatch.setattr(tokens, "MAX_BROADCAST_BYTES", 4)
+    made.append(tokens.Vocabulary(whole))
+    assert made[0].shared is not None and made[1].shared is None  # few entries, but many bytes
+    out = []
+    for v in made:
+        e = tokens.encode(df, "p", v)
+        e = e.withColumn("text", tokens.pad_truncate("ids", 4)[0])
+        out.append(sorted((r["k"], r["ids"], r["text"]) for r in e.collect()))
+    assert out[0] == out[1] and out[1][2] == (3, None, None) and out[1][1] == (2, [], [0, 0, 0, 0])
+
+
 def test_foreign_tokenizer_and_left_padding(spark):
     class Chars:
         def encode(self, t):
