@@ -67,6 +67,16 @@ def fingerprint_column(text: Column, shingle: int = 3) -> Column:
     return F.arrow_udf(run, "long")(text.cast("string"))
 
 
+def position_sets(bits: int) -> list[tuple[int, ...]]:
+    """Byte positions within a half of which two fingerprints at most ``bits`` apart share one set at least."""
+    if not 0 <= bits <= 7:
+        raise ValueError(f"bits must be 0 to 7, as fingerprints further apart may share no byte: {bits}")
+    if bits <= 3:
+        return TRIPLES
+    shared = -(-(8 - bits) // 2)  # of the bytes shared for sure, those in the fuller half
+    return [t for half in (range(4), range(4, 8)) for t in combinations(half, shared)]
+
+
 def _byte(fp: Column, p: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255).cast("long"))
 
@@ -137,11 +147,12 @@ def _link_batches(bits: int, least: int):
 def links(kinds: DataFrame, bits: int = 3) -> DataFrame:
     """(a, b): links that connect what fingerprints of at most ``bits`` differing bits connect.
 
-    ``kinds`` has one row per distinct fingerprint ``fp``.
+    ``kinds`` has one row per distinct fingerprint ``fp``. More than 3 bits need
+    smaller position sets with longer posting lists; more than 7 raise.
     """
     fp = F.col("fp")
     keys = [F.lit(n).cast("long") * (1 << 24) + sum(_byte(fp, p) * (1 << 8 * k) for k, p in enumerate(t))
-            for n, t in enumerate(TRIPLES)]
+            for n, t in enumerate(position_sets(bits))]
     posts = kinds.select("fp", F.explode(F.array(*keys)).alias("key"))
     long_lists = (posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * BLOCK)
                   .select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")))

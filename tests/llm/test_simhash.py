@@ -99,3 +99,24 @@ def test_simhash_empty(spark):
 def test_spark_hash_is_the_contract_hash(spark):
     got = spark.range(1).select(F.xxhash64(F.lit("abc é"))).first()[0]
     assert np.uint64(got & 0xFFFFFFFFFFFFFFFF) == xxhash.xxh64_intdigest("abc é".encode(), 42)
+
+
+def test_links_of_more_bits(spark):
+    rng = random.Random(11)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    for bits in (4, 5, 7):
+        far = []
+        for b in base:  # one differing bit in each of ``bits`` bytes, half of them in each half
+            places = [*rng.sample(range(4), bits // 2), *rng.sample(range(4, 8), bits - bits // 2)]
+            far.append(b ^ sum(1 << 8 * p + rng.randrange(8) for p in places))
+        want = brute_components(base + far, bits)
+        assert len(set(want.values())) == 20
+        kinds = spark.createDataFrame([(signed(x),) for x in base + far], "fp long")
+        got = simhash.links(kinds, bits).collect()
+        assert {frozenset((r["a"], r["b"])) for r in got} == {frozenset((signed(b), signed(f))) for b, f in zip(base, far)}
+    for bits in (-1, 8):
+        try:
+            simhash.links(kinds, bits)
+            raise AssertionError(bits)
+        except ValueError:
+            pass
