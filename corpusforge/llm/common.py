@@ -55,6 +55,20 @@ def text_buffer(col) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0]:offs[-1]], offs - offs[0]
 
 
+def byte_slices(batch: pa.RecordBatch, col: int, most: int = 4 << 20):
+    """Runs of rows of ``batch`` that hold at most ``most`` bytes in column ``col``, or one longer row."""
+    a = batch.column(col)
+    if not pa.types.is_large_string(a.type) and not pa.types.is_large_binary(a.type):
+        ends = np.frombuffer(a.buffers()[1], np.int32)[a.offset:a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int32)
+    else:
+        ends = np.frombuffer(a.buffers()[1], np.int64)[a.offset:a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int64)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, int(ends[lo]) + most, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def hash_fraction(*cols) -> "F.Column":
     """A deterministic uniform number in [0, 1) from the columns' values."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / F.lit(float(1 << 40))

@@ -120,3 +120,114 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every document and its edited text, with their likeness."""
     from corpusforge.llm import fingerprint
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+_OP11_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, comp.c AS component_id, e.vec_id = comp.c AS kept
+FROM embeddings e JOIN comp ON comp.x = e.vec_id LEFT JOIN n ON n.x = e.vec_id
+"""
+
+
+@query("op11_inverted_multi_index", _OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector among those of its label, at a cosine of 0.93."""
+    from corpusforge.llm import multi_index
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def _crc32_sql(byte_list: str) -> str:
+    """CRC-32 in SQL: eight shifts for each byte."""
+    step = "CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END"
+    return (f"xor(list_reduce(list_prepend(4294967295, {byte_list}), lambda a, b: "
+            f"list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: {step})), 4294967295)")
+
+
+_OP12_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+  FROM conversations),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS head,
+         {_crc32_sql("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))")} % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations)),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, t.i, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.head AND t.i < c.h
+  UNION ALL SELECT c.conv_id, 1, t.i, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.i >= c.h),
+seq AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, i) AS depth, role, text FROM rebuilt),
+pre AS (
+  SELECT conv_id, depth, sha256(string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY depth)) AS k,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM seq
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+linked AS (
+  SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY depth) AS pk, max(depth) OVER (PARTITION BY conv_id) AS len FROM pre),
+nodes AS (
+  SELECT depth, k, min(conv_id) AS conv_id, any_value(pk) AS pk, any_value(words) AS words, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = len), '')) AS ends_sha256
+  FROM linked GROUP BY depth, k),
+kids AS (SELECT depth - 1 AS depth, pk AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+below AS (
+  SELECT DISTINCT a.depth, a.k, b.depth AS d2, b.k AS k2 FROM pre a JOIN pre b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+sums AS (
+  SELECT w.depth, w.k, sum((n.n_convs - 1) * n.words) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+  FROM below w JOIN nodes n ON n.depth = w.d2 AND n.k = w.k2
+  LEFT JOIN kids ON kids.depth = w.d2 AND kids.k = w.k2 GROUP BY 1, 2)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, sums.leaves AS n_leaves,
+       CAST(sums.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.k = n.pk
+LEFT JOIN kids ON kids.depth = n.depth AND kids.k = n.k JOIN sums ON sums.depth = n.depth AND sums.k = n.k
+"""
+
+
+@query("op12_prefix_trie", _OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    from corpusforge.llm import prefix_trie
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+_WORDS_SQL = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+              r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+_OP13_SQL = rf"""
+WITH words AS (
+  SELECT 0 AS side, doc_id, unnest({_WORDS_SQL}) AS w FROM documents
+  UNION ALL SELECT 1, NULL, unnest({_WORDS_SQL}) FROM benchmark),
+bucket_of AS (
+  SELECT w, {_crc32_sql("list_transform(range(0, octet_length(encode(w))), lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i + 1, 2) AS BIGINT))")}
+            % 10000 AS b FROM (SELECT DISTINCT w FROM words)),
+hits AS (SELECT words.side, words.doc_id, bucket_of.b FROM words JOIN bucket_of USING (w)),
+cells AS (SELECT b, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM hits GROUP BY b),
+gain AS (
+  SELECT b, floor(1000 * ln(CAST((t + 1) * (SELECT sum(s) + 10000 FROM cells) AS DOUBLE)
+                            / CAST((s + 1) * (SELECT sum(t) + 10000 FROM cells) AS DOUBLE))) AS g FROM cells),
+docs AS (
+  SELECT d.doc_id, coalesce(x.n, 0) AS n_features, coalesce(x.weight, 0) AS weight,
+         CAST('0x' || substr(sha256('2024:' || CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h
+  FROM documents d LEFT JOIN (
+    SELECT doc_id, count(*) AS n, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight
+    FROM hits JOIN gain USING (b) WHERE side = 0 GROUP BY doc_id) x USING (doc_id)),
+scored AS (
+  SELECT doc_id, n_features, weight,
+         weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM docs),
+best AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, s.n_features, s.weight, s.score, b.rank
+FROM scored s LEFT JOIN best b ON b.doc_id = s.doc_id AND b.rank <= 10 * b.n // 100
+"""
+
+
+@query("op13_importance_resampling", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the benchmark's word distribution."""
+    from corpusforge.llm import resampling
+    r = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, min_words=20, max_n=1,
+                            buckets=10_000, seed="2024")
+    return r.select("doc_id", "n_features", "weight", "score", "rank")
