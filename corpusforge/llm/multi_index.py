@@ -46,6 +46,8 @@ SAMPLE, QUERIES = 16_384, 2048
 FILL, MOST = 32, 512
 #: Distinct vectors of one block of a full cell; a group holds two at most.
 BLOCK = 1024
+#: Places in which the members of a component meet its name.
+SALTS = 16
 #: The measured reach is widened by 1 + WIDER / sqrt(linked queries); a share LEAST of the vectors visits two cells at least.
 WIDER, LEAST = 4.0, 0.25
 #: Steps in which the reach is measured (a histogram's bins).
@@ -346,9 +348,15 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, recall: float = RECAL
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
     links = met.groupBy("uid").agg(F.sum("links").alias("links"))
     named = (kinds.drop("vec").join(links, "uid", "left").join(roots.withColumnRenamed("node", "uid"), "uid", "left")
-             .select(F.col("uid"), "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "uid").alias("root")))
-    name = named.groupBy("root").agg(F.min("least").alias("name"))
-    named = named.join(name, "root").select("uid", "n_links", F.col("name.vec_id").alias("component_id"))
+             .select("uid", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "root",
+                     F.pmod(F.xxhash64("uid"), F.lit(SALTS)).alias("salt")))
+    # a component may be large: its members meet its name in SALTS places
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    linked = named.where("root is not null")
+    name = (linked.groupBy("root", "salt").agg(F.min("least").alias("name")).groupBy("root").agg(F.min("name").alias("name"))
+            .select("root", "name", salts))
+    named = (linked.join(name, ["root", "salt"]).select("uid", "n_links", F.col("name.vec_id").alias("component_id"))
+             .unionByName(named.where("root is null").select("uid", "n_links", F.col("least.vec_id").alias("component_id"))))
     marks = kinds.select("uid", one.alias("h1"), two.alias("h2"))
     of = marks.join(named, "uid").drop("uid")
     mine = rows.select("vec_id", F.when(F.col("dims").isNotNull(), one).alias("h1"), F.when(F.col("dims").isNotNull(), two).alias("h2"))
