@@ -20,19 +20,23 @@ All laying end to end is a distributed running total over narrow rows (row id,
 start, length); the ids move once, when documents meet their cuts.
 
 Defined results: null text is an empty text and packs its end id alone;
-repeated rows are packed each; an empty table gives an empty result.
+repeated rows are packed each, in the order of their row ids, as ties are; an empty
+table gives an empty result; very long texts are tokenised whole and cut over as
+many sequences as they need; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import running, staged
+from corpusforge.llm.common import byte_slices, running, staged
 
 TIERS = (1024, 2048, 4096)
 STEP_TOKENS = 8 * 4096
@@ -40,58 +44,92 @@ END_ID = 2
 #: Entries of a task's table of white-space separated words and their ids (memory bound).
 CACHE = 300_000
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Small letters of Latin-1, whole characters whatever the normal form.
-_SMALL = re.compile("[a-zß-öø-ÿ]+")
-_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: Small letters of ASCII and Latin-1 in UTF-8, whole characters whatever the normal form.
+_SMALL = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Any letters of ASCII and Latin-1.
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: The normalizer and pre-tokenizer with which a text's ids are those of its white-space separated words.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Stands for the end of a word in byte pairs; no UTF-8 text holds it.
+_END = b"\xff"
+
+
+def _by_word(spec: dict) -> bool:
+    """Whether the tokenizer drops white space, lowers, and has no token over a space."""
+    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return ((spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS and pre[0].get("pattern") == {"Regex": SPLIT}
+            and pre[0].get("behavior") == "Removed" and pre[0].get("invert") is True
+            and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens", ())))
+
+
+def _byte_pairs(spec: dict):
+    """bytes of a lower-case word and _END -> its ids, by the byte pairs of the vocabulary; None if it has no such form."""
+    import tiktoken
+    model = spec["model"]
+    end, order = model.get("end_of_word_suffix"), [model["vocab"].get("".join(m)) for m in model.get("merges", ()) if not isinstance(m, str)]
+    if not end or not order or None in order or order != sorted(order):
+        return None
+    # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    letter = {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in own)}
+    ranks = {}
+    for token, n in model["vocab"].items():
+        core = token.removesuffix(end)
+        if all(c in letter for c in core):
+            ranks[bytes(letter[c] for c in core) + _END * (core != token)] = n
+    return tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
 class _Words(dict):
     """Word -> its ids as little-endian uint32; a word is encoded when it is first asked for."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.bytes_ = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        # a word of small Latin letters is one piece of the byte-level model: asked directly, it answers the same
-        self.direct = all(self._direct(w) == self._whole(w) for w in ("a", "words", "straße", "été", "niño", "œuvre", "zqxj"))
+        spec = json.loads(self.tokenizer.to_str())
+        self.by_word = _by_word(spec)
+        self.pairs = _byte_pairs(spec) if self.by_word else None
+        probes = ("a", "words", "straße", "été", "niño", "œuvre", "zqxj", "antidisestablishmentarianism")
+        if self.pairs and any(self.pairs(w.encode() + _END) != self.whole(w) for w in probes):
+            self.pairs = None
 
-    def _whole(self, word: str) -> list[int]:
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
-    def _direct(self, word: str) -> list[int]:
-        piece = word if word.isascii() else self.bytes_.pre_tokenize_str(word)[0][0]
-        return [t.id for t in self.model.tokenize(piece)]
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, word: bytes) -> bytes:
+        if self.pairs and _SMALL.fullmatch(word):
+            ids = self[word] = array("I", self.pairs(word + _END)).tobytes()
+            return ids
         # letters and a run of marks after them are pieces of their own ("word," is "word" and ","), and the
         # tokenizer lowers its input; such forms take a place only beside a word that has been seen before.
         # The tokenizer's control strings stay whole.
         if b"<|" not in word:
             stem = word.rstrip(_MARKS)
-            cut = stem and stem != word and stem[-1] in _LETTERS
-            base = stem if cut else word.lower()
+            cut = stem and stem != word and _LETTERS.fullmatch(stem[-2:] if stem[-1] > 127 else stem[-1:])
+            base = stem if cut else word.decode().lower().encode() if _LETTERS.fullmatch(word) else word.lower()
             if base != word:
                 seen = base in self
                 ids = self[base] + self[word[len(stem):]] if cut else self[base]
                 if seen:
                     self[word] = ids
                 return ids
-        text = word.decode("utf-8", "replace")
-        plain = self.direct and _SMALL.fullmatch(text)
-        ids = np.array(self._direct(text) if plain else self._whole(text), "<u4").tobytes()
-        self[word] = ids
+        ids = self[word] = array("I", self.whole(word.decode("utf-8", "replace"))).tobytes()
         return ids
 
 
 def _encode(known: _Words, texts: list) -> list[bytes]:
     """Ids (little-endian uint32) of each text and the end id.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are
-    those of its white-space separated words; each distinct word is encoded by
-    the tokenizer once.
+    Where the tokenizer drops white space and no token spans it, a text's ids are
+    those of its white-space separated words, and each distinct word is encoded
+    once; any other tokenizer is given whole texts.
     """
     end, out = np.array([END_ID], "<u4").tobytes(), []
     for t in texts:
+        if not known.by_word:
+            out.append(np.array(known.whole(t or ""), "<u4").tobytes() + end)
+            continue
         if len(known) > CACHE:
             known.clear()
         out.append(b"".join(map(known.__getitem__, (t or "").encode("utf-8", "replace").split())) + end)
@@ -106,8 +144,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     def run(batches):
         known = _Words(tokenizer_path)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for part in byte_slices(b, 1):
                 ids = _encode(known, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
                                                   pa.array(ids, pa.binary())], names=schema.names)
