@@ -42,6 +42,7 @@ empty result.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -89,38 +90,41 @@ def _digest(s: str) -> int:
 _PLACE_HASH = {k: np.uint64(_digest(v)) for k, v in _PLACE.items()}
 
 
+_SPECIAL = dict.fromkeys(UNITS, _UNIT) | dict.fromkeys("%€$£°", _SIGN) | dict.fromkeys(NUMBER_WORDS, _NUMWORD)
+
+
 def _kind(tok: str) -> tuple[int, int]:
     """(kind, hash of the lowered token)."""
-    low = tok.lower()
-    if tok[0] in ".!?\n":
+    head = tok[0]
+    if head in ".!?\n":
         return _BREAK, 0
-    if tok[0].isdigit():
-        return _NUM, _digest(low)
-    if low in NUMBER_WORDS:
-        return _NUMWORD, _digest(low)
-    if tok in "%€$£°":
-        return _SIGN, _digest(low)
-    if low in UNITS:
-        return _UNIT, _digest(low)
-    if len(tok) > 1 and tok[0].isupper() and tok[1:].islower():
-        return _CAP, _digest(low)
-    return _WORD, _digest(low)
+    low = tok.lower()
+    digest = _digest(low)
+    if head.isdigit():
+        return _NUM, digest
+    kind = _SPECIAL.get(low)
+    if kind is not None:
+        return kind, digest
+    return (_CAP if low is not tok and len(tok) > 1 and head.isupper() and tok[1:].islower() else _WORD), digest
 
 
 class Words(dict):
     """Number of each token, with its kind and hash in tables."""
 
     def __init__(self):
-        self.kind, self.hash = np.zeros(1024, np.int8), np.zeros(1024, np.uint64)
+        self.kinds, self.hashes = array("b"), array("Q")
 
     def __missing__(self, tok):
-        n = len(self)
-        if n == len(self.kind):
-            self.kind, self.hash = np.resize(self.kind, 2 * n), np.resize(self.hash, 2 * n)
-        self.kind[n], self.hash[n] = _kind(tok)
-        self[tok] = n
+        kind, digest = _kind(tok)
+        self.kinds.append(kind)
+        self.hashes.append(digest)
+        n = self[tok] = len(self.kinds) - 1
         return n
 
+    def tables(self):
+        """(kind, hash) of the tokens by number; a copy, as the table goes on growing."""
+        return np.array(self.kinds, np.int8), np.array(self.hashes, np.uint64)
+
 
 class Tokens:
     """Tokens of some texts in one run, sentence breaks removed: kind, hash, text number, position, first of a sentence."""
@@ -132,11 +136,12 @@ class Tokens:
             toks += _TOKEN.findall(t or "")
             ends.append(len(toks))
         code = np.fromiter(map(words.__getitem__, toks), np.int64, len(toks))
-        kind, doc = words.kind[code], np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        kinds, hashes = words.tables()
+        kind, doc = kinds[code], np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
         first = np.append(True, (kind[:-1] == _BREAK) | (doc[1:] != doc[:-1]))[:len(kind)]
         keep = np.flatnonzero(kind != _BREAK)
         self.toks, self.at = toks, keep
-        self.kind, self.hash, self.doc, self.first = kind[keep], words.hash[code][keep], doc[keep], first[keep]
+        self.kind, self.hash, self.doc, self.first = kind[keep], hashes[code][keep], doc[keep], first[keep]
         self.size = np.bincount(self.doc, minlength=len(ends))
         self.pos = np.arange(len(keep)) - (np.cumsum(self.size) - self.size)[self.doc]
 
