@@ -15,7 +15,9 @@ language (drawn by a hash of the id) with WINDOWS windows each at hashed places.
 
 Defined results: null text or a text without a letter is ``und`` with score 0;
 without any training document every text is ``und`` with score 0; a null lang
-is never learned; repeated rows get equal results; other columns pass through.
+is never learned; ties between languages go to the first by name; repeated rows get
+equal results; an empty table gives an empty result; extra columns pass through
+`keep_known` and are ignored by `predict`, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import crc_fold, hash_fraction, text_buffer
+from corpusforge.llm.common import byte_slices, crc_fold, hash_fraction, text_buffer
 
 HIDDEN, CORE, CONTEXT, LANES = 8, 240, 8, 4096
 SPAN, WINDOWS, STEPS, BATCH, RATE = 96, 3, 260, 192, 0.02
+#: Bytes of text that are labelled together (memory bound; a longer text is one run).
+SLICE = 1 << 20
 #: `keeps` rejects below this pooled probability of the best language.
 MIN_SCORE = 0.35
 _ASCII_LETTER = np.zeros(256, bool)
@@ -166,8 +170,11 @@ def pooled(net: dict, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def has_letter(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    hits = np.concatenate([[0], np.cumsum(_ASCII_LETTER[buf], dtype=np.int64)])
-    out = hits[offs[1:]] > hits[offs[:-1]]
+    """Whether each text has a letter; one byte of memory a byte of text."""
+    out = np.zeros(len(offs) - 1, bool)
+    some = np.flatnonzero(offs[1:] > offs[:-1])
+    if len(some):
+        out[some] = np.logical_or.reduceat(_ASCII_LETTER[buf], offs[some])
     for i in np.flatnonzero(~out & (offs[1:] > offs[:-1])):
         out[i] = any(ch.isalpha() for ch in bytes(buf[offs[i]:offs[i + 1]]).decode("utf-8", "replace"))
     return out
@@ -221,7 +228,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     schema = src.select("doc_id", "held_out", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in byte_slices(batch, 2, SLICE)):
             lang, score = label(model, b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()),
                                               pa.array(score, pa.float64())], names=schema.names)
@@ -233,7 +240,7 @@ def keep_known(docs: DataFrame, model: dict, text_col: str = "text", min_score:
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in byte_slices(batch, at, SLICE)):
             lang, score = label(model, b.column(at))
             yield b.filter(pa.array((lang != "und") & (score >= min_score)))
     return docs.mapInArrow(run, docs.schema)

@@ -12,12 +12,16 @@ vocabulary but stays small beside it, while counts cover every word.
    dictionary per block (a task starts a new block at BLOCK_WORDS words).
 2. Dictionaries are summed into global counts, joined with them, and meet their
    block's documents once: each document becomes its group sequence.
-3. Baum-Welch: from seeded random parameters, every round is a pass over all
-   training documents, until the likelihood grows by GAIN of itself or less
-   (logged per round). Tasks emit expected counts per parameter; a shuffle adds
-   them up.
-4. The scaled forward recursion gives the exact likelihood. It runs in parallel
-   pieces: transfer matrices of CHUNK tokens, chained per document.
+3. Incremental Baum-Welch: from seeded random parameters, every sweep is a pass
+   over all training documents in SHARDS hashed parts; a part's expected counts
+   replace those of its last visit and the parameters are estimated anew, so one
+   sweep makes SHARDS updates. Sweeps end when the likelihood grows by GAIN of
+   itself or less (logged). Tasks emit expected counts per parameter; a shuffle
+   adds them up.
+4. The scaled forward recursion gives the exact likelihood, in double precision
+   (training runs in single). Sequences of up to WHOLE tokens run side by side;
+   longer ones in parallel pieces: transfer matrices of CHUNK tokens, chained per
+   document.
 
 Defined results: null and empty texts hold the end token alone; a null id is in
 the fold of the empty text; repeated rows are scored and counted each; without
@@ -40,7 +44,11 @@ from corpusforge.llm.common import crc_fold, staged
 log = logging.getLogger(__name__)
 
 STATES, TOP, TAIL, GROWTH = 6, 2048, 2048, 16
-GAIN, MIN_ROUNDS, CHUNK, LANES = 1e-4, 8, 64, 4096
+GAIN, CHUNK, LANES = 5e-3, 64, 4096
+#: Longer sequences are cut into pieces of CHUNK.
+WHOLE = 1024
+#: Parts of the training documents after each of which the parameters are estimated anew.
+SHARDS = 8
 BLOCK_WORDS = 400_000
 #: Groups of a small vocabulary; the last group is the end token.
 GROUPS = TOP + TAIL + 1
@@ -111,20 +119,20 @@ def encode(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 # ------------------------------------------------------------- HMM on group sequences
 class Chunks:
-    """Sequences cut into pieces of CHUNK symbols, longest first, with their chains."""
+    """Sequences cut into pieces of ``chunk`` symbols, longest first, with their chains."""
 
-    def __init__(self, seqs: list[np.ndarray]):
+    def __init__(self, seqs: list[np.ndarray], chunk: int):
         lens = np.array([len(s) for s in seqs])
-        n = -(-lens // CHUNK)
+        n = -(-lens // chunk)
         self.flat = np.concatenate(seqs).astype(np.int64)
         base = np.cumsum(lens) - lens
         doc = np.repeat(np.arange(len(seqs)), n)
         nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        size = np.minimum(lens[doc] - nth * CHUNK, CHUNK)
+        size = np.minimum(lens[doc] - nth * chunk, chunk)
         order = np.argsort(-size, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        self.at, self.size, self.first = (base[doc] + nth * CHUNK)[order], size[order], (nth == 0)[order]
+        self.at, self.size, self.first = (base[doc] + nth * chunk)[order], size[order], (nth == 0)[order]
         # chains: for each k, the documents with a k-th chunk and its place
         self.docs = len(seqs)
         by = np.argsort(nth, kind="stable")
@@ -153,71 +161,109 @@ def transfers(c: Chunks, pi, trans, emit):
     return m, scale
 
 
-def log_likelihoods(seqs: list[np.ndarray], model, need_ends: bool = False):
-    """Natural log likelihood of each sequence (and the states at chunk ends, for training)."""
+def _by_length(seqs: list[np.ndarray]):
+    """(places, chunk size) of the sequences that are run whole, and of those that are cut."""
+    long_ = np.array([len(s) > WHOLE for s in seqs], bool)
+    return [(at, size) for at, size in ((np.flatnonzero(~long_), WHOLE), (np.flatnonzero(long_), CHUNK)) if len(at)]
+
+
+def _forward(c: Chunks, lo: int, start, model, keep: list | None = None) -> np.ndarray:
+    """Log likelihood of each piece of a block of lanes, given the states before it; ``keep`` gets the scaled forward states."""
+    pi, trans, emit = model
+    at, size, first = c.at[lo:lo + LANES], c.size[lo:lo + LANES], c.first[lo:lo + LANES]
+    x = np.where(first[:, None], pi[None], pi[None] if start is None else start @ trans).astype(trans.dtype)
+    ll, part = np.zeros(len(at)), np.ones(len(at))
+    for t in range(int(size[0])):
+        k = int(np.searchsorted(-size, -t, "left"))  # pieces longer than t come first
+        if t:
+            x = x[:k] @ trans
+        x *= emit[c.flat[at[:k] + t]]
+        z = x.sum(1)
+        x /= z[:, None]
+        part[:k] *= z
+        if t % 16 == 15:
+            ll += np.log(part)
+            part[:] = 1
+        if keep is not None:
+            keep.append(x)
+    return ll + np.log(part)
+
+
+def _ends(c: Chunks, model):
+    """States before and weights after each piece of cut sequences, and the log likelihoods."""
     pi, trans, emit = model
-    c = Chunks(seqs)
     m, scale = transfers(c, pi, trans, emit)
     s = len(pi)
     alpha, ll = np.full((c.docs, s), 1 / s), np.zeros(c.docs)
-    into = np.empty((len(c.at), s)) if need_ends else None
+    into = np.empty((len(c.at), s))
     for docs, where in c.chain:
-        if need_ends:
-            into[where] = alpha[docs]
+        into[where] = alpha[docs]
         v = np.einsum("ds,dst->dt", alpha[docs], m[where])
         z = v.sum(1)
         alpha[docs] = v / z[:, None]
         ll[docs] += np.log(z) + scale[where]
-    if not need_ends:
-        return ll
     out, beta = np.empty_like(into), np.ones((c.docs, s))
     for docs, where in reversed(c.chain):
         out[where] = beta[docs]
         v = np.einsum("dst,dt->ds", m[where], beta[docs])
         beta[docs] = v / v.sum(1, keepdims=True)
-    return ll, c, into, out
+    return into, out, ll
+
 
+def log_likelihoods(seqs: list[np.ndarray], model) -> np.ndarray:
+    """Natural log likelihood of each sequence."""
+    out = np.zeros(len(seqs))
+    for at, size in _by_length(seqs):
+        c = Chunks([seqs[i] for i in at], size)
+        if size == CHUNK:
+            out[at] = _ends(c, model)[2]
+            continue
+        ll = np.concatenate([_forward(c, lo, None, model) for lo in range(0, len(c.at), LANES)])
+        docs, where = c.chain[0]
+        out[at[docs]] = ll[where]
+    return out
 
-def expected_counts(seqs: list[np.ndarray], model):
+
+def expected_counts(seqs: list[np.ndarray], model, kind=np.float64):
     """(start, transition, emission by group) expected counts and the log likelihood."""
-    pi, trans, emit = model
+    exact, (pi, trans, emit) = model, tuple(np.asarray(a, kind) for a in model)
+    model = pi, trans, emit
     s = len(pi)
-    ll, c, into, out = log_likelihoods(seqs, model, True)
-    n_pi, n_trans, n_emit = np.zeros(s), np.zeros((s, s)), np.zeros((emit.shape[0], s))
-    for lo in range(0, len(c.at), LANES):
-        at, size, first = c.at[lo:lo + LANES], c.size[lo:lo + LANES], c.first[lo:lo + LANES]
-        start, b = into[lo:lo + LANES], out[lo:lo + LANES].copy()
-        long_ = int(size[0])
-        a = np.empty((long_, len(at), s))
-        live = [int(np.searchsorted(-size, -t, "left")) for t in range(long_)]
-        for t in range(long_):
-            k = live[t]
-            prev = np.where(first[:, None], pi[None], start @ trans) if t == 0 else a[t - 1, :k] @ trans
-            x = prev * emit[c.flat[at[:k] + t]]
-            a[t, :k] = x / x.sum(1, keepdims=True)
-        sym, gam = [], []
-        for t in range(long_ - 1, -1, -1):
-            k = live[t]
-            o = c.flat[at[:k] + t]
-            g = a[t, :k] * b[:k]
-            g /= g.sum(1, keepdims=True)
-            sym.append(o)
-            gam.append(g)
-            eb = emit[o] * b[:k]
-            back = eb @ trans.T
-            if t:
-                left = a[t - 1, :k]
-            else:
-                n_pi += g[first].sum(0)
-                left, eb, back = start[~first], eb[~first], back[~first]
-            z = (left * back).sum(1, keepdims=True)
-            n_trans += trans * ((left / z).T @ eb)
-            if t:
-                b[:k] = back / back.sum(1, keepdims=True)
-        sym, gam = np.concatenate(sym), np.concatenate(gam)
-        for j in range(s):
-            n_emit[:, j] += np.bincount(sym, gam[:, j], emit.shape[0])
-    return n_pi, n_trans, n_emit, ll.sum()
+    n_pi, n_trans, n_emit, total = np.zeros(s), np.zeros((s, s)), np.zeros((emit.shape[0], s)), 0.0
+    for docs, size_ in _by_length(seqs):
+        c = Chunks([seqs[i] for i in docs], size_)
+        into, out = (None, None) if size_ == WHOLE else [x.astype(kind) for x in _ends(c, exact)[:2]]
+        for lo in range(0, len(c.at), LANES):
+            at, size, first = c.at[lo:lo + LANES], c.size[lo:lo + LANES], c.first[lo:lo + LANES]
+            start = None if into is None else into[lo:lo + LANES]
+            b = np.ones((len(at), s), kind) if out is None else out[lo:lo + LANES].copy()
+            a: list = []
+            total += _forward(c, lo, start, model, a).sum()
+            sym, gam, left_sum = [], [], np.zeros((s, s))
+            for t in range(int(size[0]) - 1, -1, -1):
+                k = len(a[t])
+                o = c.flat[at[:k] + t]
+                g = a[t] * b[:k]
+                g /= g.sum(1, keepdims=True)
+                sym.append(o)
+                gam.append(g)
+                eb = emit[o] * b[:k]
+                back = eb @ trans.T
+                if t:
+                    left = a[t - 1][:k]
+                else:
+                    n_pi += g[first].sum(0)
+                    if start is None:
+                        break
+                    left, eb, back = start[~first], eb[~first], back[~first]
+                left_sum += (left / (left * back).sum(1, keepdims=True)).T @ eb
+                if t:
+                    b[:k] = back / back.sum(1, keepdims=True)
+            n_trans += trans * left_sum
+            sym, gam = np.concatenate(sym), np.concatenate(gam)
+            for j in range(s):
+                n_emit[:, j] += np.bincount(sym, gam[:, j], emit.shape[0])
+    return n_pi, n_trans, n_emit, total
 
 
 def reestimate(n_pi, n_trans, n_emit, overall):
@@ -245,7 +291,7 @@ def _groups(values, code: str) -> list[np.ndarray]:
     return [np.frombuffer(v, code) for v in values]
 
 
-def _slices(seqs: list[np.ndarray], most: int = 400_000):
+def _slices(seqs: list[np.ndarray], most: int = 1_000_000):
     """Runs of sequences of about ``most`` symbols together."""
     lo, n = 0, 0
     for i, s in enumerate(seqs):
@@ -316,7 +362,8 @@ def prepare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
                     [part.column(5), part.column(6), pa.array(out_n, pa.int64()), pa.array(out_k, pa.int64()),
                      pa.array(out_l, pa.float64()), pa.array(out_g, pa.binary())], names=schema.names)
     grouped = both.repartition("block").sortWithinPartitions("block", "kind", "local")
-    return staged(grouped.mapInArrow(run, schema), "lm-sequences"), stats
+    shard = F.pmod(F.xxhash64("id", "groups"), F.lit(SHARDS)).cast("int")
+    return staged(grouped.mapInArrow(run, schema).withColumn("shard", shard), "lm-sequences", by="shard"), stats
 
 
 def _by_count():
@@ -325,32 +372,37 @@ def _by_count():
 
 
 def train(seqs: DataFrame, stats: dict, states: int = STATES, gain: float = GAIN):
-    """Baum-Welch over all training documents, every round."""
+    """Incremental Baum-Welch: sweeps over all training documents, shard by shard.
+
+    After each shard its expected counts replace those of its last visit, and the
+    parameters are estimated anew from the counts of all shards.
+    """
     overall, code = stats["room"] / stats["room"].sum(), stats["code"]
     groups = len(overall)
-    model, last, nth = start_model([], overall, states), None, 0
-    sizes = [states, states * states, groups * states, 1]
+    model, last, sweep = start_model([], overall, states), None, 0
+    sizes = np.cumsum([states, states * states, groups * states, 1])
+    held = np.zeros((SHARDS, sizes[-1]))
     while stats["train_docs"]:
-        def count(batches, model=model):
-            total = np.zeros(sum(sizes))
-            for b in batches:
-                s = _groups(b.column(0).to_pylist(), code)
-                for lo, hi in _slices(s):
-                    total += np.concatenate([np.ravel(x) for x in expected_counts(s[lo:hi], model)])
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["k", "v"])
-        got = (seqs.where("train").select("groups").mapInArrow(count, "k long, v double")
-               .groupBy("k").agg(F.sum("v").alias("v")).collect())  # one row a parameter
-        total = np.zeros(sum(sizes))
-        for r in got:
-            total[r["k"]] = r["v"]
-        a, b, c, ll = np.split(total, np.cumsum(sizes)[:-1])
-        ll, nth = float(ll[0]), nth + 1
-        log.info("round %d: log likelihood %.8g", nth, ll)
-        # the first rounds leave the symmetry of the random start slowly
-        if last is not None and nth > MIN_ROUNDS and ll - last <= gain * abs(last):
+        for shard in range(SHARDS):
+            def count(batches, model=model):
+                total = np.zeros(sizes[-1])
+                for b in batches:
+                    s = _groups(b.column(0).to_pylist(), code)
+                    for lo, hi in _slices(s):
+                        total += np.concatenate([np.ravel(x) for x in expected_counts(s[lo:hi], model, np.float32)])
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["k", "v"])
+            got = (seqs.where((F.col("shard") == shard) & F.col("train")).select("groups").mapInArrow(count, "k long, v double")
+                   .groupBy("k").agg(F.sum("v").alias("v")).toArrow())  # one row a parameter
+            held[shard] = 0
+            held[shard][got.column("k").to_numpy()] = got.column("v").to_numpy()
+            a, b, c, _ = np.split(held.sum(0), sizes[:-1])
+            model = reestimate(a, b.reshape(states, states), c.reshape(groups, states), overall)
+        ll, sweep = float(held[:, -1].sum()), sweep + 1
+        log.info("sweep %d: log likelihood %.8g", sweep, ll)
+        if last is not None and not ll - last > gain * abs(last):
             break
-        model, last = reestimate(a, b.reshape(states, states), c.reshape(groups, states), overall), ll
+        last = ll
     return model
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import crc_fold, text_buffer
+from corpusforge.llm.common import byte_slices, crc_fold, text_buffer
 
 WIDTH, FILTERS, CHUNK, SEGMENT, SLICE = 6, 16, 512, 32768, 1 << 19
 TRAIN_BYTES, EPOCHS, BATCH, RATE = 8192, 8, 24, 0.01
@@ -163,7 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     window = F.substr(F.col("text"), (F.lit(1) + F.pmod(F.xxhash64("id"), F.greatest(chars - TRAIN_BYTES + 1, F.lit(1)))).cast("int"),
                       F.lit(TRAIN_BYTES))
     rows = (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-            .join(F.broadcast(drawn), "id").select("id", "y", window.alias("t")).collect())
+            .join(F.broadcast(drawn), "id").select("id", "y", window.alias("t"))
+            .groupBy("id", "y").agg(F.min("t").alias("t")).collect())  # a row a drawn id, however often it repeats
     rows.sort(key=lambda r: (str(r["id"]), r["y"], r["t"]))
     y = np.array([r["y"] for r in rows])
     seen = np.bincount(y, minlength=2) if len(y) else np.zeros(2, int)
@@ -181,7 +182,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     schema = src.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in byte_slices(batch, 2)):
             s = score_texts(model, b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()),
                                               pa.array((s >= cut).astype(np.int32))], names=schema.names)

@@ -218,12 +218,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, id_col: st
 def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 3, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, all columns: one document of each component (least id, nulls last)."""
-    (fp,) = fresh(docs.columns, "cf_fp")
-    marks = docs.withColumn(fp, fingerprint_column(F.col(text_col), shingle))
-    marked = staged(marks.select(F.col(id_col).alias("id"), F.col(fp).alias("fp")), "simhash-marks")
-    groups = staged(group_fingerprints(marked, bits).where("fp = winner_fp").select("winner_fp", "winner_id", "winner_rows"),
-                    "simhash-winners")
-    kept = marks.join(groups, (marks[fp] == groups["winner_fp"]) & marks[id_col].eqNullSafe(groups["winner_id"]), "left_semi")
-    if groups.where("winner_rows > 1").limit(1).count():  # the winner itself is repeated: one of its rows stays
-        kept = kept.dropDuplicates([fp])
-    return kept.drop(fp)
+    fp, rid = fresh(docs.columns, "cf_fp", "cf_rid")
+    # rows and fingerprints are written once; what follows reads the narrow columns, then the kept rows
+    marks = staged(docs.withColumn(fp, fingerprint_column(F.col(text_col), shingle)).withColumn(rid, F.monotonically_increasing_id()),
+                   "simhash-rows")
+    marked = marks.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(rid).alias("rid"))
+    groups = group_fingerprints(marked.select("id", "fp"), bits).where("fp = winner_fp").select("winner_fp", "winner_id")
+    # of the winner's rows (same id and fingerprint) the first one stays
+    kept = (marked.join(groups, (marked["fp"] == groups["winner_fp"]) & marked["id"].eqNullSafe(groups["winner_id"]), "left_semi")
+            .groupBy("fp").agg(F.min("rid").alias(rid)).select(rid))
+    return marks.join(staged(kept, "simhash-winners"), rid, "left_semi").select(*docs.columns)

@@ -10,14 +10,18 @@ corrected, non-negative risk over the FEATURES that lead most among the positive
 
 with the logistic loss; where the second part turns negative, its gradient is
 walked back. The prior is the share of toxic rows among all labelled training
-rows. An L1 step keeps words without evidence at exactly 0.
+rows. An L1 step, as strong as the noise of so few positives, keeps words without
+evidence at exactly 0, on little data as on much.
 
 The fit uses a bounded sample: at most ``max_pos`` positives and about
 ``max_unl`` unlabelled documents, drawn by a hash of the id.
 
 Defined results: null and empty text score the classifier's intercept; without
-a confirmed positive every score is 0; null labels count as unlabelled;
-repeated rows get equal results; other columns pass through.
+a confirmed positive, or in an empty table, every score is 0; null labels count as
+unlabelled; of the texts of a repeated id the least is learned; features that lead
+equally are taken by name; repeated rows get equal results; texts of any length are
+read whole, in runs of bounded size; extra columns pass through `drop_toxic` and are
+ignored by `predict`, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import crc_fold, hash_fraction, staged
+from corpusforge.llm.common import byte_slices, crc_fold, hash_fraction, staged
 
 _WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6, 7)
 #: The feature of all words: its count is the number of distinct words of a text.
 SIZE = ""
-FEATURES, LEAD, ROUNDS, L1 = 1000, 5.0, 800, 3e-4
+#: Candidates: the FEATURES that lead most of those that LEAST positives hold. A step of L1 takes what noise of that many
+#: candidates among so few positives would give (times the prior); what it leaves at 0 is not a feature.
+FEATURES, LEAST, ROUNDS, NOISE = 1000, 3, 800, 0.02
 #: How far the corrected risk may fall under 0 before its gradient is walked back.
 SLACK = 0.05
 #: A word table of a Python worker is dropped at this size (memory bound).
@@ -74,6 +80,7 @@ def train_classifier(pos: list[dict], unl: list[dict], prior: float) -> dict:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     # the risk's curvature is at most a quarter of the largest eigenvalue of the mean outer products
+    l1 = NOISE * prior * math.sqrt(math.log(len(names) + 1) / len(pos))
     tp, tu, f32 = np.ascontiguousarray(xp.T), np.ascontiguousarray(xu.T), np.float32  # products stay in single precision
     v = np.ones(len(w), f32)
     for _ in range(30):
@@ -86,7 +93,7 @@ def train_classifier(pos: list[dict], unl: list[dict], prior: float) -> dict:
         zp, zu = (xp @ ahead.astype(f32)).astype(float), (xu @ ahead.astype(f32)).astype(float)
         part = prior * np.logaddexp(0, -zp).mean()
         rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        risk = part + max(0.0, rest) + L1 * np.abs(ahead[:-1]).sum()
+        risk = part + max(0.0, rest) + l1 * np.abs(ahead[:-1]).sum()
         if risk < least and rest >= -SLACK:
             best, least = ahead, risk
         # d/dz log(1 + exp(z)) = sig(z); d/dz log(1 + exp(-z)) = -sig(-z)
@@ -96,7 +103,7 @@ def train_classifier(pos: list[dict], unl: list[dict], prior: float) -> dict:
         else:  # the corrected part of the risk went negative: walk its gradient back, without momentum
             g, step, t, w = -(tp @ g_back.astype(f32) + tu @ g_un.astype(f32)), rate / 4, 1.0, ahead
         new = ahead - step * g
-        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * L1, 0)
+        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * l1, 0)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, w, t = new + (t - 1) / t_new * (new - w), new, t_new
     w = best
@@ -133,7 +140,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prior = min(c["pos"] / c["all"], 0.99)
     ids = known.where("y > 0").select("id", F.xxhash64("id", F.lit("toxic")).alias("draw")).orderBy("draw", "id").limit(max_pos).select("id")
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    pos = src.join(F.broadcast(ids.distinct()), "id").select("id", F.lit(1).alias("pos"), "text")  # at most max_pos ids
+    # one text an id (the least), so a repeated id is one row: at most max_pos rows
+    pos = (src.join(F.broadcast(ids.distinct()), "id").groupBy("id").agg(F.min("text").alias("text"))
+           .select("id", F.lit(1).alias("pos"), "text"))
     n = max(1, docs.count())
     unl = (src.where(crc_fold("id", 5) != 0).withColumn("draw", hash_fraction("id", F.lit("unlabelled")))
            .where(F.col("draw") < max_unl / n / 0.8).orderBy("draw", "id").limit(max_unl)
@@ -160,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lead = (r1 - r0) / F.sqrt(r * (1 - r) * (1 / sizes[1] + 1 / sizes[0]) + 1e-12)
     names = {SIZE} | {x["f"] for x in (sample.select("pos", "text").mapInArrow(tally, "f string, u long, p long")
                               .groupBy("f").agg(F.sum("u").alias("u"), F.sum("p").alias("p"))
-                              .where((F.col("p") >= 5) & (lead >= LEAD))
+                              .where((F.col("p") >= LEAST) & (lead > 0))
                               .orderBy(lead.desc(), "f").limit(FEATURES).select("f").collect())}
 
     def held(batches):
@@ -183,7 +192,7 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
 
     def run(batches):
         cache: dict = {}
-        for b in batches:
+        for b in (part for batch in batches for part in byte_slices(batch, 2)):
             s = score_texts(model, b.column(2).to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()),
                                               pa.array((s >= cut).astype(np.int32))], names=schema.names)
@@ -196,6 +205,6 @@ def drop_toxic(docs: DataFrame, model: dict | None, text_col: str = "text", cut:
 
     def run(batches):
         cache: dict = {}
-        for b in batches:
+        for b in (part for batch in batches for part in byte_slices(batch, at)):
             yield b.filter(pa.array(score_texts(model, b.column(at).to_pylist(), cache) < cut))
     return docs.mapInArrow(run, docs.schema)

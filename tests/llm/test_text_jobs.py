@@ -121,11 +121,34 @@ def test_every_round_sees_every_training_document(spark, caplog):
     with caplog.at_level("INFO", logger=lm_hmm.log.name):
         pi, trans, emit = lm_hmm.train(seqs, stats)
     lls = [float(r.message.rsplit(" ", 1)[1]) for r in caplog.records if r.name == lm_hmm.log.name]
-    rows = [np.frombuffer(r["groups"], stats["code"]) for r in seqs.where("train").select("groups").collect()]
-    assert len(rows) > 500
-    want = lm_hmm.start_model(rows, stats["room"] / stats["room"].sum(), lm_hmm.STATES, len(lls) - 1)
-    assert np.allclose(pi, want[0]) and np.allclose(trans, want[1]) and np.allclose(emit, want[2])
-    assert math.isclose(lls[-1], lm_hmm.log_likelihoods(rows, want).sum(), rel_tol=1e-6) and lls[-1] > lls[0]
+    shards: dict = {}
+    for r in seqs.where("train").select("shard", "groups").collect():
+        shards.setdefault(r["shard"], []).append(np.frombuffer(r["groups"], stats["code"]))
+    assert sum(map(len, shards.values())) > 500 and len(shards) == lm_hmm.SHARDS
+    overall = stats["room"] / stats["room"].sum()
+    want, held = lm_hmm.start_model([], overall), {}
+    for _ in lls:  # every sweep visits every shard
+        for k in range(lm_hmm.SHARDS):
+            held[k] = lm_hmm.expected_counts(shards[k], want)
+            want = lm_hmm.reestimate(*[sum(h[j] for h in held.values()) for j in range(3)], overall)
+    assert all(np.allclose(a, b, rtol=0.02, atol=1e-5) for a, b in zip((pi, trans, emit), want))  # training runs in single precision
+    assert math.isclose(lls[-1], sum(h[3] for h in held.values()), rel_tol=1e-4) and lls[-1] > lls[0]
+
+
+def test_scores_follow_from_the_parameters(spark):
+    docs = messy.table(spark)
+    seqs, stats = lm_hmm.prepare(docs)
+    pi, trans, emit = model = lm_hmm.train(seqs, stats)
+    got = {(r["doc_id"], r["n_tokens"], round(r["base_score"], 6)): r["score"] for r in lm_hmm.score(seqs, stats, model).collect()}
+    base = math.log10(stats["N"] + stats["V"] + 1)
+    for r in seqs.collect():
+        o = np.frombuffer(r["groups"], stats["code"]).astype(int)
+        x, total = pi * emit[o[0]], 0.0
+        for g in o[1:]:  # the plain forward recursion
+            total += math.log10(x.sum())
+            x = x / x.sum() @ trans * emit[g]
+        want = total + math.log10(x.sum()) + r["log_c"] - np.log10(stats["room"])[o].sum()
+        assert math.isclose(got[r["id"], r["n_tokens"], round(r["log_c"] - r["n_tokens"] * base, 6)], want, rel_tol=1e-9)
 
 
 def test_language_model_without_training_rows(spark):
