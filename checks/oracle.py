@@ -42,6 +42,32 @@ UNION ALL SELECT 'text_leak', (SELECT count(*) FROM splitted t WHERE t.split = '
 ORACLE["pair_pred_ref"] = with_(*SPLIT, TEST_PAIRS) + \
     "SELECT run_id, doc_id, subtask, output, summary FROM test_pairs"
 
+_LISTS = with_(*BASE) + """, l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, summary FROM pred WHERE run_id = 1),
+r AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS position, text AS output FROM conversations)
+"""
+ORACLE["pair_by_position"] = _LISTS + "SELECT position, summary, output FROM l JOIN r USING (position)"
+ORACLE["pair_by_position_report"] = _LISTS + """, n AS (SELECT (SELECT count(*) FROM l) AS p, (SELECT count(*) FROM r) AS r)
+SELECT 'predictions' AS "check", p AS value FROM n UNION ALL SELECT 'references', r FROM n
+UNION ALL SELECT 'pairs', least(p, r) FROM n
+UNION ALL SELECT 'unpaired_predictions', greatest(p - r, 0) FROM n
+UNION ALL SELECT 'unpaired_references', greatest(r - p, 0) FROM n"""
+
+_GROUPS = """WITH h AS (SELECT doc_id, text, sha256('42:' || coalesce(sha256(text), '')) AS h FROM documents),
+g AS (SELECT h, sum(count(*)) OVER (ORDER BY h) - count(*) AS start FROM h GROUP BY h),
+n AS (SELECT floor(count(*) * 0.8::DOUBLE) AS te, floor(count(*) * 0.8::DOUBLE) + floor(count(*) * 0.01::DOUBLE) AS ve FROM documents),
+grouped AS (SELECT doc_id, text, CASE WHEN start < te THEN 'train' WHEN start < ve THEN 'valid' ELSE 'test' END AS split
+            FROM h JOIN g USING (h), n)
+"""
+ORACLE["group_split"] = _GROUPS + "SELECT doc_id, split FROM grouped"
+ORACLE["group_split_leakage"] = _GROUPS + """
+SELECT 'key_overlap' AS "check", (SELECT count(*) FROM (SELECT doc_id FROM grouped GROUP BY doc_id HAVING count(DISTINCT split) > 1)) AS value
+UNION ALL SELECT 'missing', (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM grouped))
+UNION ALL SELECT 'text_leak', (SELECT count(*) FROM grouped WHERE split = 'test'
+   AND text IN (SELECT text FROM grouped WHERE split = 'train'))"""
+
+ORACLE["split_counts_totals"] = with_(*SPLIT) + """
+SELECT lang, split, CAST(grouping(lang) + grouping(split) AS INT) AS level, count(*) AS n FROM splitted GROUP BY ROLLUP (lang, split)"""
+
 ORACLE["run_model_lookup"] = with_(*BASE) + \
     "SELECT p.run_id, p.doc_id, r.model FROM pred p LEFT JOIN runs r USING (run_id)"
 
@@ -144,6 +170,23 @@ SANITIZE = f"trim(regexp_replace(text, '{WS}+', ' ', 'g'))"
 
 ORACLE["sanitize_text"] = f"SELECT doc_id, {SANITIZE} AS clean FROM documents"
 
+_TYPES = r"""WITH raw AS (
+  SELECT lang, unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents),
+tok AS (SELECT lang, lower(regexp_replace(regexp_replace(w, '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}.]+$', '')) AS w FROM raw),
+typ AS (SELECT lang, ends_with(w, '.') AS dot, regexp_replace(w, '[.]+$', '') AS t FROM tok),
+cnt AS (SELECT lang, CASE WHEN regexp_full_match(t, '[0-9]+') THEN '##number##' ELSE t END AS type,
+               count(*) FILTER (dot) AS with_dot, count(*) FILTER (NOT dot) AS without_dot
+        FROM typ WHERE t <> '' GROUP BY 1, 2),
+tot AS (SELECT lang, sum(with_dot)::DOUBLE AS d, sum(with_dot + without_dot)::DOUBLE AS n FROM cnt GROUP BY lang)
+"""
+ORACLE["sentence_type_scores"] = _TYPES + """
+SELECT cnt.lang, type, with_dot, without_dot,
+       round(-2 * ((with_dot * ln(d / n) + without_dot * ln(greatest(1 - d / n, 1e-9::DOUBLE)))
+                   - (with_dot * ln(0.99::DOUBLE) + without_dot * ln(0.01::DOUBLE)))
+             * exp(-length(replace(type, '.', ''))) * (length(type) - length(replace(type, '.', '')) + 1)
+             * pow(length(replace(type, '.', ''))::DOUBLE, -without_dot), 4) + 0.0::DOUBLE AS score
+FROM cnt JOIN tot ON cnt.lang IS NOT DISTINCT FROM tot.lang WHERE with_dot > 0"""
+
 ORACLE["sentence_lines"] = f"""
 SELECT doc_id, regexp_replace({SANITIZE}, '([.!?]) +', '\\1' || chr(10), 'g') AS lines FROM documents"""
 
@@ -206,6 +249,20 @@ ORACLE["length_report"] = with_(*SPLIT, PREPARED) + """, lr AS (
         ON input, output, rationale INTO NAME "column" VALUE text))
 """ + _len_stats("lr", 'dataset, "column"', "text")
 
+ORACLE["length_report_totals"] = with_(*SPLIT, PREPARED) + """, lr AS (
+  SELECT split, lang, 'input' AS "column", length(input)::BIGINT AS l FROM prepared
+  UNION ALL SELECT split, lang, 'output', length(output) FROM prepared
+  UNION ALL SELECT split, lang, 'rationale', length(rationale) FROM prepared),
+levels AS (
+  SELECT 0 AS level, * FROM lr UNION ALL SELECT 1, split, NULL, "column", l FROM lr UNION ALL SELECT 2, NULL, NULL, "column", l FROM lr)
+SELECT level, split, lang, "column", count(l) AS count, min(l) AS min, max(l) AS max, round(avg(l), 2) AS mean,
+       (list_sort(list(l) FILTER (l IS NOT NULL))[(count(l) - 1) // 2 + 1]
+        + list_sort(list(l) FILTER (l IS NOT NULL))[count(l) // 2 + 1]) / 2.0::DOUBLE AS median,
+       list_sort(list(l) FILTER (l IS NOT NULL))[floor(count(l) * 0.9::DOUBLE)::BIGINT + 1] AS percentile_90,
+       list_sort(list(l) FILTER (l IS NOT NULL))[floor(count(l) * 0.95::DOUBLE)::BIGINT + 1] AS percentile_95,
+       CASE WHEN count(l) = 0 THEN concat('No valid ', chr(39), "column", chr(39), ' fields found.') END AS message
+FROM levels GROUP BY level, split, lang, "column" """
+
 ORACLE["rank_percentile"] = """
 SELECT lang, count(*) AS count,
        list_sort(list(l))[floor(count(*) * 0.9::DOUBLE)::BIGINT + 1] AS percentile_90,

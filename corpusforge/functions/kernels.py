@@ -64,64 +64,32 @@ def lcs_length(a, b) -> int:
     return len(a) - v.bit_count()
 
 
-def lcs_length_dp(a, b) -> int:
-    """Plain dynamic programme; the reference for tests."""
-    a, b = _as_list(a), _as_list(b)
-    prev = [0] * (len(b) + 1)
-    for x in a:
-        cur = [0] * (len(b) + 1)
-        for j, y in enumerate(b, 1):
-            cur[j] = prev[j - 1] + 1 if x == y else max(cur[j - 1], prev[j])
-        prev = cur
-    return prev[-1]
-
-
 # --------------------------------------------------------------------------
 # Summary-level LCS (ROUGE-Lsum, Lin 2004 sec. 3.2): union of LCS hits per
 # reference sentence, hits clipped by token counts on both sides.
 # --------------------------------------------------------------------------
-def _lcs_indices_table(ref_codes, cand_codes) -> list:
-    """Indices of ref tokens on one LCS path from a full DP table (test reference)."""
-    ref_codes, cand_codes = np.asarray(ref_codes), np.asarray(cand_codes)
-    m, n = len(ref_codes), len(cand_codes)
-    if m == 0 or n == 0:
-        return []
-    table = np.zeros((m + 1, n + 1), dtype=np.int32)
-    for i in range(1, m + 1):
-        eq = (cand_codes == ref_codes[i - 1]).astype(np.int32)
-        old = table[i - 1]
-        c = np.maximum(old[1:], old[:-1] + eq)
-        table[i, 1:] = np.maximum.accumulate(c)
-    out = []
-    i, j = m, n
-    while i > 0 and j > 0:
-        if ref_codes[i - 1] == cand_codes[j - 1]:
-            out.append(i - 1)
-            i -= 1
-            j -= 1
-        elif table[i, j - 1] > table[i - 1, j]:
-            j -= 1
-        else:
-            i -= 1
-    return out
+def _token_masks(tokens) -> dict:
+    """Token -> bit vector of its places."""
+    masks: dict = {}
+    for j, t in enumerate(tokens):
+        masks[t] = masks.get(t, 0) | (1 << j)
+    return masks
 
 
-def _lcs_indices(ref, cand) -> list:
-    """Same path as ``_lcs_indices_table``; the DP rows are bit vectors.
+def _lcs_indices(ref, cand, masks: dict | None = None) -> list:
+    """Indices of ref tokens on one LCS path; the DP rows are bit vectors of the candidate's places.
 
-    With the candidate as the bit pattern, LCS(ref[:i], cand[:j]) is the number
-    of zero bits among the low j bits of the row vector after i ref tokens, so
-    the backtrack reads table cells with one mask and one popcount.
+    LCS(ref[:i], cand[:j]) is the number of zero bits among the low j bits of row i.
+    The walk back from the end holds the cells (i, j) and (i - 1, j): a step to the
+    left changes them by one bit of their rows, and only a step up to a new row
+    counts bits again. It ends where the cell is 0.
     """
     m, n = len(ref), len(cand)
+    masks = _token_masks(cand) if masks is None else masks
     if m == 0 or n == 0:
         return []
-    masks: dict = {}
-    for j, t in enumerate(cand):
-        masks[t] = masks.get(t, 0) | (1 << j)
     full = (1 << n) - 1
-    rows = [full]
-    v = full
+    v, rows = full, [full]
     for t in ref:
         mm = masks.get(t)
         if mm is not None:
@@ -130,24 +98,37 @@ def _lcs_indices(ref, cand) -> list:
         rows.append(v)
 
     def cell(i: int, j: int) -> int:
-        return j - (rows[i] & ((1 << j) - 1)).bit_count() if j else 0
+        return j - (rows[i] & ((1 << j) - 1)).bit_count()
 
     out = []
     i, j = m, n
-    while i > 0 and j > 0:
+    here, above = cell(m, n), cell(m - 1, n)
+    while here:
         if ref[i - 1] == cand[j - 1]:
             out.append(i - 1)
             i -= 1
             j -= 1
-        elif cell(i, j - 1) > cell(i - 1, j):
-            j -= 1
+            here -= 1
+            above = cell(i - 1, j) if here else 0
         else:
-            i -= 1
+            left = here - 1 + (rows[i] >> (j - 1) & 1)
+            if left > above:
+                j -= 1
+                here, above = left, above - 1 + (rows[i - 1] >> j & 1)
+            else:
+                i -= 1
+                here = above
+                if here and rows[i - 1] is not rows[i]:
+                    above = cell(i - 1, j)
     return out
 
 
 def summary_lcs_hits(ref_sents, cand_sents) -> tuple[int, int, int]:
-    """(hits, ref token count, candidate token count) for ROUGE-Lsum."""
+    """(hits, ref token count, candidate token count) for ROUGE-Lsum.
+
+    A sentence that the candidate has as it stands needs no comparison, and a
+    sentence whose tokens are all hit is done.
+    """
     ref_sents = [list(s) for s in _as_list(ref_sents) if s is not None and len(s)]
     cand_sents = [list(s) for s in _as_list(cand_sents) if s is not None and len(s)]
     m = sum(len(s) for s in ref_sents)
@@ -156,11 +137,19 @@ def summary_lcs_hits(ref_sents, cand_sents) -> tuple[int, int, int]:
         return 0, m, n
     cnt_r = Counter(t for s in ref_sents for t in s)
     cnt_c = Counter(t for s in cand_sents for t in s)
+    distinct = list(dict.fromkeys(map(tuple, cand_sents)))
+    whole, cands = set(distinct), [(s, _token_masks(s)) for s in distinct]
     hits = 0
     for rs in ref_sents:
-        union = set()
-        for cs in cand_sents:
-            union.update(_lcs_indices(rs, cs))
+        if tuple(rs) in whole:
+            union = range(len(rs))
+        else:
+            union, words = set(), set(rs)
+            for cs, masks in cands:
+                if not words.isdisjoint(masks):
+                    union.update(_lcs_indices(rs, cs, masks))
+                    if len(union) == len(rs):
+                        break
         for idx in sorted(union):
             t = rs[idx]
             if cnt_c[t] > 0 and cnt_r[t] > 0:

@@ -60,6 +60,37 @@ def length_report(df: DataFrame, group_cols: list[str], text_cols: list[str]) ->
     return length_stats(long, [*group_cols, "column"], "text")
 
 
+def length_report_totals(df: DataFrame, group_cols: list[str], text_cols: list[str]) -> DataFrame:
+    """A2 with totals and a row for empty sets.
+
+    One shuffle counts lengths for all levels (grouping sets over group...,
+    column, length): every leading part of ``group_cols`` down to all records,
+    always per text column. ``level`` is the number of group columns summed over. A
+    set of records without a valid text has a row with count 0, null figures and a
+    ``message``, as the single report has.
+    """
+    long = (df.select(*group_cols, *[F.col(c).cast("string") for c in text_cols]).unpivot(group_cols, text_cols, "column", "text")
+            .select(*group_cols, "column", F.length("text").cast("long").alias("_v")))
+    kept = [group_cols[:k] for k in range(len(group_cols), -1, -1)]
+    level = sum((F.grouping(c).cast("int") for c in group_cols), F.lit(0))
+    hist = long.groupingSets([[F.col(c) for c in (*g, "column", "_v")] for g in kept], *group_cols, "column", "_v").agg(
+        level.alias("level"), F.count(F.lit(1)).alias("_all"))
+    by = ["level", *group_cols, "column"]
+    hist = hist.withColumn("_cnt", F.when(F.col("_v").isNull(), 0).otherwise(F.col("_all")))
+    run = Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first())
+    hist = hist.withColumn("_cum", F.sum("_cnt").over(run)).withColumn("_n", F.sum("_cnt").over(Window.partitionBy(*by)))
+    n, some = F.col("_n"), F.when(F.col("_v").isNotNull(), F.col("_v"))
+    at = lambda idx: F.min(F.when(F.col("_cum") > idx, some))
+    message = F.concat(F.lit("No valid '"), F.col("column"), F.lit("' fields found."))
+    return hist.groupBy(*by).agg(
+        F.first("_n").cast("long").alias("count"), F.min(some).alias("min"), F.max(some).alias("max"),
+        F.round(F.try_divide(F.sum(some * F.col("_cnt")), F.sum("_cnt")), 2).alias("mean"),
+        ((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / F.lit(2.0)).alias("median"),
+        at(F.floor(n.cast("double") * F.lit(0.9))).cast("long").alias("percentile_90"),
+        at(F.floor(n.cast("double") * F.lit(0.95))).cast("long").alias("percentile_95"),
+    ).withColumn("message", F.when(F.col("count") == 0, message))
+
+
 def mean_scores(scores: DataFrame, group_cols: list[str], decimals: int = 4) -> DataFrame:
     """A3: mean per metric (long score table), rounded."""
     return scores.groupBy(*group_cols, "metric").agg(

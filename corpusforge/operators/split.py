@@ -62,13 +62,54 @@ def stratified_split(df: DataFrame, group_cols: list[str] | None = None, key_col
     return out.drop("_h", "_b", "_cnt", "_start", "_te", "_ve", "_whole", "_t", "_v")
 
 
+def group_split(df: DataFrame, group: Column | str | None = None, cfg: SplitConfig = SplitConfig(), text_col: str = "input",
+                split_col: str = "split") -> DataFrame:
+    """Split that keeps groups together: copies of a text, or translations by a common ``group`` value.
+
+    Groups are ordered by sha256('<seed>:<group>'). A group belongs to the split in
+    which its first row lies when all rows are laid out in that order, so the sizes
+    of the splits are those of the exact split within one group. As the order is
+    that of the hash, the cut is two hashes: rows are counted by hash bucket (65,536
+    numbers), only the buckets that hold a cut are counted by group, and every
+    record is labelled where it lies. A group of any size is one hash; no record is
+    moved. A null group (by default, a null text) is a group like any other.
+    """
+    cfg.check()
+    value = F.sha2(F.col(text_col), 256) if group is None else F.col(group) if isinstance(group, str) else group
+    hashed = df.withColumn("_h", seeded_hash(F.coalesce(value.cast("string"), F.lit("")), cfg.seed)).withColumn("_b", hash_bucket("_h"))
+    counts = sorted((r["_b"], r["n"]) for r in hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect())  # 65,536 rows at most
+    total = sum(n for _, n in counts)
+    train_end = int(total * float(cfg.train_ratio))
+    cuts = []
+    for end in (train_end, train_end + int(total * float(cfg.valid_ratio))):
+        start, cut = 0, ""
+        for b, n in counts:
+            if start < end <= start + n:  # the last group that starts before the end lies here
+                sizes = hashed.where(F.col("_b") == b).groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
+                before = F.sum("n").over(Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+                cut = sizes.select("_h", before.alias("s")).where(F.col("s") < end - start).agg(F.max("_h")).first()[0]
+                break
+            start += n
+        cuts.append(cut)
+    split = F.when(F.col("_h") <= cuts[0], "train").when(F.col("_h") <= cuts[1], "valid").otherwise("test")
+    return hashed.withColumn(split_col, split).drop("_h", "_b")
+
+
 def merge_languages(df: DataFrame, splits=("train", "valid"), split_col: str = "split") -> DataFrame:
     """Bag union over languages of the given splits (language column kept), in one pass."""
     return df.filter(F.col(split_col).isin(*splits))
 
 
-def split_counts(df: DataFrame, group_cols=("lang",), split_col: str = "split") -> DataFrame:
-    """Record counts per (group, split)."""
+def split_counts(df: DataFrame, group_cols=("lang",), split_col: str = "split", totals: bool = False) -> DataFrame:
+    """Record counts per (group, split).
+
+    ``totals`` adds the totals of every leading part of (group..., split) by one
+    rollup; ``level`` says how many of these columns are summed over (0: none).
+    """
+    if totals:
+        by = [*group_cols, split_col]
+        level = sum((F.grouping(c).cast("int") for c in by), F.lit(0))
+        return df.rollup(*by).agg(level.alias("level"), F.count(F.lit(1)).alias("n"))
     return df.groupBy(*group_cols, split_col).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.config import SplitConfig
 from corpusforge.operators import joins, report, scores
-from corpusforge.operators.split import (merge_languages, seeded_order, split_counts,
+from corpusforge.operators.split import (group_split, merge_languages, seeded_order, split_counts,
                                          split_leakage, stratified_split)
 from corpusforge.plans import evaluate, fixtures
 
@@ -63,12 +63,53 @@ def q_split_leakage(spark, sf_dir):
     return split_leakage(splitted(spark, sf_dir), "doc_id", "input", source=fixtures.rec(spark, sf_dir).select("doc_id"))
 
 
+@query("group_split")
+def q_group_split(spark, sf_dir):
+    """W2 that keeps copies of a text in one split."""
+    return group_split(fixtures.rec(spark, sf_dir), text_col="input").select("doc_id", "split")
+
+
+@query("group_split_leakage")
+def q_group_split_leakage(spark, sf_dir):
+    """U4 over the group-preserving split: no text is in two splits."""
+    r = fixtures.rec(spark, sf_dir)
+    return split_leakage(group_split(r, text_col="input"), "doc_id", "input", source=r.select("doc_id"))
+
+
+@query("split_counts_totals")
+def q_split_counts_totals(spark, sf_dir):
+    return split_counts(splitted(spark, sf_dir), ("lang",), totals=True)
+
+
 # ------------------------------------------------------------------ J
 @query("pair_pred_ref")
 def q_pair_pred_ref(spark, sf_dir):
     return evaluate.test_pairs(spark, sf_dir).select("run_id", "doc_id", "subtask", "output", "summary")
 
 
+def _lists(spark, sf_dir):
+    """Predictions and references as lists of files without ids: run 1 in id order, and all turns by conversation."""
+    from corpusforge.session import shared_dir
+    preds, refs = shared_dir(spark, "list-preds"), shared_dir(spark, "list-refs")
+    p = fixtures.pred(spark, sf_dir).where("run_id = 1")
+    p.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").select("summary").write.json(preds, ignoreNullFields=False)
+    turns = fixtures.table(spark, sf_dir, "conversations")
+    (turns.repartitionByRange(3, "conv_id").sortWithinPartitions("conv_id", "turn").select(F.col("text").alias("output"))
+     .write.parquet(refs))
+    return spark.read.schema("summary string").json(preds), spark.read.schema("output string").parquet(refs)
+
+
+@query("pair_by_position")
+def q_pair_by_position(spark, sf_dir):
+    """J4 by list position: two lists of files without ids, of unequal lengths."""
+    return joins.pair_by_position(*_lists(spark, sf_dir))[0]
+
+
+@query("pair_by_position_report")
+def q_pair_by_position_report(spark, sf_dir):
+    return joins.pair_by_position(*_lists(spark, sf_dir))[1]
+
+
 @query("run_model_lookup")
 def q_run_model_lookup(spark, sf_dir):
     return joins.run_model_lookup(fixtures.pred(spark, sf_dir).select("run_id", "doc_id"), spark)
@@ -189,6 +230,34 @@ def q_sanitize_text(spark, sf_dir):
     return d.select("doc_id", text.sanitize_text("text").alias("clean"))
 
 
+@query("sentence_type_scores")
+def q_sentence_type_scores(spark, sf_dir):
+    """how much each type with a final period looks like an abbreviation, per language."""
+    from corpusforge.operators import sentences
+    docs = fixtures.table(spark, sf_dir, "documents")
+    return (sentences.abbreviation_scores(sentences.type_counts(docs, "text", "lang"))
+            .select("lang", "type", "with_dot", "without_dot", (F.round("score", 4) + F.lit(0.0)).alias("score")))
+
+
+@query("trained_sentence_lines")
+def q_trained_sentence_lines(spark, sf_dir):
+    """one sentence a line, by boundaries learned from all documents of a language."""
+    from corpusforge.operators import sentences
+    docs = fixtures.table(spark, sf_dir, "documents").select("doc_id", "lang", text.sanitize_text("text").alias("text"))
+    return docs.select("doc_id", sentences.lines(F.col("text"), F.col("lang"), sentences.train(docs, "text", "lang")).alias("lines"))
+
+
+@query("rougeLsum_trained_sentences")
+def q_rougeLsum_trained(spark, sf_dir):
+    """M4 over learned sentence boundaries: predictions of all runs against whole references."""
+    from corpusforge.operators import sentences
+    docs = fixtures.table(spark, sf_dir, "documents").select("doc_id", "lang", text.sanitize_text("text").alias("text"))
+    model = sentences.train(docs, "text", "lang")
+    pairs = fixtures.paired_all(spark, sf_dir)
+    line = lambda c: sentences.lines(text.sanitize_text(c), F.col("lang"), model).alias(c)
+    return scores.rouge_lsum(pairs.select("run_id", "doc_id", "lang", line("output"), line("summary")))
+
+
 @query("sentence_lines")
 def q_sentence_lines(spark, sf_dir):
     d = fixtures.table(spark, sf_dir, "documents")
@@ -280,6 +349,12 @@ def q_length_report(spark, sf_dir):
     return report.length_report(p, ["dataset"], ["input", "output", "rationale"])
 
 
+@query("length_report_totals")
+def q_length_report_totals(spark, sf_dir):
+    """A2 per (split, language), per split and for all records, with rows for empty sets."""
+    return report.length_report_totals(prepared(spark, sf_dir), ["split", "lang"], ["input", "output", "rationale"])
+
+
 @query("rank_percentile")
 def q_rank_percentile(spark, sf_dir):
     d = fixtures.table(spark, sf_dir, "documents").select("lang", F.length("text").alias("n_chars"))

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusforge.functions import kernels
+from tests import plain_lcs
 
 toks = st.lists(st.sampled_from(list("abcdefg")), max_size=40)
 
@@ -13,7 +14,7 @@ toks = st.lists(st.sampled_from(list("abcdefg")), max_size=40)
 @given(toks, toks)
 @settings(max_examples=300, deadline=None)
 def test_bit_parallel_lcs_equals_dp(a, b):
-    assert kernels.lcs_length(a, b) == kernels.lcs_length_dp(a, b)
+    assert kernels.lcs_length(a, b) == plain_lcs.lcs_length_dp(a, b)
 
 
 def test_lcs_hand_case():
@@ -64,5 +65,38 @@ def test_extended_stems():
 @given(toks, toks)
 @settings(max_examples=300, deadline=None)
 def test_bit_row_backtrack_equals_table_backtrack(a, b):
-    assert kernels._lcs_indices(a, b) == kernels._lcs_indices_table(
+    assert kernels._lcs_indices(a, b) == plain_lcs.lcs_indices_table(
         [ord(x) for x in a], [ord(x) for x in b])
+
+
+def _real_pairs():
+    """Whole texts of the tables against each other: neither is a subsequence of the other."""
+    import re
+
+    import pyarrow.parquet as pq
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()]
+    texts = [[re.findall("[a-z0-9]+", s.lower()) for s in re.split(r"[.\n]+", t)] for t in texts if 20 < len(t) < 4000][:40]
+    return list(zip(texts, texts[1:] + texts[:1]))
+
+
+def test_kernels_on_real_pairs_equal_the_plain_programmes():
+    seen = 0
+    for a, b in _real_pairs():
+        flat_a, flat_b = [w for s in a for w in s], [w for s in b for w in s]
+        n = plain_lcs.lcs_length_dp(flat_a, flat_b)
+        assert kernels.lcs_length(flat_a, flat_b) == n
+        seen += 0 < n < min(len(flat_a), len(flat_b))
+        # the union of the paths of every pair of sentences, clipped by counts
+        cr, cc, hits = Counter(flat_a), Counter(flat_b), 0
+        for s in a:
+            union = {i for c in b for i in plain_lcs.lcs_indices_table(*_codes(s, c))}
+            for i in sorted(union):
+                if cr[s[i]] > 0 and cc[s[i]] > 0:
+                    hits, cr[s[i]], cc[s[i]] = hits + 1, cr[s[i]] - 1, cc[s[i]] - 1
+        assert kernels.summary_lcs_hits(a, b) == (hits, len(flat_a), len(flat_b))
+    assert seen > 20
+
+
+def _codes(a, b):
+    number: dict = {}
+    return [number.setdefault(w, len(number)) for w in a], [number.setdefault(w, len(number)) for w in b]
