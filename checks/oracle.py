@@ -81,11 +81,20 @@ _T = with_(*BASE, ALL_PAIRS) + f""", tt AS (SELECT run_id, doc_id, {tok('summary
 """
 
 
-def _overlap_query(n: int) -> str:
+_MIXED = f"""WITH mixed AS (
+  SELECT CAST(0 AS BIGINT) AS run_id, d.doc_id, d.text AS output,
+         array_to_string(list_concat(list_reverse(string_split(o.text, '. ')),
+                                     list_filter(string_split(d.text, '. '), lambda s, i: (i - 1) % 2 = 0)), '. ') AS summary
+  FROM documents d JOIN documents o ON o.doc_id = xor(d.doc_id, 1)),
+tt AS (SELECT run_id, doc_id, {tok('summary')} AS tp, {tok('output')} AS tr FROM mixed)
+"""
+
+
+def _overlap_query(n: int, source: str = _T) -> str:
     name = f"rouge{n}"
     grams_p = "tp" if n == 1 else bigrams("tp")
     grams_r = "tr" if n == 1 else bigrams("tr")
-    return _T + f""", g AS (SELECT run_id, doc_id, {grams_p} AS gp, {grams_r} AS gr FROM tt),
+    return source + f""", g AS (SELECT run_id, doc_id, {grams_p} AS gp, {grams_r} AS gr FROM tt),
 ov AS (SELECT run_id, doc_id, sum(least(cp, cr)) AS o FROM (
     SELECT run_id, doc_id, x, count(*) FILTER (WHERE side = 1) AS cp, count(*) FILTER (WHERE side = 2) AS cr
     FROM (SELECT run_id, doc_id, 1 AS side, unnest(gp) AS x FROM g
@@ -98,6 +107,7 @@ FROM g LEFT JOIN ov USING (run_id, doc_id)"""
 
 
 ORACLE["rouge1"] = _overlap_query(1)
+ORACLE["rouge1_mixed_pairs"], ORACLE["rouge2_mixed_pairs"] = _overlap_query(1, _MIXED), _overlap_query(2, _MIXED)
 ORACLE["rouge2"] = _overlap_query(2)
 
 ORACLE["rougeL"] = _T + f"""

@@ -144,6 +144,23 @@ def q_rougeLsum(spark, sf_dir):
     return scores.rouge_lsum(fixtures.paired_all(spark, sf_dir))
 
 
+@query("rouge1_mixed_pairs")
+def q_rouge1_mixed(spark, sf_dir):
+    """M1 where predictions reorder and replace parts of their references."""
+    return scores.rouge_n(fixtures.mixed_pairs(spark, sf_dir), 1)
+
+
+@query("rouge2_mixed_pairs")
+def q_rouge2_mixed(spark, sf_dir):
+    return scores.rouge_n(fixtures.mixed_pairs(spark, sf_dir), 2)
+
+
+@query("rougeL_mixed_pairs")
+def q_rougeL_mixed(spark, sf_dir):
+    """M3 on the same pairs; pytest holds the kernel to the plain programme on whole texts."""
+    return scores.rouge_l(fixtures.mixed_pairs(spark, sf_dir))
+
+
 @query("metric_suite_long")
 def q_metric_suite_long(spark, sf_dir):
     return scores.metric_suite_long(fixtures.paired_all(spark, sf_dir))

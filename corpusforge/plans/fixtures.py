@@ -43,6 +43,19 @@ def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
                     sentences(F.col("text"), lambda i: i % (F.col("run_id") + 1) != F.col("run_id")).alias("summary")))
 
 
+def mixed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, doc_id, output, summary): whole predictions that reorder and replace.
+
+    The prediction of a document is the reversed parts of the document whose id
+    differs in the last bit, then every other part of its own text.
+    """
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    other = d.select(F.col("doc_id").bitwiseXOR(F.lit(1)).alias("doc_id"), F.col("text").alias("other"))
+    parts = lambda c: F.split(c, r"\. ", -1)
+    summary = F.array_join(F.concat(F.reverse(parts("other")), F.filter(parts("text"), lambda x, i: i % 2 == 0)), ". ")
+    return d.join(other, "doc_id").select(F.lit(0).cast("long").alias("run_id"), "doc_id", F.col("text").alias("output"), summary.alias("summary"))
+
+
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LOGITS: one position per row: (vec_id, logits array<float>, label)."""
     e = table(spark, sf_dir, "embeddings")
