@@ -484,6 +484,8 @@ _ANN = f"substring({EXTRACT} || ': ' || input, 1, 256)"
 ORACLE["annotate_records"] = with_(REC) + f"""
 SELECT doc_id, {_ANN} AS rationale, {EXTRACT} || ': ' || input AS rationale_prompt FROM rec"""
 
+ORACLE["annotate_records_concurrent"] = ORACLE["annotate_records"]
+
 ORACLE["annotate_rejects"] = with_(REC) + f"""
 SELECT doc_id, 'ValueError: prompt too long' AS error, 3::BIGINT AS attempts FROM rec
 WHERE length({EXTRACT} || ': ' || input) > 20000"""

@@ -9,9 +9,10 @@ sampling model is never called again for the same record.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import asyncio
 import hashlib
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -50,9 +51,9 @@ def _model(factory: Callable):
     return m
 
 
-def _ask(model, prompts: list) -> list:
-    """One call; a model that gives another number of answers, or none for a prompt, has failed."""
-    ans = list(model.ask(prompts))
+def _checked(answers, prompts: list) -> list:
+    """A model that gives another number of answers, or none for a prompt, has failed."""
+    ans = list(answers)
     if len(ans) != len(prompts):
         raise ValueError(f"{len(ans)} answers to {len(prompts)} prompts")
     if any(a is None for a in ans):
@@ -60,6 +61,11 @@ def _ask(model, prompts: list) -> list:
     return ans
 
 
+def _ask(model, prompts: list) -> list:
+    """One call."""
+    return _checked(model.ask(prompts), prompts)
+
+
 def _ask_all(model, prompts: list, batch_size: int, attempts: int):
     """Answers, errors and attempt counts per prompt; a failing batch is retried row by row."""
     n = len(prompts)
@@ -90,13 +96,62 @@ def _ask_all(model, prompts: list, batch_size: int, attempts: int):
     return out, err, tries
 
 
+def _ask_all_concurrent(model, prompts: list, batch_size: int, attempts: int, in_flight: int, backoff: float):
+    """As ``_ask_all``, with up to ``in_flight`` calls at a time; answers stay in the order of the prompts.
+
+    A model's coroutine ``ask_async`` is awaited; a plain ``ask`` runs in a thread.
+    Before attempt k + 1 of a prompt, its call waits ``backoff * 2 ** (k - 1)`` seconds.
+    """
+    n = len(prompts)
+    out, err, tries = [None] * n, [None if p is not None else "null prompt" for p in prompts], [0] * n
+    spans = [[i for i in range(s, min(s + batch_size, n)) if prompts[i] is not None] for s in range(0, n, batch_size)]
+
+    async def run(pool):
+        gate, loop = asyncio.Semaphore(in_flight), asyncio.get_running_loop()
+
+        async def call(batch):
+            async with gate:
+                if hasattr(model, "ask_async"):
+                    return _checked(await model.ask_async(batch), batch)
+                return _checked(await loop.run_in_executor(pool, model.ask, batch), batch)
+
+        async def one(i):
+            for k in range(1, attempts + 1):
+                tries[i] = k
+                try:
+                    out[i], err[i] = (await call([prompts[i]]))[0], None
+                    return
+                except Exception as e:  # noqa: BLE001
+                    err[i] = f"{type(e).__name__}: {e}"
+                if k < attempts:
+                    await asyncio.sleep(backoff * 2 ** (k - 1))  # no call is in flight meanwhile
+
+        async def span(idx):
+            try:
+                for i, a in zip(idx, await call([prompts[i] for i in idx])):
+                    out[i], tries[i] = a, 1
+            except Exception:  # noqa: BLE001 - fall back to one prompt at a time
+                await asyncio.gather(*map(one, idx))
+        await asyncio.gather(*[span(idx) for idx in spans if idx])
+
+    with ThreadPoolExecutor(in_flight) as pool:
+        asyncio.run(run(pool))
+    return out, err, tries
+
+
 def annotate(df: DataFrame, template: str, out: str, model_factory: Callable,
-             batch_size: int = 8, attempts: int = 3, keep_prompt: bool = True) -> DataFrame:
+             batch_size: int = 8, attempts: int = 3, keep_prompt: bool = True, in_flight: int = 1,
+             backoff: float = 0.0) -> DataFrame:
     """Add column ``out`` (and ``<out>_prompt``) answered by the model.
 
     Rows the model could not answer within ``attempts`` keep ``out`` null and
     carry ``_error`` / ``_attempts``; use ``split_rejects`` after materialising.
+    ``in_flight`` over 1 lets a task wait for that many calls at a time (an event
+    loop in each batch), with the same rows as the serial form; ``backoff`` is the
+    wait in seconds before a prompt is tried again, doubled each time.
     """
+    if in_flight < 1:
+        raise ValueError(f"in_flight must be 1 at least: {in_flight}")
     prompt_col = f"{out}_prompt"
     x = df.withColumn(prompt_col, render_template(df, template))
     schema = T.StructType(list(x.schema.fields) + [
@@ -106,7 +161,9 @@ def annotate(df: DataFrame, template: str, out: str, model_factory: Callable,
     def run(batches):
         model = _model(model_factory)
         for pdf in batches:
-            ans, err, tries = _ask_all(model, pdf[prompt_col].tolist(), batch_size, attempts)
+            asked = pdf[prompt_col].tolist()
+            ans, err, tries = (_ask_all(model, asked, batch_size, attempts) if in_flight == 1 else
+                               _ask_all_concurrent(model, asked, batch_size, attempts, in_flight, backoff))
             yield pdf.assign(**{out: ans, "_error": err, "_attempts": pd.Series(tries, dtype="int32")})
 
     res = x.mapInPandas(run, schema)

@@ -673,6 +673,15 @@ def q_annotate_records(spark, sf_dir):
     return good.select("doc_id", "rationale", "rationale_prompt")
 
 
+@query("annotate_records_concurrent")
+def q_annotate_records_concurrent(spark, sf_dir):
+    """I1/H2 with four calls in flight a task; the same rows as the serial form."""
+    r = prep.drop_column_strict(fixtures.rec(spark, sf_dir), "rationale")
+    a = ann.materialize(ann.annotate(r, EXTRACT_PROMPT + ": {input}", "rationale", _model, batch_size=8, in_flight=4))
+    good, _ = ann.split_rejects(a, "rationale")
+    return good.select("doc_id", "rationale", "rationale_prompt")
+
+
 @query("annotate_rejects")
 def q_annotate_rejects(spark, sf_dir):
     r = fixtures.rec(spark, sf_dir).select("doc_id", "input")
