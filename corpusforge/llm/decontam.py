@@ -41,23 +41,19 @@ empty result.
 
 from __future__ import annotations
 
-import re
-from array import array
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import fresh, staged
+from corpusforge.llm.common import byte_slices, fresh, staged
 
 WINDOW, LITERAL, NEED, BLOOM_BITS = 8, 4, 8, 23
 #: Items of WINDOW to LONG - 1 tokens have windows of SHORT symbols as well, of which SHORT_LITERAL are literal.
 SHORT, SHORT_LITERAL, LONG = 4, 1, 32
 #: Diagonals of a narrow band.
 SHIFT = 4
-_TOKEN = re.compile(r"[.!?\n]+|\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%€$£°]")
 #: Words read as numbers, and units.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty "
                          "forty fifty sixty seventy eighty ninety hundred thousand million".split())
@@ -66,10 +62,8 @@ UNITS = frozenset("km m cm mm kg g mg t l ml cl s ms min h hr kb mb gb mph kmh k
                   "ounces liter liters litre litres second seconds minute minutes hour hours day days week weeks month "
                   "months year years dollar dollars cent cents euro euros percent degree degrees".split())
 _BREAK, _WORD, _CAP, _NUM, _UNIT, _SIGN, _NUMWORD = range(7)
-#: Token table of a Python worker is dropped at this size (memory bound).
-CACHE = 400_000
-#: Rows whose tokens are handled together.
-ROWS = 256
+#: Bytes of text whose tokens are handled together; a longer text is a slice of its own.
+SLICE = 1 << 19
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = {_NUM: "<num>", _CAP: "<name>", _UNIT: "<unit>", _SIGN: "<unit>"}
 PLAIN, START, NAME, WHOLE = "plain", "start", "name", "whole"
@@ -91,60 +85,97 @@ _PLACE_HASH = {k: np.uint64(_digest(v)) for k, v in _PLACE.items()}
 
 
 _SPECIAL = dict.fromkeys(UNITS, _UNIT) | dict.fromkeys("%€$£°", _SIGN) | dict.fromkeys(NUMBER_WORDS, _NUMWORD)
+#: What a character starts or continues (low three bits), and what else it is.
+_LETTER, _DIGIT, _MARK, _SIGNS = range(1, 5)
+_JOINS_LETTERS, _JOINS_DIGITS, _UPPER, _TITLE, _LOWER, _ISDIGIT, _KNOWN = (1 << k for k in range(3, 10))
+_BASE = 0x9E3779B97F4A7C15 | 1
 
 
-def _kind(tok: str) -> tuple[int, int]:
-    """(kind, hash of the lowered token)."""
-    head = tok[0]
-    if head in ".!?\n":
-        return _BREAK, 0
-    low = tok.lower()
-    digest = _digest(low)
-    if head.isdigit():
-        return _NUM, digest
-    kind = _SPECIAL.get(low)
-    if kind is not None:
-        return kind, digest
-    return (_CAP if low is not tok and len(tok) > 1 and head.isupper() and tok[1:].islower() else _WORD), digest
-
-
-class Words(dict):
-    """Number of each token, with its kind and hash in tables."""
+class Alphabet:
+    """Class and hash of every character met so far; hashes do not tell capitals, nor forms of sigma, apart."""
 
     def __init__(self):
-        self.kinds, self.hashes = array("b"), array("Q")
+        self.flags, self.codes = np.zeros(0x110000, np.uint16), np.zeros(0x110000, np.uint64)
+        self.power = self.inverse = np.ones(1, np.uint64)
+        self._learn({*range(0x250), *map(ord, "".join(_SPECIAL))})
+        words = sorted((int(self.hashes(np.frombuffer(w.encode("utf-32-le"), np.uint32), [0], [len(w)])[0]), k)
+                       for w, k in _SPECIAL.items())
+        self.special = np.array([h for h, _ in words], np.uint64), np.array([k for _, k in words], np.int8)
+
+    def _learn(self, points):
+        for n in points:
+            c = chr(n)
+            flag = (_LETTER if c.isalnum() and not c.isdecimal() else _DIGIT if c.isdecimal() else _MARK if c in ".!?\n"
+                    else _SIGNS if c in "%€$£°" else 0)
+            for bit, has in ((_JOINS_LETTERS, c in "'’"), (_JOINS_DIGITS, c in ".,:/"), (_UPPER, c.isupper()),
+                             (_TITLE, c.istitle()), (_LOWER, c.islower()), (_ISDIGIT, c.isdigit())):
+                flag |= bit * has
+            self.flags[n] = flag | _KNOWN
+            self.codes[n] = _digest(c.lower().replace("ς", "σ"))
+
+    def classes(self, points: np.ndarray) -> np.ndarray:
+        flags = self.flags[points]
+        if not flags.all():
+            self._learn(np.unique(points[flags == 0]).tolist())
+            flags = self.flags[points]
+        return flags
+
+    def hashes(self, points: np.ndarray, start, end) -> np.ndarray:
+        """Hash of each run of characters: a polynomial of their codes, from one running sum."""
+        if len(self.power) <= len(points):
+            n = len(points) + (len(points) >> 2) + 1
+            for name, base in (("power", _BASE), ("inverse", pow(_BASE, -1, 1 << 64))):
+                row = np.full(n, base, np.uint64)
+                row[0] = 1
+                setattr(self, name, np.multiply.accumulate(row))
+        total = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(self.codes[points] * self.power[:len(points)], out=total[1:])
+        return _mix((total[end] - total[start]) * self.inverse[start])
 
-    def __missing__(self, tok):
-        kind, digest = _kind(tok)
-        self.kinds.append(kind)
-        self.hashes.append(digest)
-        n = self[tok] = len(self.kinds) - 1
-        return n
 
-    def tables(self):
-        """(kind, hash) of the tokens by number; a copy, as the table goes on growing."""
-        return np.array(self.kinds, np.int8), np.array(self.hashes, np.uint64)
+class Tokens:
+    """Tokens of some texts in one run, sentence breaks removed: kind, hash, text number, position, first of a sentence.
 
+    Tokens are runs of ``.!?`` and newlines (breaks), digits with single ``.,:/``
+    between them, letters with single apostrophes between them, and single signs.
+    """
 
-class Tokens:
-    """Tokens of some texts in one run, sentence breaks removed: kind, hash, text number, position, first of a sentence."""
-
-    def __init__(self, texts, words: Words):
-        toks: list = []
-        ends = []
-        for t in texts:
-            toks += _TOKEN.findall(t or "")
-            ends.append(len(toks))
-        code = np.fromiter(map(words.__getitem__, toks), np.int64, len(toks))
-        kinds, hashes = words.tables()
-        kind, doc = kinds[code], np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    def __init__(self, texts, alphabet: Alphabet):
+        texts = [t or "" for t in texts]
+        self.joined = "\0".join(["", *texts, ""])  # a character before and after each text that belongs to no token
+        points = np.frombuffer(self.joined.encode("utf-32-le"), np.uint32)
+        flags = alphabet.classes(points)
+        group = (flags & 7).astype(np.uint8)
+        joins = [(at[(group[at - 1] == g) & (group[at + 1] == g)], g) for at, g in (
+            (np.flatnonzero(flags & _JOINS_LETTERS), _LETTER), (np.flatnonzero(flags & _JOINS_DIGITS), _DIGIT))]
+        for at, g in joins:
+            group[at] = g
+        edge, single = group[1:] != group[:-1], group == _SIGNS
+        start = np.flatnonzero((np.append(True, edge) | single) & (group > 0))
+        end = np.flatnonzero((np.append(edge, True) | single) & (group > 0)) + 1
+        hash_ = alphabet.hashes(points, start, end)
+        head, heads = group[start], flags[start]
+        up, low = (np.cumsum((flags & bits) > 0, dtype=np.int32) for bits in (_UPPER | _TITLE, _LOWER))
+        kind = np.full(len(start), _WORD, np.int8)
+        kind[((heads & _UPPER) > 0) & (up[end - 1] == up[start]) & (low[end - 1] > low[start])] = _CAP
+        words, kinds = alphabet.special
+        at = np.minimum(np.searchsorted(words, hash_), len(words) - 1)
+        kind = np.where(words[at] == hash_, kinds[at], kind)
+        kind[(heads & _ISDIGIT) > 0] = _NUM
+        kind[head == _MARK] = _BREAK
+        ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)  # of each text in ``joined``
+        doc = np.searchsorted(ends, start)
         first = np.append(True, (kind[:-1] == _BREAK) | (doc[1:] != doc[:-1]))[:len(kind)]
         keep = np.flatnonzero(kind != _BREAK)
-        self.toks, self.at = toks, keep
-        self.kind, self.hash, self.doc, self.first = kind[keep], hashes[code][keep], doc[keep], first[keep]
-        self.size = np.bincount(self.doc, minlength=len(ends))
+        self.start, self.stop = start[keep], end[keep]
+        self.kind, self.hash, self.doc, self.first = kind[keep], hash_[keep], doc[keep], first[keep]
+        self.size = np.bincount(self.doc, minlength=len(texts))
         self.pos = np.arange(len(keep)) - (np.cumsum(self.size) - self.size)[self.doc]
 
+    def lowered(self, a: int, b: int) -> str:
+        """Tokens ``a`` to ``b`` in lower case."""
+        return " ".join(self.joined[s:e].lower() for s, e in zip(self.start[a:b].tolist(), self.stop[a:b].tolist()))
+
 
 class Form:
     """One reading of the tokens: which of them are slots, and the symbols that windows are made of."""
@@ -189,8 +220,7 @@ class Form:
 
     def text(self, i: int, span: int) -> tuple[str, list[str]]:
         """(canonical text, slot values) of the window at symbol ``i``."""
-        own = [" ".join(self.t.toks[k].lower() for k in self.t.at[a:b])
-               for a, b in zip(self.first[i:i + span], self.end[i:i + span])]
+        own = [self.t.lowered(a, b) for a, b in zip(self.first[i:i + span].tolist(), self.end[i:i + span].tolist())]
         kinds = self.slot[i:i + span].tolist()
         return (" ".join([f"{self.name}{span}", *(t if s < 0 else _PLACE[s] for t, s in zip(own, kinds))]),
                 [f"{_PLACE[s]}{t}" for t, s in zip(own, kinds) if s >= 0])
@@ -222,12 +252,10 @@ def windows(df: DataFrame, id_col: str, text_col: str, bloom: np.ndarray | None
     packed = None if bloom is None else np.packbits(bloom)
 
     def run(batches):
-        words = Words()
+        alphabet = Alphabet()
         bloom = None if packed is None else np.unpackbits(packed).astype(bool)
-        for b in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
-            if len(words) >= CACHE:
-                words = Words()
-            t = Tokens(b.column(2).to_pylist(), words)
+        for b in (part for batch in batches for part in byte_slices(batch, 2, SLICE)):
+            t = Tokens(b.column(2).to_pylist(), alphabet)
             rows: list = [[] for _ in range(10)]
             f = None
             for name, span in kinds:
@@ -240,7 +268,8 @@ def windows(df: DataFrame, id_col: str, text_col: str, bloom: np.ndarray | None
                 n = np.bincount(f.doc[at], minlength=b.num_rows)
                 if bloom is not None:
                     one, two = _bits(h, len(bloom))
-                    hit = np.flatnonzero(bloom[one] & bloom[two])
+                    hit = np.flatnonzero(bloom[one])
+                    hit = hit[bloom[two[hit]]]
                     if name == WHOLE:
                         hit = hit[np.sort(np.unique(np.stack([f.doc[at[hit]].astype(np.uint64), h[hit]]), axis=1, return_index=True)[1])]
                     at, h = at[hit], h[hit]
