@@ -71,6 +71,25 @@ def byte_slices(batch: pa.RecordBatch, col: int, most: int = 4 << 20):
         lo = hi
 
 
+class RunHash:
+    """64-bit hashes of runs of an array of codes: a polynomial in ``base``, from one running sum."""
+
+    def __init__(self, base: int):
+        self.bases = base | 1, pow(base | 1, -1, 1 << 64)
+        self.rows = [np.ones(1, np.uint64)] * 2
+
+    def __call__(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(self.rows[0]) <= len(codes):
+            self.rows = [np.full(len(codes) + (len(codes) >> 2) + 1, b, np.uint64) for b in self.bases]
+            for r in self.rows:
+                r[0] = 1
+                np.multiply.accumulate(r, out=r)
+        power, inverse = self.rows
+        total = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * power[:len(codes)], out=total[1:])
+        return (total[end] - total[start]) * inverse[start]
+
+
 def hash_fraction(*cols) -> "F.Column":
     """A deterministic uniform number in [0, 1) from the columns' values."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / F.lit(float(1 << 40))

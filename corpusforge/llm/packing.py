@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from array import array
 
 import numpy as np
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import byte_slices, running, staged
+from corpusforge.llm.common import RunHash, byte_slices, running, staged
 
 TIERS = (1024, 2048, 4096)
 STEP_TOKENS = 8 * 4096
@@ -51,8 +52,17 @@ _LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: The normalizer and pre-tokenizer with which a text's ids are those of its white-space separated words.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Stands for the end of a word in byte pairs; no UTF-8 text holds it.
-_END = b"\xff"
+#: Stands for the end of a word in byte pairs; a text that holds it is encoded word by word.
+_END = b"\x01"
+#: Bytes of text whose words are looked up together.
+SLICE = 1 << 19
+#: Characters that change neither by composition with a neighbour here nor, but for simple capitals, by lowering:
+#: Latin (without the dotted capital i), Cyrillic, common Han characters, Hangul syllables, punctuation, currency signs.
+_PLAIN = ((0, 0x130), (0x131, 0x300), (0x400, 0x460), (0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4))
+_SPACES = (*range(9, 14), 0x20, 0x85, 0xA0)
+#: Endings that the split pattern takes whole.
+_ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 
 
 def _by_word(spec: dict) -> bool:
@@ -64,7 +74,7 @@ def _by_word(spec: dict) -> bool:
 
 
 def _byte_pairs(spec: dict):
-    """bytes of a lower-case word and _END -> its ids, by the byte pairs of the vocabulary; None if it has no such form."""
+    """Byte-pair encoder of lower-case words, each closed by _END, with the vocabulary's merges; None if it has no such form."""
     import tiktoken
     model = spec["model"]
     end, order = model.get("end_of_word_suffix"), [model["vocab"].get("".join(m)) for m in model.get("merges", ()) if not isinstance(m, str)]
@@ -78,7 +88,7 @@ def _byte_pairs(spec: dict):
         core = token.removesuffix(end)
         if all(c in letter for c in core):
             ranks[bytes(letter[c] for c in core) + _END * (core != token)] = n
-    return tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    return tiktoken.Encoding("words", pat_str="[^\x01]+\x01", mergeable_ranks=ranks, special_tokens={})
 
 
 class _Words(dict):
@@ -91,15 +101,30 @@ class _Words(dict):
         self.by_word = _by_word(spec)
         self.pairs = _byte_pairs(spec) if self.by_word else None
         probes = ("a", "words", "straße", "été", "niño", "œuvre", "zqxj", "antidisestablishmentarianism")
-        if self.pairs and any(self.pairs(w.encode() + _END) != self.whole(w) for w in probes):
+        if self.pairs and any(self.piece(w.encode()) != self.whole(w) for w in probes):
             self.pairs = None
+        self.kinds = None
+        if self.pairs:
+            self.closing = np.zeros(self.pairs.max_token_value + 1, bool)
+            self.closing[[n for b, n in self.pairs._mergeable_ranks.items() if len(b) > 1 and b.endswith(_END)]] = True
+        self.runs = RunHash(0x9E3779B97F4A7C15), RunHash(0xD1B54A32D192ED03)
+        self.forget()
+
+    def forget(self):
+        """Drop the word table: sorted hashes, second hashes, place and number of a word's ids in ``pool``."""
+        self.clear()
+        self.known = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64)]
+        self.pool = np.zeros(0, np.uint32)
+
+    def piece(self, word: bytes) -> list[int]:
+        return self.pairs.encode_ordinary(word.decode() + _END.decode())
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, word: bytes) -> bytes:
         if self.pairs and _SMALL.fullmatch(word):
-            ids = self[word] = array("I", self.pairs(word + _END)).tobytes()
+            ids = self[word] = array("I", self.piece(word)).tobytes()
             return ids
         # letters and a run of marks after them are pieces of their own ("word," is "word" and ","), and the
         # tokenizer lowers its input; such forms take a place only beside a word that has been seen before.
@@ -118,21 +143,96 @@ class _Words(dict):
         return ids
 
 
+    def kind_of(self) -> np.ndarray:
+        """Class of every character for the split pattern; 255 for those that are left to the tokenizer itself."""
+        if self.kinds is None:
+            self.kinds = np.full(0x110000, 255, np.uint8)
+            for lo, hi in _PLAIN:
+                if hi - lo > 5000:
+                    self.kinds[lo:hi] = _LETTER
+                    continue
+                for n in range(lo, hi):
+                    major = unicodedata.category(chr(n))[0]
+                    self.kinds[n] = _LETTER if major == "L" else _NUMBER if major == "N" else 255 if major == "M" else _OTHER
+            self.kinds[list(_SPACES)] = _SPACE
+            self.kinds[_END[0]] = 255
+        return self.kinds
+
+    def words(self, texts: list[str]):
+        """Lowered texts in one and as code points; start, end and text of each word of plain texts; which texts are not plain."""
+        low = [t.lower() for t in texts]
+        joined = "".join(f"{t}\n" for t in low)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kind = self.kind_of()[points]
+        ends = np.cumsum([len(t) + 1 for t in low], dtype=np.int64)
+        odd = np.array(["<|" in t for t in low], bool)
+        odd[np.searchsorted(ends, np.flatnonzero(kind == 255), "right")] = True
+        # words begin where the class changes, and at every number
+        starts = np.append(True, kind[1:] != kind[:-1]) | (kind == _NUMBER)
+        quote = np.flatnonzero(points == 39)
+        quote = quote[starts[quote]]
+        for ending in _ENDINGS:
+            at = quote[quote + len(ending) < len(points)]
+            for k, c in enumerate(ending, 1):
+                at = at[points[at + k] == ord(c)]
+            starts[at + 1] = False
+            starts[at + len(ending) + 1] = True  # at most the line end after the text
+        keep = kind != _SPACE
+        start, end = np.flatnonzero(starts & keep), np.flatnonzero(np.append(starts[1:], True) & keep) + 1
+        doc = np.searchsorted(ends, start, "right")
+        plain = ~odd[doc]
+        return joined, points, start[plain], end[plain], doc[plain], odd
+
+    def encode_words(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of each text, every distinct word encoded once; None where a text is not plain."""
+        if len(self.known[0]) > CACHE:
+            self.forget()
+        joined, points, start, end, doc, odd = self.words(texts)
+        codes = points.astype(np.uint64) + np.uint64(1)  # no character is nought to the hashes
+        one, two = (run(codes, start, end) for run in self.runs)
+        own, first, which = np.unique(one, return_index=True, return_inverse=True)
+        hashes, others, _, _ = self.known
+        at = np.searchsorted(hashes, own)
+        new = np.flatnonzero(np.append(hashes, np.uint64(0))[at] != own) if len(hashes) else np.arange(len(own))
+        new = np.union1d(new, np.flatnonzero(at == len(hashes)))
+        if len(new):
+            spans = zip(start[first[new]].tolist(), end[first[new]].tolist())
+            ids = self.pairs.encode_to_numpy("".join([joined[a:b] + "\x01" for a, b in spans]), disallowed_special=())
+            stop = np.flatnonzero(self.closing[ids]) + 1
+            size = np.diff(stop, prepend=0)
+            rows = own[new], two[first[new]], stop - size + len(self.pool), size
+            self.known = [np.insert(k, at[new], r) for k, r in zip(self.known, rows)]
+            self.pool = np.append(self.pool, ids)
+            at = np.searchsorted(self.known[0], own)
+        _, others, place, size = (k[at][which] for k in self.known)
+        odd[doc[others != two]] = True  # two words with one hash: their texts go the other way
+        # the words' ids, one after another
+        upto = np.cumsum(size)
+        out = self.pool[np.repeat(place - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)].astype("<u4").tobytes()
+        cut = np.append(0, upto)[np.searchsorted(doc, np.arange(len(texts) + 1))] * 4
+        return [None if bad else out[a:b] for bad, a, b in zip(odd.tolist(), cut.tolist(), cut[1:].tolist())]
+
+
 def _encode(known: _Words, texts: list) -> list[bytes]:
     """Ids (little-endian uint32) of each text and the end id.
 
-    Where the tokenizer drops white space and no token spans it, a text's ids are
-    those of its white-space separated words, and each distinct word is encoded
-    once; any other tokenizer is given whole texts.
+    Where the tokenizer drops white space and no token spans it, words are cut and
+    looked up by array operations, each distinct one encoded once by the byte pairs
+    of the vocabulary. A
+    text with characters outside _PLAIN or a control string is encoded word by
+    word through the tokenizer, each distinct word once; a tokenizer of another
+    kind is given whole texts.
     """
-    end, out = np.array([END_ID], "<u4").tobytes(), []
-    for t in texts:
-        if not known.by_word:
-            out.append(np.array(known.whole(t or ""), "<u4").tobytes() + end)
+    end, out, texts = np.array([END_ID], "<u4").tobytes(), [], [t or "" for t in texts]
+    if not known.by_word:
+        return [np.array(known.whole(t), "<u4").tobytes() + end for t in texts]
+    for t, ids in zip(texts, known.encode_words(texts) if known.pairs else [None] * len(texts)):
+        if ids is not None:
+            out.append(ids + end)
             continue
         if len(known) > CACHE:
-            known.clear()
-        out.append(b"".join(map(known.__getitem__, (t or "").encode("utf-8", "replace").split())) + end)
+            known.forget()
+        out.append(b"".join(map(known.__getitem__, t.encode("utf-8", "replace").split())) + end)
     return out
 
 
@@ -144,7 +244,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     def run(batches):
         known = _Words(tokenizer_path)
         for b in batches:
-            for part in byte_slices(b, 1):
+            for part in byte_slices(b, 1, SLICE):
                 ids = _encode(known, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
                                                   pa.array(ids, pa.binary())], names=schema.names)
