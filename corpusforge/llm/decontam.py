@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import byte_slices, fresh, staged
+from corpusforge.llm.common import RunHash, byte_slices, fresh, staged
 
 WINDOW, LITERAL, NEED, BLOOM_BITS = 8, 4, 8, 23
 #: Items of WINDOW to LONG - 1 tokens have windows of SHORT symbols as well, of which SHORT_LITERAL are literal.
@@ -88,7 +88,6 @@ _SPECIAL = dict.fromkeys(UNITS, _UNIT) | dict.fromkeys("%€$£°", _SIGN) | dic
 #: What a character starts or continues (low three bits), and what else it is.
 _LETTER, _DIGIT, _MARK, _SIGNS = range(1, 5)
 _JOINS_LETTERS, _JOINS_DIGITS, _UPPER, _TITLE, _LOWER, _ISDIGIT, _KNOWN = (1 << k for k in range(3, 10))
-_BASE = 0x9E3779B97F4A7C15 | 1
 
 
 class Alphabet:
@@ -96,9 +95,9 @@ class Alphabet:
 
     def __init__(self):
         self.flags, self.codes = np.zeros(0x110000, np.uint16), np.zeros(0x110000, np.uint64)
-        self.power = self.inverse = np.ones(1, np.uint64)
+        self.runs = RunHash(0x9E3779B97F4A7C15)
         self._learn({*range(0x250), *map(ord, "".join(_SPECIAL))})
-        words = sorted((int(self.hashes(np.frombuffer(w.encode("utf-32-le"), np.uint32), [0], [len(w)])[0]), k)
+        words = sorted((int(self.hashes(np.frombuffer(w.encode("utf-32-le"), np.uint32), np.array([0]), np.array([len(w)]))[0]), k)
                        for w, k in _SPECIAL.items())
         self.special = np.array([h for h, _ in words], np.uint64), np.array([k for _, k in words], np.int8)
 
@@ -121,16 +120,8 @@ class Alphabet:
         return flags
 
     def hashes(self, points: np.ndarray, start, end) -> np.ndarray:
-        """Hash of each run of characters: a polynomial of their codes, from one running sum."""
-        if len(self.power) <= len(points):
-            n = len(points) + (len(points) >> 2) + 1
-            for name, base in (("power", _BASE), ("inverse", pow(_BASE, -1, 1 << 64))):
-                row = np.full(n, base, np.uint64)
-                row[0] = 1
-                setattr(self, name, np.multiply.accumulate(row))
-        total = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(self.codes[points] * self.power[:len(points)], out=total[1:])
-        return _mix((total[end] - total[start]) * self.inverse[start])
+        """Hash of each run of characters, capitals as small letters."""
+        return _mix(self.runs(self.codes[points], start, end))
 
 
 class Tokens:
