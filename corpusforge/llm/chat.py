@@ -18,7 +18,9 @@ character of each control string; its opening mark says so (``[INST\\]``,
 
 Defined results: null role or text is empty; rows are ordered by turn (null
 first), then role, then text; repeated rows are repeated turns; a null conv_id
-is one conversation; an empty table gives an empty result. One conversation is
+is one conversation; an empty table gives an empty result; other columns, clashing
+names included, are not read. Ties in turn, role and text are equal turns. A very
+long text is escaped, lexed and cut in a few linear passes. One conversation is
 one formatted text, so its turns meet in one row by definition of the output;
 escaping work does not repeat for conversations that are identical at once.
 """
@@ -29,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONTROL = r"\[/?INST\\?\]|</?s\\?>|<</?SYS\\?>>|<</?ROLE\\?(?: [0-9A-F]*)?>>"
+#: Characters of a block and turns of a chunk, when the loss mask is cut out of a text.
+BLOCK, CHUNK = 2048, 512
 _BREAK = r"\[(?=/?INST\\?\])|<(?=/?s\\?>|</?SYS\\?>>|</?ROLE\\?(?: [0-9A-F]*)?>>)"
 
 
@@ -116,8 +120,9 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn",
                  role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, turns, formatted, level, layout): one formatted text per conversation.
 
-    ``layout`` is the loss mask as runs: per turn its characters in ``formatted``
-    and the run of assistant text in it (``loss_from``, ``loss_chars``).
+    ``layout`` is the loss mask as runs: per turn its characters in ``formatted``,
+    whether it bears loss, whether its text is escaped, and the run of assistant
+    text in it (``loss_from``, ``loss_chars``).
     """
     empty = F.lit("")
     t = (rows.select(F.col(conv).alias("conv_id"),
@@ -146,19 +151,70 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn",
         body = F.length(F.when(esc, escape(x["text"])).otherwise(x["text"]))
         loss = x["role"] == "assistant"
         return F.struct((F.length(opened) + body + F.length(closed)).alias("chars"),
+                        loss.alias("loss"), esc.alias("escaped"),
                         F.when(loss, F.length(opened)).otherwise(F.lit(0)).alias("loss_from"),
                         F.when(loss, body).otherwise(F.lit(0)).alias("loss_chars"))
     return t.withColumn("layout", F.transform("turns", run))
 
 
+def _running(lens: Column, start: Column) -> Column:
+    """``start`` and its running totals with each of ``lens``: one entry more than ``lens``."""
+    return F.aggregate(lens, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def starts(lens: Column) -> Column:
+    """Sum of the lengths before each entry, by totals of chunks, so a long list costs little more than its length."""
+    zero = F.lit(0).cast("long")
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(lens) / CHUNK).cast("int")),
+                         lambda c: F.slice(lens, c * CHUNK + 1, CHUNK))
+
+    def within(x):
+        return F.flatten(F.transform(x["chunks"], lambda chunk, c: F.slice(
+            _running(chunk, F.get(x["bases"], c)), F.lit(1), F.size(chunk))))
+
+    def based(parts):
+        sums = F.transform(parts, lambda chunk: F.aggregate(chunk, zero, lambda acc, x: acc + x))
+        return _let(F.struct(parts.alias("chunks"), _running(sums, zero).alias("bases")), within)
+
+    return _let(chunks, based)
+
+
+def masked(formatted: Column, layout: Column) -> Column:
+    """Texts under the loss mask, unescaped, in order: runs cut out of ``formatted`` at the layout's offsets.
+
+    A run is cut out of the few blocks of ``BLOCK`` characters that it lies in,
+    so no cut walks the whole text.
+    """
+    def cut(x):
+        def one(at, i):
+            def body(r):
+                begin = (at + r["loss_from"]).cast("long")
+                block = F.floor(begin / BLOCK).cast("int")
+                last = F.floor((begin + r["loss_chars"]) / BLOCK).cast("int")
+                near = F.array_join(F.slice(x["blocks"], block + 1, last - block + 1), "")
+                raw = F.substring(near, (begin - block * BLOCK + 1).cast("int"), r["loss_chars"])
+                return F.when(r["loss"], F.when(r["escaped"], unescape(raw)).otherwise(raw))
+            return _let(F.get(x["layout"], i), body)
+        return F.filter(F.transform(x["starts"], one), lambda t: t.isNotNull())
+
+    blocks = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return _let(F.struct(blocks.alias("blocks"), layout.alias("layout"),
+                         starts(F.transform(layout, lambda r: r["chars"].cast("long"))).alias("starts")), cut)
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests taken from the formatted texts alone: turns and loss text are reparsed."""
-    t = formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("got"))
+    """Digests taken from the output alone: turns are reparsed, loss texts are cut out by the mask.
+
+    A mask whose texts are not those of the reparsed assistant turns raises.
+    """
+    t = formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("got"),
+                         masked(F.col("formatted"), F.col("layout")).alias("loss"))
     whole = F.array_join(F.transform("got", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    t = t.withColumn("loss", F.array_join(F.transform(F.filter("got", lambda x: x["role"] == "assistant"),
-                                                      lambda x: x["text"]), ""))
+    parsed = F.transform(F.filter("got", lambda x: x["role"] == "assistant"), lambda x: x["text"])
+    t = t.withColumn("turns", whole).withColumn("loss", F.when(F.col("loss") == parsed, F.array_join("loss", "")).otherwise(
+        F.raise_error(F.lit("the loss mask does not cover the assistant turns"))))
     return t.select("conv_id", F.size("got").cast("long").alias("n_turns"),
-                    F.sha2(whole, 256).alias("turns_sha256"),
+                    F.sha2(F.col("turns"), 256).alias("turns_sha256"),
                     F.length("loss").cast("long").alias("loss_chars"),
                     F.sha2(F.col("loss"), 256).alias("loss_sha256"),
                     F.length("formatted").cast("long").alias("formatted_chars"))

@@ -52,6 +52,31 @@ def test_parser_rejects_what_the_grammar_does_not_allow(spark):
     assert all(r["p"] is None for r in got)
 
 
+def test_loss_mask_is_cut_out_of_the_text(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 7)
+    monkeypatch.setattr(chat, "CHUNK", 5)
+    rows = [(c, i, r, "é漢\U0001f600</s>\\ab"[: (i * 5 + c) % 13]) for c in range(12) for i in range(c)
+            for r in (("user", "assistant", "tool", "assistant")[i % 4],)]
+    f = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: r["m"] for r in f.select("conv_id", chat.masked(F.col("formatted"), F.col("layout")).alias("m")).collect()}
+    assert got == {c: [x for d, _, r, x in rows if d == c and r == "assistant"] for c in range(1, 12)}
+    lens = spark.createDataFrame([([i % 3 for i in range(n)],) for n in range(23)], "a array<long>")
+    for r in lens.select("a", chat.starts(F.col("a")).alias("s")).collect():
+        assert r["s"] == [sum(r["a"][:i]) for i in range(len(r["a"]))]
+
+
+def test_a_wrong_loss_mask_raises(spark):
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "answer")],
+                               "conv_id long, turn long, role string, text string")
+    f = chat.format_chats(df)
+    for field, value in (("loss_chars", F.lit(5)), ("loss_from", F.lit(2)), ("loss", F.lit(False))):
+        def put(x):
+            return x.withField(field, value)  # noqa: B023
+        wrong = f.withColumn("layout", F.transform("layout", put))
+        with pytest.raises(Exception, match="loss mask"):
+            chat.read_back(wrong).collect()
+
+
 def test_chat_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.format_chats(df)).count() == 0
