@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pathlib
+import os
 import uuid
 
 from pyspark.sql import DataFrame
@@ -83,20 +83,21 @@ def export_text_files(df: DataFrame, folder: str, name_col: str, text_col: str,
 
     Needs a shared folder that executors mount. Every row ends up as a file or
     the job fails: a row without a name and a write error both raise. Files are
-    put in place whole, so a retried task leaves the same folder.
+    put in place whole, so a retried task leaves the same folder. A task writes
+    through one hidden file of its own: the folder's lock is what many tasks wait for.
     """
     nameless = df.filter(F.col(name_col).isNull()).limit(1).count()
     if nameless:
         raise ValueError(f"{name_col} is null in a row to export")
 
     def put(batches):
-        root = pathlib.Path(folder)
-        root.mkdir(parents=True, exist_ok=True)
+        os.makedirs(folder, exist_ok=True)
+        part = os.path.join(folder, f".{uuid.uuid4().hex}")
         for pdf in batches:
             for name, body in zip(pdf[name_col], pdf[text_col].fillna("")):
-                part = root / f".{name}.{uuid.uuid4().hex}"
-                part.write_bytes(body.encode(encoding))
-                part.replace(root / name)
+                with open(part, "wb") as f:
+                    f.write(body.encode(encoding))
+                os.replace(part, os.path.join(folder, name))
             yield pdf[[name_col]]
     wrote = df.select(name_col, text_col).mapInPandas(put, df.select(name_col).schema)
     wrote.write.format("noop").mode("overwrite").save()
