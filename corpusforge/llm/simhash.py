@@ -14,7 +14,8 @@ never paired); a long posting list is cut into blocks and every pair of blocks
 is its own group, so no task holds more than two blocks; a group emits a
 spanning forest of its links, never all pairs. Components come from
 alternating large-star and small-star rounds over those links, each round
-written to the shared folder.
+written to the shared folder. The rows that ``keep_one`` keeps are marked in
+bitmaps of their row ids, so texts stay where they lie.
 
 Defined results: null text, empty text and text without a word have
 fingerprint 0 and link like any other; repeated rows are one group; a null id
@@ -37,6 +38,8 @@ from corpusforge.llm.common import fresh, staged
 SEED = 42
 #: Fingerprints of one block of a long posting list; a group holds two at most.
 BLOCK = 2048
+#: Bitmaps of kept rows (4 KB each, for 32,768 row ids) that are sent to all tasks at most; beyond that rows move to meet their winners.
+MAX_BITMAPS = 4096
 #: Position sets: the byte triples of each half of the fingerprint.
 TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
 _SLICE = 65536
@@ -227,4 +230,17 @@ def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 3, id_col: str = "do
     # of the winner's rows (same id and fingerprint) the first one stays
     kept = (marked.join(groups, (marked["fp"] == groups["winner_fp"]) & marked["id"].eqNullSafe(groups["winner_id"]), "left_semi")
             .groupBy("fp").agg(F.min("rid").alias(rid)).select(rid))
-    return marks.join(staged(kept, "simhash-winners"), rid, "left_semi").select(*docs.columns)
+    return _where_kept(marks, staged(kept, "simhash-winners"), rid).select(*docs.columns)
+
+
+def _where_kept(rows: DataFrame, kept: DataFrame, rid: str) -> DataFrame:
+    """Rows whose unique id ``rid`` is in ``kept``, left where they lie: one bit a row id is sent, no text moves."""
+    bucket, bits = fresh(rows.columns, "cf_bucket", "cf_bits")
+    maps = staged(kept.groupBy(F.bitmap_bucket_number(rid).alias(bucket))
+                  .agg(F.bitmap_construct_agg(F.bitmap_bit_position(rid)).alias(bits)), "simhash-kept")
+    if maps.count() > MAX_BITMAPS:
+        return rows.join(kept, rid, "left_semi")
+    at = F.bitmap_bit_position(rid)
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(maps), (F.bitmap_bucket_number(rid) == F.col(bucket)) &
+                     (byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0), "left_semi")
