@@ -153,3 +153,33 @@ def test_type_counts_equal_a_plain_count(spark):
     assert got == Counter({("x", "a", False, None): 1, ("x", "b", True, "c"): 1, ("x", "c", False, None): 1, ("x", "##number##", True, "b"): 1,
                            ("x", "b", True, "d"): 1, ("x", "d", True, "e"): 1, ("x", "e", False, None): 1, ("x", "b", True, "b"): 1,
                            ("x", "b", False, None): 1, (None, "z", True, None): 1})
+
+
+def test_a_long_next_word_is_read_whole():
+    long = "Q" + "x" * 120
+    kinds = {"abbreviation": {"no"}, "starter": {long.lower()}}
+    assert sentences.split_lines(f"See no. {long} is it.", kinds) == f"See no.\n{long} is it."
+    assert sentences.split_lines(f"See no. {long} is it.", kinds | {"starter": {long.lower()[:80]}}) == f"See no. {long} is it."
+
+
+def test_a_model_keeps_every_entry(spark):
+    # 20,050 abbreviations of one language, each 40 times before a period
+    words = ["q" + "".join(chr(97 + i // 26 ** k % 26) for k in range(3)) + "." + chr(97 + i % 7) for i in range(20_050)]
+    counts = spark.createDataFrame([("x", w, True, "a", 40) for w in words] + [("x", "a", False, None, 40_000_000)],
+                                   "lang string, type string, dot boolean, next string, n long")
+    n = sentences.statistics(counts).where("kind = 'abbreviation'").count()
+    model = sentences.Boundaries(sentences.statistics(counts).select("lang", "kind", "a", "b"))
+    assert n == len(set(words)) > 20_000 and len(model.kinds["x"]["abbreviation"]) == n
+
+
+def test_a_large_model_is_joined_with_equal_lines(spark, monkeypatch):
+    docs = _corpus(spark).withColumn("two", F.concat(F.lit("No. 3. The end. "), "text")).repartition(3)
+    docs = docs.unionByName(docs.where("doc_id < 3"))  # rows that come twice
+    cut = lambda m: sorted((tuple(r) for r in sentences.with_lines(docs, ["text", "two"], "lang", m).collect()), key=repr)
+    small = sentences.learn(docs, "text", "lang")
+    want = cut(small)
+    monkeypatch.setattr(sentences, "MAX_BROADCAST_ENTRIES", 1)
+    monkeypatch.setattr(sentences, "BLOCK_ASKED", 10)
+    large = sentences.learn(docs, "text", "lang")
+    assert small.kinds is not None and large.kinds is None
+    assert cut(large) == want and any("\n" in (r[2] or "") for r in want)
