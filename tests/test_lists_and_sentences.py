@@ -183,3 +183,22 @@ def test_a_large_model_is_joined_with_equal_lines(spark, monkeypatch):
     large = sentences.learn(docs, "text", "lang")
     assert small.kinds is not None and large.kinds is None
     assert cut(large) == want and any("\n" in (r[2] or "") for r in want)
+
+
+def test_words_are_counted_before_they_become_types(spark, monkeypatch):
+    from collections import Counter
+    texts = ["A b. (C) 12. b. D... e", " Dr. ", "x y. z\u0085q. \x1cb. c\tD.\nE ٣. Ⅳ. İs. ...", "", "   ", None, "a.b.c. Zz. Straße."]
+    docs = spark.createDataFrame([(None if i % 3 else "x", t) for i, t in enumerate(texts * 3)], "lang string, text string").repartition(2)
+    words = F.split("text", r"\s+")
+    bare = lambda w: F.lower(F.regexp_replace(F.regexp_replace(w, r"^[^\p{L}\p{N}]+", ""), r"[^\p{L}\p{N}.]+$", ""))
+    want = Counter()
+    for r in docs.select("lang", F.transform(words, bare).alias("w")).where("w IS NOT NULL").collect():
+        named = lambda w: sentences.NUMBER if (t := w.rstrip(".")).isascii() and t.isdigit() else t
+        for a, b in zip(r["w"], [*r["w"][1:], None]):
+            if named(a):
+                want[r["lang"], named(a), a.endswith("."), named(b) if a.endswith(".") and b is not None else None] += 1
+    monkeypatch.setattr(sentences, "HELD_WORDS", 3)  # handed over in many parts
+    counts = sentences.type_counts(docs, "text", "lang")
+    assert {(r["lang"], r["type"], r["dot"], r["next"]): r["n"] for r in counts.collect()} == want
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform" not in plan.lower() and "mapinarrow" in plan.lower()  # no regular expression is run on every word
