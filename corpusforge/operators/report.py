@@ -123,11 +123,11 @@ def nonpad_len(ids, pad: int = PAD_ID) -> Column:
 
 
 def mean_nonpad_len(df: DataFrame, group_cols: list[str], pred_ids: str, label_ids: str,
-                    pad: int = PAD_ID) -> DataFrame:
-    """Mean non-pad lengths of predictions and references."""
+                    pad: int = PAD_ID, also: tuple = ()) -> DataFrame:
+    """Mean non-pad lengths of predictions and references; ``also`` are more aggregates of the same rows."""
     return df.groupBy(*group_cols).agg(
         F.avg(nonpad_len(pred_ids, pad)).alias("mean_generated_len"),
-        F.avg(nonpad_len(label_ids, pad)).alias("mean_reference_len"))
+        F.avg(nonpad_len(label_ids, pad)).alias("mean_reference_len"), *also)
 
 
 def combined_loss(losses: DataFrame, alpha: float, keys=("step",)) -> DataFrame:

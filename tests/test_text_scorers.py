@@ -62,3 +62,38 @@ def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
     assert len(sizes) > 8 and max(sizes) < 100 and sorted(map(str, out.collect())) == sorted(map(str, d.collect()))
     pairs = fixtures.pred(spark, str(tmp_path), spread_out=True)
     assert sorted(map(str, pairs.collect())) == sorted(map(str, fixtures.pred(spark, str(tmp_path)).collect()))
+
+
+def _documents(path, n=30):
+    rng = random.Random(6)
+    words = ["Runs", "running", "the", "cat", "über", "No", "12", "sat"]
+    text = lambda: ". ".join(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))) for _ in range(6))
+    pq.write_table(pa.table({"doc_id": list(range(n)), "lang": ["en", "fr"] * (n // 2), "text": [text() for _ in range(n - 1)] + [None],
+                             "source": ["s"] * n}), path / "documents.parquet")
+
+
+def test_predictions_are_scored_and_measured_in_one_pass(spark, tmp_path):
+    from corpusforge.operators import report, tokens
+    from corpusforge.plans.catalog import REGISTRY
+    _documents(tmp_path)
+    out = REGISTRY["eval_predictions"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # the pairs, once
+    got = {r["run_id"]: r for r in out.collect()}
+    pairs = fixtures.paired_all(spark, str(tmp_path))
+    size = lambda c: F.avg(F.size(tokens.text_pieces(c))).alias(c)
+    for r in pairs.where("summary IS NOT NULL").groupBy("run_id").agg(size("summary"), size("output")).collect():
+        assert (got[r["run_id"]]["mean_generated_len"], got[r["run_id"]]["mean_reference_len"]) == (r["summary"], r["output"])
+    assert out.columns == ["run_id", "rouge1", "rouge2", "rougeL", "rougeLsum", "rouge_avg", "mean_generated_len", "mean_reference_len"]
+    df = spark.createDataFrame([("g", [1, 0], [2, 3], 1.0), ("g", [1, 5], [0, 0], 2.0), ("h", None, [4], None)], "g string, p array<int>, l array<int>, x double")
+    assert sorted(tuple(r) for r in report.mean_nonpad_len(df, ["g"], "p", "l", also=(F.avg("x").alias("x"),)).select("g", "mean_generated_len", "mean_reference_len", "x").collect()) \
+        == [("g", 1.5, 1.0, 1.5), ("h", None, 1.0, None)]
+
+
+def test_pieces_are_counted_in_batches(spark):
+    from corpusforge.operators import tokens
+    df = spark.createDataFrame([(["a", "b", "a", None],), (None,), ([],), (["b", "a", "<|im_end|>"],), (["c"],)], "p array<string>").repartition(2)
+    v = tokens.build_vocabulary(df, "p", None)
+    assert sorted(tuple(r) for r in v.collect()) == [("a", 4, 3), ("b", 5, 2), ("c", 6, 1)]
+    plan = tokens.build_vocabulary(df, "p", 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
