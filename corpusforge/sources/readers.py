@@ -21,7 +21,7 @@ RECORD_SCHEMA = T.StructType([
     T.StructField("rationale_prompt", T.StringType()),
 ])
 
-LANG_FROM_NAME = r"_([a-z]+)\.json$"
+LANG_FROM_NAME = r"_([a-z]+)\.json(\.gz)?$"
 
 #: Files of a text folder that a task reads, and the bytes of their rows that it hands over at a time.
 FILES_PER_TASK = 10_000

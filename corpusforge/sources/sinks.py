@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS_PER_ARRAY_FILE = 50_000
-#: Text bytes of one JSON-array file, on average; it is built in one cell.
+#: Text bytes that end a JSON-array file; it is built in one cell.
 BYTES_PER_ARRAY_FILE = 64 << 20
 
 
@@ -28,25 +30,43 @@ def write_predictions(df: DataFrame, path: str, by=("subtask", "run_id")) -> Non
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def write_json_arrays(df: DataFrame, path: str, group_col: str, key_col: str,
-                      name: str = "records", rows_per_file: int = ROWS_PER_ARRAY_FILE) -> list[str]:
-    """One JSON array per file, named '<name>-<bucket>_<group>.json'.
+def write_json_arrays(df: DataFrame, path: str, group_col: str, key_col: str, name: str = "records",
+                      rows_per_file: int = ROWS_PER_ARRAY_FILE, compression: str = "none") -> list[str]:
+    """One JSON array per file, named '<name>-<bucket>_<group>.json' (and '.gz' with ``compression`` "gzip").
 
-    A group's files are bounded by rows and by bytes; rows are spread over them
-    by a hash of the key. A null group is written as Spark's default partition.
+    A file is bounded by rows and by bytes. A task writes the rows that it has into
+    files of its own, so no row is shuffled, whatever its key; what a task holds of all
+    groups is bounded by a file's bytes. A null group is written as Spark's default partition.
     Returns the written file paths (a list as long as the number of files).
     """
-    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
-    sizes = df.groupBy(F.col(group_col).alias("_g")).agg(F.count(F.lit(1)).alias("_n"), F.sum(width).alias("_bytes"))
-    nfiles = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_file)),
-                        F.ceil(F.col("_bytes") / F.lit(BYTES_PER_ARRAY_FILE))).cast("int")
-    x = df.join(sizes.select("_g", nfiles.alias("_f")), F.col(group_col).eqNullSafe(F.col("_g"))).drop("_g")
-    x = x.withColumn("_b", F.pmod(F.xxhash64(F.col(key_col)), F.col("_f")).cast("int"))
-    cols = [c for c in df.columns if c != group_col]
-    body = x.groupBy(group_col, "_b").agg(
-        F.to_json(F.collect_list(F.struct(*cols))).alias("value"))
+    from pyspark import TaskContext
+    x = df.select(F.col(group_col), F.to_json(F.struct(*[c for c in df.columns if c != group_col])).alias("value"))
+    schema = T.StructType([x.schema[group_col], T.StructField("_b", T.LongType()), T.StructField("value", T.StringType())])
+    most = BYTES_PER_ARRAY_FILE
+
+    def arrays(batches):
+        number, held, total = TaskContext.get().partitionId() << 33, {}, 0
+
+        def array(group):
+            nonlocal number, total
+            rows, size = held.pop(group)
+            number, total = number + 1, total - size
+            return pa.RecordBatch.from_arrays([pa.array([group], group_type), pa.array([number - 1], pa.int64()),
+                                               pa.array([b"[" + b",".join(rows) + b"]"], pa.binary()).view(pa.string())], names=schema.names)
+        for b in batches:
+            group_type = b.column(0).type
+            for group, row in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                rows, size = held.setdefault(group, ([], 0))
+                rows.append(row)
+                held[group], total = (rows, size + len(row)), total + len(row)
+                if len(rows) >= rows_per_file:
+                    yield array(group)
+                while total >= most:
+                    yield array(max(held, key=lambda g: held[g][1]))
+        for group in list(held):
+            yield array(group)
     tmp = path.rstrip("/") + "/_staging"
-    body.write.mode("overwrite").partitionBy(group_col, "_b").text(tmp)
+    x.mapInArrow(arrays, schema).write.mode("overwrite").option("compression", compression).partitionBy(group_col, "_b").text(tmp)
     return _rename_parts(df, tmp, path, group_col, name)
 
 
@@ -66,7 +86,7 @@ def _rename_parts(df: DataFrame, tmp: str, dest: str, group_col: str, name: str)
         b_dir, g_dir = p.getParent().getName(), p.getParent().getParent().getName()
         group = g_dir.split("=", 1)[1]
         bucket = b_dir.split("=", 1)[1]
-        target = jvm.org.apache.hadoop.fs.Path(f"{dest.rstrip('/')}/{name}-{bucket}-{len(out)}_{group}.json")
+        target = jvm.org.apache.hadoop.fs.Path(f"{dest.rstrip('/')}/{name}-{bucket}-{len(out)}_{group}.json{'.gz' if fname.endswith('.gz') else ''}")
         fs.rename(p, target)
         out.append(target.toString())
     fs.delete(src_root, True)

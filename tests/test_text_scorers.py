@@ -5,6 +5,7 @@ import random
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusforge.functions import kernels
 from corpusforge.functions.text import rouge_tokens
@@ -97,3 +98,66 @@ def test_pieces_are_counted_in_batches(spark):
     assert sorted(tuple(r) for r in v.collect()) == [("a", 4, 3), ("b", 5, 2), ("c", 6, 1)]
     plan = tokens.build_vocabulary(df, "p", 5)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_shared_rows_need_no_products():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    vec = rng.normal(size=(40, 6))
+    unit = kernels.unit_rows(vec)
+    for _ in range(30):
+        p, r = (np.sort(rng.choice(40, rng.integers(1, 30), replace=False)) for _ in range(2))
+        n_p, n_r = rng.integers(1, 5, len(p)), rng.integers(1, 5, len(r))
+        want = kernels.greedy_match(vec[p], vec[r], n_p, n_r)
+        assert all(np.allclose(kernels.greedy_rows(unit, p, r, n_p, n_r, own), want) for own in (True, False))
+    short = vec.astype(np.float32)  # as a table of floats has them
+    want = kernels.greedy_match(short[:9], short[5:30], np.ones(9), np.ones(25))
+    assert np.allclose(kernels.greedy_rows(kernels.unit_rows(short), np.arange(9), np.arange(5, 30), np.ones(9), np.ones(25), True), want, rtol=1e-13)
+    used = []
+
+    class Seen(np.ndarray):
+        def __getitem__(self, at):
+            used.append(len(at))
+            return np.asarray(self)[at]
+    same = np.arange(10)
+    assert kernels.greedy_rows(unit.view(Seen), same, same, np.ones(10), np.ones(10), True) == (1.0, 1.0, 1.0) and not used
+    zero = np.array([[0.0, 0.0], [-1.0, 0.0], [1.0, 0.0]])
+    got = kernels.greedy_rows(kernels.unit_rows(zero), np.array([0, 1]), np.array([0, 2]), np.ones(2), np.ones(2), False)
+    assert np.allclose(got, kernels.greedy_match(zero[[0, 1]], zero[[0, 2]]))
+    assert kernels.greedy_rows(unit, same[:0], same, np.ones(0), np.ones(10), True) == (0.0, 0.0, 0.0)
+
+
+def test_word_pieces_and_ids_text(spark):
+    from corpusforge.operators import tokens
+    texts = [*ODD, "<|im_start|>user\nHi S E s<|im_end|>", "a<|im_start|im_end|>b<|IM_END|><|im_end|>", "Se E S"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    pattern = r"(<\|im_start\|>|<\|im_end\|>|[a-z0-9]+)"
+    got = df.select("t", tokens.word_pieces("t").alias("p"), F.regexp_extract_all(F.lower("t"), F.lit(pattern), 1).alias("q"),
+                    tokens.rouge_words("t").alias("w"), rouge_tokens("t").alias("v")).collect()
+    assert all(r["p"] == r["q"] and r["w"] == r["v"] for r in got) and len(got) == len(texts)
+    ids = spark.createDataFrame([([1, -100, 3],), ([],), (None,), ([None, 5, None],)], "a array<int>")
+    joined = F.array_join(F.transform("a", lambda x: x.cast("string")), ",")
+    assert all(r[0] == r[1] for r in ids.select(tokens.ids_text("a"), joined).collect())
+
+
+def test_json_arrays_are_written_without_a_shuffle(spark, tmp_path):
+    import os
+
+    from corpusforge.sources import readers, sinks
+    rows = [(i % 9 or None, ["en", "fr", None][i % 3], f'te"xt\n{i}' if i % 7 else None) for i in range(200)]
+    rows += rows[:5]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, lang string, input string")
+    schema = "doc_id long, input string"
+    for compression, end in (("none", ".json"), ("gzip", ".json.gz")):
+        path = str(tmp_path / compression)
+        jobs = spark.sparkContext.statusTracker()
+        spark.sparkContext.setJobGroup(compression, compression)
+        files = sinks.write_json_arrays(df, path, "lang", "doc_id", name="x", rows_per_file=20, compression=compression)
+        spark.sparkContext.setJobGroup("after", "after")
+        assert len(jobs.getJobIdsForGroup(compression)) == 1  # the write, and no exchange before it
+        assert all(f.endswith(end) for f in files) and len(files) == len([f for f in os.listdir(path) if not f.startswith(".")])
+        names = [f.rsplit("/", 1)[1] for f in files]
+        back = readers.read_manifest(spark, path, names, T.StructType.fromDDL(schema))
+        assert back.groupBy("source_file").count().agg(F.max("count")).first()[0] <= 20
+        assert sorted(map(str, back.where("lang in ('en', 'fr')").select("doc_id", "lang", "input").collect())) == sorted(str(r) for r in df.where("lang IS NOT NULL").collect())
+        assert back.count() == len(rows)
